@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, tokens, warc
+from . import langid, mixing, ngram_join, sharding, tokens, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -21,12 +22,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_language(_table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_warc(*warc.write_warc(_table(spark, sf_dir, "pages")))
+    return warc.read_warc(*warc.write_warc(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
