@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, ngram_join, sharding, tokens, warc
+from . import embeddings, langid, mixing, ngram_join, sharding, tokens, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
