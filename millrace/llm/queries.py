@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, langid, mixing, ngram_join, sharding, tokens, warc
+from . import decontaminate, embeddings, langid, long_repeats, mixing, ngram_join, sharding, tokens, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400, texts_too=False).drop("kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, *tokens.write_token_files(_table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE)))
 
