@@ -106,7 +106,7 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = EM_ROUNDS
     return langs, np.array(table)
 
 
-def _scorer(pieces: list[str], langs: list[str], table: np.ndarray):
+def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: bool):
     def score(batches):
         lattice = Lattice(pieces)
         known: dict[str, int] = {}
@@ -140,7 +140,7 @@ def _scorer(pieces: list[str], langs: list[str], table: np.ndarray):
                     k = int(total.argmax())
                     best.append(langs[k])
                     share.append(float(1 / np.exp(total - total[k]).sum()))
-            keep = [c for c in batch.schema.names if c != "text"]
+            keep = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return score
@@ -190,8 +190,10 @@ def vocabulary_pieces(path: str) -> list[str]:
     return [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
 
 
-def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)`` and the columns named in ``carry`` for every row of ``docs (doc_id, text, lang)``.
+def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """``(doc_id, held_out, lang_pred, score)`` for every row of ``docs (doc_id, text, lang)``.
+
+    The columns named in ``carry`` are returned inside the struct ``row``, the text if ``keep_text``.
 
     lang_pred is the language of highest likelihood for the whole lower-cased text, all languages
     being as likely before (ties: the first by name); score is its share of the likelihoods' sum.
@@ -203,5 +205,5 @@ def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] =
     pieces = vocabulary_pieces(vocabulary)
     langs, table = fit(docs.select("doc_id", "text", "lang"), pieces)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
-    schema = T.StructType([*(f for f in rows.schema if f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(pieces, langs, table), schema)
+    schema = T.StructType([*(f for f in rows.schema if keep_text or f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(pieces, langs, table, keep_text), schema)

@@ -46,3 +46,42 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+
+
+def _licenses() -> str:
+    from .licenses import TEMPLATES, THRESHOLD
+
+    values = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(TEMPLATES))
+    return f"""
+WITH f AS (
+  SELECT doc_id, text, source || (CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '/p' || (doc_id % 7) || '/' END) || doc_id || '.txt' AS path FROM documents
+), t(k, name, body) AS (VALUES {values}
+), tw AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS w FROM t) WHERE w <> '' GROUP BY 1, 2
+), n AS (SELECT count(*) AS n FROM f
+), df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM f) WHERE w IN (SELECT w FROM tw) GROUP BY 1
+), idf AS (SELECT v.w, ln((1.0 + n.n) / (1 + coalesce(df.df, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) v CROSS JOIN n LEFT JOIN df USING (w)
+), tv AS (SELECT k, w, tf * idf AS x, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS size FROM tw JOIN idf USING (w)
+), parts AS (
+  SELECT path, -1 AS part, lower(text) AS body FROM f WHERE text IS NOT NULL
+  UNION ALL SELECT path, unnest(range(len(l))) AS part, unnest(l) AS body FROM (SELECT path, string_split(lower(text), chr(10)) AS l FROM f)
+), pw AS (SELECT path, part, w, count(*) AS tf FROM (SELECT path, part, unnest(string_split_regex(body, '[^a-z0-9]+')) AS w FROM parts) WHERE w <> '' GROUP BY 1, 2, 3
+), pv AS (SELECT path, part, w, tf * coalesce(idf, ln(1.0 + n.n) + 1) AS x FROM pw CROSS JOIN n LEFT JOIN idf USING (w)
+), ps AS (SELECT path, part, sqrt(sum(x * x)) AS size FROM pv GROUP BY 1, 2
+), s AS (
+  SELECT path, part, k, round(sum(pv.x * tv.x / tv.size) / any_value(ps.size), 6) AS score FROM pv JOIN tv USING (w) JOIN ps USING (path, part) GROUP BY 1, 2, 3
+), own AS (
+  SELECT path, max(score) AS score, min(k) FILTER (score = m) AS k, bool_or(part = -1) AS is_license_file
+  FROM (SELECT *, max(score) OVER (PARTITION BY path) AS m FROM s WHERE score >= {THRESHOLD}) GROUP BY 1
+), o AS (SELECT path, score, name AS own_license, is_license_file, regexp_replace(path, '/[^/]*$', '') AS dir FROM own JOIN t USING (k)
+), lf AS (SELECT dir, min(path) AS path, arg_min(own_license, path) AS lic FROM o WHERE is_license_file GROUP BY 1
+)
+SELECT f.doc_id, f.path, o.own_license, o.score, coalesce(o.is_license_file, false) AS is_license_file,
+       coalesce(o.own_license, a.lic, b.lic) AS license,
+       CASE WHEN o.own_license IS NOT NULL THEN f.path WHEN a.lic IS NOT NULL THEN a.path ELSE b.path END AS license_path
+FROM f LEFT JOIN o ON o.path = f.path
+LEFT JOIN lf a ON a.dir = regexp_replace(f.path, '/[^/]*$', '')
+LEFT JOIN lf b ON b.dir = f.source_dir
+""".replace("SELECT doc_id, text, source ||", "SELECT doc_id, text, source AS source_dir, source ||")
+
+
+ORACLE["op4_licenses"] = _licenses()

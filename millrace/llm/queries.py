@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, long_repeats, mixing, ngram_join, sharding, tokens, warc
+from . import decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, sharding, tokens, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,6 +35,13 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: a seventh of them in their source's folder, the others one folder below."""
+    part = F.col("doc_id") % 7
+    path = F.concat("source", F.when(part == 0, F.lit("/")).otherwise(F.concat(F.lit("/p"), part, F.lit("/"))), "doc_id", F.lit(".txt"))
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -58,8 +66,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
