@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, open_fs, work_dir
+from .store import cut, open_fs, rows_below, work_dir
 
 MAGIC = b"WARC/1.0\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -21,6 +21,8 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HEADER_MAX = 1 << 16
 #: Salts of a digest's rows when they look up the first of their payload.
 SALTS = 16
+#: Rows of the table of repeated payloads (40 bytes each) that may be broadcast.
+BROADCAST_ROWS = 200_000
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n")
 
 
@@ -81,11 +83,14 @@ def write_warc(pages: DataFrame, min_revisit: int = 0, file_bytes: int = 64 << 2
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
     firsts = seen.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = firsts.select("payload_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SALTS)).cast("int")
-    typed = seen.withColumn("salt", salt).join(firsts, ["payload_digest", "salt"], "left").withColumn(
-        "refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    )
+    firsts = cut(firsts.select("payload_digest", "first"), "warc")
+    if rows_below(firsts, BROADCAST_ROWS):
+        typed = seen.join(F.broadcast(firsts), "payload_digest", "left")
+    else:  # a digest's rows meet salted copies of its first
+        firsts = firsts.select("payload_digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salt = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SALTS)).cast("int")
+        typed = seen.withColumn("salt", salt).join(firsts, ["payload_digest", "salt"], "left")
+    typed = typed.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     typed = typed.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     folder = work_dir(spark, "warc")
     return folder, cut(typed.mapInArrow(_writer(folder, file_bytes), "file string, bytes long"), "warc")
