@@ -1 +1 @@
-
+"""Streaming forms of the keyed-state operators."""
