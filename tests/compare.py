@@ -14,7 +14,7 @@ def connect(sf_dir):
 
 
 def _cell(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "null"
     if isinstance(v, float):
         return f"{v:.6f}".removesuffix(".000000")
