@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import relational, scalars, stateful  # noqa: F401
+from . import catalogs, images, relational, scalars, stateful  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
