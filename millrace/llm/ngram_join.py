@@ -3,16 +3,17 @@
 1. A first pass over the texts hashes each document's distinct n-grams ("tokens"), names its set by
    a 64-bit digest (documents of equal sets are one class from here on), keeps a parity bitmap of it
    and counts all tokens in a sketch of fixed size.
-2. Tokens are ordered: those of rare sketch cells first, by hash, then those of frequent ones. Two
-   sets of Jaccard >= t differ in few tokens, so a second pass emits, for each class, signatures
-   from a prefix in that order: single tokens while they are rare. Where the rare ones don't fill the
+2. Tokens are ordered by their sketch cell's count, the rarest first. Two sets of Jaccard >= t
+   differ in few tokens, so a second pass emits, for each class, signatures from a prefix in that
+   order: single tokens while their cells are rare. Where the rare ones don't fill the
    prefix it is extended by frequent tokens, and pairs of these are signatures (frequent tokens fall
    into groups by hash and only pairs within a group count, the prefix being longer by one for each
    group); so a frequent token alone never makes a candidate.
-3. Classes of one signature are candidates. First each is paired with the two ends of its list only;
-   then, once links found so far are contracted to components, all pairs of classes in different
-   components. Pairs pass the size filter and the bitmaps' bound (parities that differ are a lower
-   bound of the symmetric difference) and are verified on the whole sets.
+3. Classes of one signature are candidates. First each is paired with the first of its list and the
+   one before it only; then, once links found so far are contracted to components, all pairs of
+   classes in different components. Pairs pass the size filter and the bitmaps' bound (parities that
+   differ are a lower bound of the symmetric difference) and are verified on the whole sets. Pairs of
+   short lists are joined; long lists are compared in tiles, of which only pairs within the bound come out.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ DEVIATIONS, FREQUENT = 6, 32
 GROUP = 12
 #: Rows of an id list that may be broadcast (8 bytes each).
 BROADCAST_ROWS = 500_000
+#: Longer lists are compared in tiles, of this many classes.
+SHORT, TILE = 32, 2048
 WORD_CACHE = 400_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -110,17 +113,21 @@ def size_bucket(n: int, percent: int) -> int:
     return int(math.log(n) / -math.log(percent / 100) + 1e-9)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """64-bit signatures of a set, at least one of them shared by any two sets that link."""
+def signatures(tokens: np.ndarray, cells: np.ndarray, frequent: int, percent: int) -> np.ndarray:
+    """64-bit signatures of a set, at least one of them shared by any two different sets that link.
+
+    ``cells`` has the sketch's counts; tokens whose cell counts more than ``frequent`` are so.
+    """
     n = len(tokens)
     prefix = n - -(-percent * n // 100) + 1
     if 100 * n < percent * (n + 1):
         return tokens[:0]  # only an equal set could link
-    often = frequent[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
-    rare = tokens[~often]
-    if len(rare) >= prefix:
-        return rare[:prefix]
-    hot, out = tokens[often], [rare]
+    count = cells[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
+    order = np.argsort(count, kind="stable")  # by count, then by hash
+    tokens, rare = tokens[order], int((count <= frequent).sum())
+    if rare >= prefix:
+        return tokens[:prefix]
+    hot, out = tokens[rare:], [tokens[:rare]]
     bucket = size_bucket(n, percent)
     for b in (bucket, bucket + 1):  # a set meets others in its own bucket and in that of larger ones
         most = (100 / percent) ** (b + 1)
@@ -130,7 +137,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
         firsts = np.zeros(len(hot), np.int64)
         firsts[np.unique(group, return_index=True)[1]] = 1
         sure = np.cumsum(1 - firsts)
-        stop = int(np.searchsorted(sure, prefix - len(rare))) + 1
+        stop = int(np.searchsorted(sure, prefix - rare)) + 1
         if stop > len(hot):  # too few: single tokens and all groups, so that nothing is lost
             out.append(hot)
             stop = len(hot)
@@ -182,14 +189,14 @@ def _add_cells(batches):
     yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["segment", "bits"])
 
 
-def _emit(n: int, percent: int, frequent: bytes):
+def _emit(n: int, percent: int, cells: bytes, frequent: int):
     def run(batches):
-        shingle, often = Shingler(n), np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool)
+        shingle, counts = Shingler(n), np.frombuffer(cells, "<u2")
         for batch in batches:
             sig, cls, size = [], [], []
             for text in batch.column("text"):
                 tokens = shingle(text.as_py())
-                got = signatures(tokens, often, percent)
+                got = signatures(tokens, counts, frequent, percent)
                 sig.append(got)
                 cls.append(np.full(len(got), class_of(tokens), np.int64))
                 size.append(np.full(len(got), len(tokens), np.int32))
@@ -199,6 +206,69 @@ def _emit(n: int, percent: int, frequent: bytes):
     return run
 
 
+def _lists(batches):
+    """Signatures of at least two classes, out of rows sorted by signature and class.
+
+    Each row has the first class of its list, the class before it and its place; only the last row
+    is held between batches, however long a list is.
+    """
+    held = None  # sig, cls, n, first, place; whether it has come out
+    for batch in batches:
+        sig, cls, n = (batch.column(c).to_numpy() for c in ("sig", "cls", "n"))
+        if not len(sig):
+            continue
+        if held:
+            sig, cls, n = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[:3], (sig, cls, n), strict=True))
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+        sig, cls, n = sig[new], cls[new], n[new]
+        start = np.concatenate([[True], sig[1:] != sig[:-1]])
+        at = np.flatnonzero(start)
+        run = np.cumsum(start) - 1
+        place, first = np.arange(len(sig)) - at[run], cls[at[run]]
+        if held:
+            place, first = np.where(run == 0, place + held[4], place), np.where(run == 0, held[3], first)
+        before = np.where(start, cls, np.concatenate([cls[:1], cls[:-1]]))
+        out = (place > 0) | np.concatenate([~start[1:], [False]])
+        if held and held[5]:
+            out[0] = False
+        came = bool(out[-1]) or bool(held and held[5] and len(sig) == 1)
+        held = (sig[-1], cls[-1], n[-1], first[-1], place[-1], came)
+        columns = {"sig": sig, "cls": cls, "n": n, "first": first, "before": before, "place": place.astype(np.int64)}
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in columns.values()], names=list(columns))
+
+
+def _tile(percent: int):
+    """Pairs of one cell of a long list, in different components, that sizes and bitmaps allow."""
+
+    def run(key, table):
+        side, cls, n, of = (table.column(c).to_numpy() for c in ("side", "cls", "n", "component"))
+        bits = table.column("bits").to_pylist()
+        same = key[1].as_py() == key[2].as_py()
+        left = np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        maps: dict[int, np.ndarray] = {}
+
+        def folded(size):  # all bitmaps folded to a size; shorter ones don't come up
+            if size not in maps:
+                rows = [np.frombuffer(b, np.uint8) for b in bits]
+                maps[size] = np.stack([np.bitwise_xor.reduce(r.reshape(-1, size), axis=0) if len(r) >= size else np.zeros(size, np.uint8) for r in rows]).view(np.uint64)
+            return maps[size]
+
+        length = np.array([len(b) for b in bits])
+        a, b = [], []
+        for i in left.tolist():
+            j = right[(cls[right] > cls[i] if same else cls[right] != cls[i]) & (of[right] != of[i]) & (100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])]
+            for size in np.unique(np.minimum(length[j], length[i])).tolist():
+                some, m = j[np.minimum(length[j], length[i]) == size], folded(size)
+                most = n[some] + n[i] - 2 * -(-percent * (n[some] + n[i]) // (100 + percent))
+                some = some[np.bitwise_count(m[some] ^ m[i]).sum(axis=1) <= most]
+                a += [cls[i]] * len(some)
+                b += cls[some].tolist()
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
 def _bound(percent: int):
     """Pairs whose bitmaps allow the overlap they need."""
 
@@ -244,17 +314,19 @@ class _Join:
         # the sketch has a fixed size: CELLS counts
         counts = np.concatenate([np.frombuffer(r.bits, "<i8") for r in cells.orderBy("segment").collect()] or [np.zeros(CELLS, np.int64)])
         mean = counts.mean()
-        self.frequent = np.packbits(counts > mean + DEVIATIONS * math.sqrt(mean) + FREQUENT).tobytes()
+        self.frequent = int(mean + DEVIATIONS * math.sqrt(mean)) + FREQUENT
+        scale = -(-(self.frequent + 1) // 60_000)  # counts beyond the frequent ones needn't be told apart
+        self.cells = np.minimum(counts // scale, 65_535).astype("<u2").tobytes()
+        self.frequent //= scale
         self.classes = cut(
             self.members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "ngram"
         )
         self.spark = spark
 
     def lists(self) -> DataFrame:
-        """Signatures of at least two classes: ``(sig, cls, n)``."""
-        emitted = cut(self.docs.mapInArrow(_emit(self.n, self.percent, self.frequent), "sig long, cls long, n int"), "ngram")
-        ends = emitted.groupBy("sig").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-        return cut(emitted.join(ends, "sig").distinct(), "ngram")
+        """Signatures of at least two classes: ``(sig, cls, n, first, before, place)``."""
+        emitted = self.docs.mapInArrow(_emit(self.n, self.percent, self.cells, self.frequent), "sig long, cls long, n int")
+        return cut(emitted.repartition("sig").sortWithinPartitions("sig", "cls").mapInArrow(_lists, "sig long, cls long, n int, first long, before long, place long"), "ngram")
 
     def _near(self, a: str, b: str):
         return (F.col(a) * 100 >= F.col(b) * self.percent) & (F.col(b) * 100 >= F.col(a) * self.percent)
@@ -276,19 +348,29 @@ class _Join:
     def components(self) -> DataFrame:
         """``(cls, component)`` of the classes that link with others; component is one of them."""
         lists = self.lists()
-        ends = F.explode(F.array("low", "high"))
-        first = lists.select("cls", ends.alias("end")).where("cls <> end").select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()
-        links = self.links(first)
+        other = F.explode(F.array("first", "before"))
+        near = lists.select("cls", other.alias("other")).where("cls <> other").select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+        links = self.links(near)
         known = cut(connected_components(links).withColumnRenamed("node", "cls"), "ngram")
-        held = lists.select("sig", "cls", "n").join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        held = cut(held, "ngram")
-        mixed = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("sig")
-        held = held.join(mixed, "sig", "left_semi")
-        other = held.select("sig", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
-        pairs = held.select("sig", F.col("cls").alias("a"), "n", "component").join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("of")) & self._near("n", "m"))
-        more = self.links(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+        held = cut(lists.select("sig", "cls", "n", "place").join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "ngram")
+        mixed = held.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.max("place") + 1).alias("m")).where("low < high").select("sig", "m")
+        held = cut(held.join(mixed, "sig"), "ngram")
+        more = self.links(self._short(held.where(F.col("m") <= SHORT)).union(self._long(held.where(F.col("m") > SHORT))).distinct())
         return connected_components(links.union(more)).withColumnRenamed("node", "cls")
 
+    def _short(self, held: DataFrame) -> DataFrame:
+        """Pairs of classes of different components within short lists."""
+        held = held.select("sig", F.col("cls").alias("a"), "n", "component")
+        other = held.select("sig", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"))
+        return held.join(other, "sig").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("of")) & self._near("n", "m")).select("a", "b")
+
+    def _long(self, held: DataFrame) -> DataFrame:
+        """Such pairs within long lists, as far as the bitmaps allow them: cells are pairs (i <= j) of a list's tiles."""
+        tile, last = F.floor(F.col("place") / TILE), F.floor((F.col("m") - 1) / TILE)
+        tiled = held.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).join(self.classes.select("cls", "bits"), "cls")
+        dealt = tiled.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "cls", "n", "component", "bits")
+        return dealt.groupBy("sig", "i", "j").applyInArrow(_tile(self.percent), "a long, b long")
+
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs (doc_id, text)``.
