@@ -13,12 +13,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from .store import cut, map_file, open_fs, work_dir
 
 #: Texts of these characters only, with single spaces and line ends, fall into pieces that byte-level BPE never joins.
 _PLAIN = bytes([10, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+#: The letters that stand for bytes in byte-level BPE: printable ones for themselves, the others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_UNITS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Pieces whose ids are kept in a worker at most, and texts encoded together.
-CACHE, TOGETHER = 750_000, 256
+CACHE, TOGETHER = 900_000, 512
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -61,23 +65,19 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         known = self.known
         ended = [w for w in new if w[-1:] in (",", ".") and w[-2:-1].isalpha()]
-        whole = list(new.difference(ended).union([w[:-1] for w in ended], (",", ".")).difference(known, "\n"))
-        known.update(zip(whole, self._pieces(whole), strict=True))
-        known["\n"] = self._library(["\n"])[0]
+        whole = list(new.difference(ended).union([w[:-1] for w in ended], (",", ".")).difference(known))
+        words = [w for w in whole if w.removeprefix(" ").isalpha()]
+        known.update(zip(words, self._words(words), strict=True))
+        rest = list({"\n", *whole}.difference(words))
+        known.update(zip(rest, self._library(rest), strict=True))
         for w in ended:
             known[w] = known[w[:-1]] + known[w[-1]]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many short texts without line ends, that the library takes as words of a few long ones, between line ends."""
-        line, out, width = self.tokenizer.encode("\n", add_special_tokens=False).ids, [], self.dtype.itemsize
-        if len(line) != 1:
-            return self._library(pieces)
-        groups = [[x for p in pieces[k : k + 4096] for x in (p, "\n")] for k in range(0, len(pieces), 4096)]
-        for e in self.tokenizer.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False):
-            ids = np.array(e.ids, self.dtype)
-            ends, data = (np.flatnonzero(ids == line[0]) * width).tolist(), ids.tobytes()
-            out += [data[i:j] for i, j in zip([0, *(x + width for x in ends[:-1])], ends, strict=True)]
-        return out
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, letters only but for a space before: each is one unit that the library's model takes as it is."""
+        model, kind = self.tokenizer.model, self.dtype.char
+        units = "\n".join(words).encode().decode("latin-1").translate(_UNITS).split(_UNITS[10]) if words else []
+        return [array(kind, [t.id for t in model.tokenize(u)]).tobytes() for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
@@ -142,6 +142,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> tuple
     first and are -1 in the file. Rows of equal doc_id go by their text. An empty table gives empty
     files. Other columns aren't read. The tokenizer's path must exist on every executor.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     folder = work_dir(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,6 +162,7 @@ def read_token_files(spark, folder: str, files: list[tuple]) -> DataFrame:
     start counts the ids of all documents before; the CRC is of the ids as 32-bit little-endian
     integers, the end id included.
     """
+    ship(spark)
 
     def read(batches):
         fs, where = open_fs(folder)
