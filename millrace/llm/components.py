@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from .store import cut
 
 _EDGE = "a long, b long"
@@ -57,6 +58,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges count for nothing; a node with loops only is not returned, nor is
     anything for an empty table. Null ends are ignored.
     """
+    ship(edges.sparkSession)
     now = cut(edges.where("a <> b").mapInArrow(_forest, _EDGE), "cc")
     seen = None
     while True:

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from .store import cut
 
 #: Words of a seed; the share of an item's n-grams, the rarest in the corpus, that seed it; and its least seeds.
@@ -193,6 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = LEAK) -> Da
     aren't read.
     """
     spark: SparkSession = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     schema = "doc_id long, item_id long, score double, word_start int, word_end int"
     out, words = None, Words()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from .components import connected_components
 from .store import cut
 
@@ -134,6 +135,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     vectors of their own, but one node of a component. An empty table gives no rows. Other columns
     aren't read.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     schema = f"vec_id long, label {rows.schema['label'].dataType.simpleString()}, dim int, key binary, raw binary"
     rows = cut(rows.mapInArrow(_prepared, schema), "vectors")

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from .store import cut, open_fs, rows_below, work_dir
 
 MAGIC = b"WARC/1.0\r\n"
@@ -79,6 +80,7 @@ def write_warc(pages: DataFrame, min_revisit: int = 0, file_bytes: int = 64 << 2
     all have null page_ids; a null page_id beside others revisits them. A null url leaves its header
     out. An empty table makes no files. Other columns aren't read.
     """
+    ship(pages.sparkSession)
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), base32_sha1(payload).alias("payload_digest"))
@@ -201,5 +203,6 @@ def _walk(block_bytes: int):
 
 def read_warc(folder: str, files: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """Records of archives that ``write_warc`` wrote, each payload checked against its digest."""
+    ship(files.sparkSession)
     records = record_boundaries(folder, files, block_bytes)
     return records.mapInArrow(_parser(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, file_offset long")

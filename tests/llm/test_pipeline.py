@@ -3,7 +3,6 @@
 from collections import Counter
 
 import corpus_pipeline
-from compare import connect  # noqa: F401
 
 
 def test_stages(spark, sf_dir):
