@@ -174,10 +174,10 @@ def point_in_region(spark, sf_dir):
 @query("""
 SELECT s.s_suppkey, p.p_partkey AS nearest, p.d2 FROM supplier s LEFT JOIN (
   SELECT s_suppkey, p_partkey, d2, row_number() OVER (PARTITION BY s_suppkey ORDER BY d2, p_partkey) AS k FROM (
-    SELECT s_suppkey, p_partkey, (p_partkey % 64 - s_suppkey % 64) * (p_partkey % 64 - s_suppkey % 64) + (p_size - s_nationkey) * (p_size - s_nationkey) AS d2 FROM supplier, part WHERE p_brand = 'Brand#11' AND p_partkey <= 1000)) p
+    SELECT s_suppkey, p_partkey, (p_partkey % 64 - s_suppkey % 64) * (p_partkey % 64 - s_suppkey % 64) + (p_size - s_nationkey) * (p_size - s_nationkey) AS d2 FROM supplier, part WHERE p_brand = 'Brand#11')) p
   ON p.s_suppkey = s.s_suppkey AND k = 1""")
 def nearest_element(spark, sf_dir):
-    elements = load(spark, sf_dir, "part").where("p_brand = 'Brand#11' and p_partkey <= 1000").select("p_partkey", (F.col("p_partkey") % 64).alias("x"), F.col("p_size").alias("y"))
+    elements = load(spark, sf_dir, "part").where("p_brand = 'Brand#11'").select("p_partkey", (F.col("p_partkey") % 64).alias("x"), F.col("p_size").alias("y"))
     places = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 64).alias("x"), F.col("s_nationkey").alias("y"))
     return lookups.nearest(places, "s_suppkey", elements, "p_partkey").select("s_suppkey", F.col("p_partkey").alias("nearest"), "d2")
 

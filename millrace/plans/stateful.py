@@ -88,14 +88,12 @@ def stream_dedupe(spark, sf_dir):
     return streaming.drain(streaming.dedupe_recent(e, "event_type", ["ts", "event_id"], "user_id"), "append", "dedupe_" + uuid.uuid4().hex)
 
 
-@query("SELECT (p_partkey // 5)::int AS grp, (p_partkey % 5)::int AS file, p_name AS name FROM part WHERE p_partkey // 5 > 0 AND p_partkey // 5 < (SELECT max(p_partkey) FROM part) // 5")
+@query("SELECT (p_partkey // 5)::int AS grp, (row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY p_partkey) - 1)::int AS file, p_name AS name FROM part")
 def packed_groups(spark, sf_dir):
     """Names packed five to a group, in deflated containers of two chunks, and split again."""
     p = load(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 5).cast("int").alias("grp"), F.col("p_partkey").alias("k"), "p_name")
-    last = p.agg(F.max("grp").alias("last"))
-    whole = p.join(F.broadcast(last), (F.col("grp") > 0) & (F.col("grp") < F.col("last")))
     pack = F.udf(lambda names: container(pack_group([n.encode() for n in names], 2), 2), "binary")
-    groups = whole.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("f")).select("grp", F.size("f").alias("count"), pack(F.transform("f", lambda f: f["p_name"])).alias("raw"))
+    groups = p.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("f")).select("grp", F.size("f").alias("count"), pack(F.transform("f", lambda f: f["p_name"])).alias("raw"))
     return split_groups(groups).select("grp", "file", F.col("data").cast("string").alias("name"))
 
 
