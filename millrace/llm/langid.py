@@ -7,6 +7,7 @@ forward algorithm. The probabilities are learned by expectation maximisation (fo
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -16,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shipping import ship
+
 #: The learner's bounds: documents of each language, characters of each document, distinct words of each language.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 30_000
 EM_ROUNDS = 4
+SALTS = 16
 #: A worker keeps the scores of so many words at most.
-CACHE = 250_000
+CACHE = 500_000
 #: Longer words are scored by blocks of this many characters.
 WORD_MAX = 48
 #: Probability of a character that no piece covers.
@@ -106,40 +110,60 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = EM_ROUNDS
     return langs, np.array(table)
 
 
+class Scorer:
+    """Log-likelihoods of words by language, each computed once while a worker's cache holds it."""
+
+    def __init__(self, pieces: list[str], table: np.ndarray):
+        self.lattice, self.table = Lattice(pieces), table
+        self.known: dict[str, int] = {}
+        self.scores, self.used = np.zeros((1024, len(table))), 0
+
+    def _learn(self, new: list[str]) -> None:
+        cutup = [_blocks(w) for w in new]
+        found: dict[str, np.ndarray] = {}
+        for ws in _by_length({b for bs in cutup for b in bs}).values():
+            for k in range(0, len(ws), 8192):
+                e = self.lattice.edges(ws[k : k + 8192])
+                found.update(zip(ws[k : k + 8192], np.log(np.maximum([forward(e, p)[-1] for p in self.table], 1e-300)).T, strict=True))
+        while self.used + len(new) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[self.used : self.used + len(new)] = [found[b[0]] if len(b) == 1 else sum(found[x] for x in b) for b in cutup]
+        self.known.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+        self.used += len(new)
+
+    def totals(self, docs: list[list[str] | None]) -> list[np.ndarray | None]:
+        """Each document's log-likelihood by language."""
+        if self.used > CACHE:
+            self.known, self.used = {}, 0
+        if new := set().union(*(d for d in docs if d)).difference(self.known):
+            self._learn(list(new))
+        at = self.known.__getitem__
+        return [None if d is None else self.scores[np.fromiter(map(at, d), np.int64, len(d))].sum(axis=0) for d in docs]
+
+
+_SCORERS: dict[bytes, Scorer] = {}
+
+
+def scorer_for(pieces: list[str], table: np.ndarray) -> Scorer:
+    """A worker's scorer for a model, with the words that its earlier tasks have met."""
+    key = hashlib.blake2b(table.tobytes()).digest()
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(pieces, table)
+    return _SCORERS[key]
+
+
 def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: bool):
     def score(batches):
-        lattice = Lattice(pieces)
-        known: dict[str, int] = {}
-        scores = np.zeros((0, len(langs)))
+        scorer = scorer_for(pieces, table) if langs else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             best, share = [], []
-            for at in range(0, len(texts), 200):
-                docs = [words_of(t) if t and _LETTER.search(t) else None for t in texts[at : at + 200]]
-                new = {w for d in docs if d for w in d}.difference(known)
-                if new:
-                    if len(known) > CACHE:
-                        known, scores = {}, scores[:0]
-                        new = {w for d in docs if d for w in d}
-                    new, base = list(new), len(known)
-                    cutup = {w: _blocks(w) for w in new}
-                    found: dict[str, np.ndarray] = {}
-                    for ws in _by_length({b for bs in cutup.values() for b in bs}).values():
-                        for k in range(0, len(ws), 4096):
-                            e = lattice.edges(ws[k : k + 4096])
-                            got = np.log(np.maximum([forward(e, p)[-1] for p in table], 1e-300)).T
-                            found.update(zip(ws[k : k + 4096], got, strict=True))
-                    scores = np.concatenate([scores, [found[b[0]] if len(b) == 1 else sum(found[x] for x in b) for b in cutup.values()]])
-                    known.update(zip(new, range(base, base + len(new)), strict=True))
-                for d in docs:
-                    if d is None or not langs:
-                        best.append("und")
-                        share.append(0.0)
-                        continue
-                    total = scores[np.fromiter(map(known.__getitem__, d), np.int64, len(d))].sum(axis=0)
-                    k = int(total.argmax())
-                    best.append(langs[k])
-                    share.append(float(1 / np.exp(total - total[k]).sum()))
+            for at in range(0, batch.num_rows, 500):
+                docs = [words_of(t) if scorer and t and _LETTER.search(t) else None for t in batch.column("text").slice(at, 500).to_pylist()]
+                for total in scorer.totals(docs) if scorer else docs:
+                    k = 0 if total is None else int(total.argmax())
+                    best.append("und" if total is None else langs[k])
+                    share.append(0.0 if total is None else float(1 / np.exp(total - total[k]).sum()))
             keep = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(best, pa.string()), pa.array(share, pa.float64())], names=[*keep, "lang_pred", "score"])
 
@@ -168,9 +192,12 @@ def fit(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> t
     map-side pruning over two narrow columns), ``SAMPLE_CHARS`` characters of each for learning only,
     and of their words the ``SAMPLE_WORDS`` most frequent.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = labelled.select("lang", "doc_id").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= sample_docs).select("doc_id", "lang").distinct()
+    chosen = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    for keys in (("lang", "salt"), ("lang",)):  # the last rank sees SALTS * sample_docs rows of a language at most
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        chosen = chosen.withColumn("k", rank).where(F.col("k") <= sample_docs).drop("k")
+    chosen = chosen.select("doc_id", "lang").distinct()
     # at most sample_docs rows for each language
     texts = labelled.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     words = texts.select("lang", "text").mapInArrow(_counter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -202,6 +229,7 @@ def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] =
     rows are rows like any other; an empty table gives none. lang, source and doc_id never reach
     the scorer. Words of over 48 characters are scored by blocks.
     """
+    ship(docs.sparkSession)
     pieces = vocabulary_pieces(vocabulary)
     langs, table = fit(docs.select("doc_id", "text", "lang"), pieces)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
