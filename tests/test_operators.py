@@ -47,3 +47,15 @@ def test_unreachable_target_falls_back(spark):
     costs = graph.grid_costs(spark, cells, (0, 0), 10)
     assert tuple(graph.reach_or_near(costs, (2, 2)).first())[:3] == (2, 2, 2)
     assert tuple(graph.reach_or_near(costs, (5, 0)).first())[:2] == (2, 0)
+
+
+@given(st.lists(st.tuples(st.sampled_from([1, 2, 3]), st.binary(max_size=300)), max_size=8), st.integers(0, 10))
+def test_frames_round_trip(messages, cut):
+    from millrace.sources.frames import U8, U16, frame, parse
+
+    lengths = {1: U8, 2: U16, 3: 4}
+    messages = [(k, b[:255] if k == 1 else b[:4].ljust(4) if k == 3 else b) for k, b in messages]
+    raw = b"".join(frame(k, b, lengths) for k, b in messages)
+    assert parse(raw, lengths) == (messages, b"")
+    some, rest = parse(raw[: max(0, len(raw) - cut)], lengths)
+    assert some == messages[: len(some)] and parse(rest + raw[max(0, len(raw) - cut) :], lengths)[0] == messages[len(some) :]
