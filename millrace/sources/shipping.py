@@ -1,4 +1,4 @@
-"""Brings this package to the Python workers, wherever they run."""
+"""Readies an application for this package's Python workers, wherever they run."""
 
 from __future__ import annotations
 
@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+#: Bytes of the batches that go to Python workers, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the application, once."""
+    """Adds the package's sources to the application, once, and bounds its batches by bytes: rows may be long."""
     sc = spark.sparkContext
+    if spark.conf.get(_LIMIT) == _DEFAULT:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     if sc.applicationId in _DONE:
         return
     _DONE.add(sc.applicationId)
