@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+from .caches import held
 from .components import connected_components
 from .store import cut, rows_below
 
@@ -37,8 +39,8 @@ DEVIATIONS, FREQUENT = 6, 32
 GROUP = 12
 #: Rows of an id list that may be broadcast (8 bytes each).
 BROADCAST_ROWS = 500_000
-#: Longer lists are compared in tiles, of this many classes.
-SHORT, TILE = 32, 2048
+#: Longer lists are compared in tiles, of this many classes, by bitmaps so many times wider.
+SHORT, TILE, WIDER = 32, 2048, 4
 WORD_CACHE = 400_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +79,11 @@ class Shingler:
         return np.unique(h)
 
 
+def shingler_for(n: int) -> Shingler:
+    """A worker's shingler, with the words that its earlier tasks have met."""
+    return held("shingles", n, lambda: Shingler(n))
+
+
 def class_of(tokens: np.ndarray) -> int:
     """A set's digest as a signed 64-bit integer."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
@@ -87,8 +94,8 @@ def bitmap_bits(n: int) -> int:
     return 1 << max(7, min(17, (max(1, n) - 1).bit_length()))
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = bitmap_bits(len(tokens))
+def bitmap(tokens: np.ndarray, wider: int = 1) -> np.ndarray:
+    bits = bitmap_bits(len(tokens)) * wider
     odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd)
 
@@ -156,26 +163,27 @@ def _sets(n: int):
     """Each document's class, set size and bitmap; the counts of all tokens come as rows without document."""
 
     def run(batches):
-        shingle, cells, held, waiting = Shingler(n), np.zeros(CELLS, np.int64), [], 0
+        shingle, cells, waiting, many = shingler_for(n), np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
-            size, cls, bits = [], [], []
+            size, cls, bits, wide = [], [], [], []
             for text in batch.column("text"):
                 tokens = shingle(text.as_py())
                 size.append(len(tokens))
                 cls.append(class_of(tokens) if len(tokens) else None)
                 bits.append(bitmap(tokens).tobytes() if len(tokens) else None)
-                held.append((tokens & np.uint64(CELLS - 1)).astype(np.int32))
-                waiting += len(tokens)
-                if waiting > 1_000_000:
-                    cells += np.bincount(np.concatenate(held), minlength=CELLS)
-                    held, waiting = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(size), pa.int32())], names=["doc_id", "n", "cls", "bits", "segment"])
-        if held:
-            cells += np.bincount(np.concatenate(held), minlength=CELLS)
+                wide.append(bitmap(tokens, WIDER).tobytes() if len(tokens) else None)
+                waiting.append((tokens & np.uint64(CELLS - 1)).astype(np.int32))
+                many += len(tokens)
+                if many > 1_000_000:
+                    cells += np.bincount(np.concatenate(waiting), minlength=CELLS)
+                    waiting, many = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(len(size), pa.int32())], names=["doc_id", "n", "cls", "bits", "wide", "segment"])
+        if waiting:
+            cells += np.bincount(np.concatenate(waiting), minlength=CELLS)
         if cells.any():
             parts = cells.astype("<i4").reshape(-1, SEGMENT)
             none = [pa.nulls(len(parts), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(range(len(parts)), pa.int32())], names=["doc_id", "n", "cls", "bits", "segment"])
+            yield pa.RecordBatch.from_arrays([*none, pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32())], names=["doc_id", "n", "cls", "bits", "wide", "segment"])
 
     return run
 
@@ -191,7 +199,7 @@ def _add_cells(batches):
 
 def _emit(n: int, percent: int, cells: bytes, frequent: int):
     def run(batches):
-        shingle, counts = Shingler(n), np.frombuffer(cells, "<u2")
+        shingle, counts = shingler_for(n), np.frombuffer(cells, "<u2")
         for batch in batches:
             sig, cls, size = [], [], []
             for text in batch.column("text"):
@@ -238,11 +246,14 @@ def _lists(batches):
 
 
 def _tile(percent: int):
-    """Pairs of one cell of a long list, in different components, that sizes and bitmaps allow."""
+    """Pairs of one cell of a long list, in different components, that sizes and bitmaps allow.
+
+    A pair comes out of the first of the long lists that it shares only.
+    """
 
     def run(key, table):
         side, cls, n, of = (table.column(c).to_numpy() for c in ("side", "cls", "n", "component"))
-        bits = table.column("bits").to_pylist()
+        bits, sigs, own = table.column("wide").to_pylist(), table.column("sigs").to_pylist(), key[0].as_py()
         same = key[1].as_py() == key[2].as_py()
         left = np.flatnonzero(side == 0)
         right = left if same else np.flatnonzero(side == 1)
@@ -257,13 +268,14 @@ def _tile(percent: int):
         length = np.array([len(b) for b in bits])
         a, b = [], []
         for i in left.tolist():
+            mine = set(sigs[i])
             j = right[(cls[right] > cls[i] if same else cls[right] != cls[i]) & (of[right] != of[i]) & (100 * n[right] >= percent * n[i]) & (100 * n[i] >= percent * n[right])]
             for size in np.unique(np.minimum(length[j], length[i])).tolist():
                 some, m = j[np.minimum(length[j], length[i]) == size], folded(size)
                 most = n[some] + n[i] - 2 * -(-percent * (n[some] + n[i]) // (100 + percent))
-                some = some[np.bitwise_count(m[some] ^ m[i]).sum(axis=1) <= most]
-                a += [cls[i]] * len(some)
-                b += cls[some].tolist()
+                some = [k for k in some[np.bitwise_count(m[some] ^ m[i]).sum(axis=1) <= most].tolist() if next(s for s in sigs[k] if s in mine) == own]
+                a += [int(cls[i])] * len(some)
+                b += cls[some].tolist() if some else []
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return run
@@ -283,7 +295,7 @@ def _bound(percent: int):
 
 def _tokens_of(n: int):
     def run(batches):
-        shingle = Shingler(n)
+        shingle = shingler_for(n)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["cls", "tokens"])
 
@@ -308,8 +320,8 @@ class _Join:
         self.n, self.percent = n, percent
         spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        rows = cut(self.docs.mapInArrow(_sets(n), "doc_id long, n long, cls long, bits binary, segment int"), "ngram")
-        self.members = rows.where("segment is null").select("doc_id", "n", "cls", "bits")
+        rows = cut(self.docs.mapInArrow(_sets(n), "doc_id long, n long, cls long, bits binary, wide binary, segment int"), "ngram")
+        self.members = rows.where("segment is null").select("doc_id", "n", "cls", "bits", "wide")
         cells = rows.where("segment is not null").select("segment", "bits").repartition("segment").mapInArrow(_add_cells, "segment int, bits binary")
         # the sketch has a fixed size: CELLS counts
         counts = np.concatenate([np.frombuffer(r.bits, "<i8") for r in cells.orderBy("segment").collect()] or [np.zeros(CELLS, np.int64)])
@@ -319,7 +331,7 @@ class _Join:
         self.cells = np.minimum(counts // scale, 65_535).astype("<u2").tobytes()
         self.frequent //= scale
         self.classes = cut(
-            self.members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "ngram"
+            self.members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "ngram"
         )
         self.spark = spark
 
@@ -367,8 +379,9 @@ class _Join:
     def _long(self, held: DataFrame) -> DataFrame:
         """Such pairs within long lists, as far as the bitmaps allow them: cells are pairs (i <= j) of a list's tiles."""
         tile, last = F.floor(F.col("place") / TILE), F.floor((F.col("m") - 1) / TILE)
-        tiled = held.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).join(self.classes.select("cls", "bits"), "cls")
-        dealt = tiled.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "cls", "n", "component", "bits")
+        sigs = held.groupBy("cls").agg(F.array_sort(F.collect_list("sig")).alias("sigs"))  # at most a class's signatures
+        tiled = held.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))).join(self.classes.select("cls", "wide").join(sigs, "cls"), "cls")
+        dealt = tiled.select("sig", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "cls", "n", "component", "wide", "sigs")
         return dealt.groupBy("sig", "i", "j").applyInArrow(_tile(self.percent), "a long, b long")
 
 
@@ -383,6 +396,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     is in it). Repeated rows are returned as often as they come. An empty table gives none. Shingles
     and sets are compared by 64-bit hashes. Other columns aren't read.
     """
+    ship(docs.sparkSession)
     if not 50 <= percent <= 100 or n < 1:
         raise ValueError("percent must be 50 to 100 and n positive")
     join = _Join(docs, n, percent)

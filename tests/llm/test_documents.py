@@ -94,6 +94,20 @@ def test_signatures_are_shared_by_linked_sets():
                     assert len(np.intersect1d(ngram_join.signatures(a, cells, frequent, percent), ngram_join.signatures(b, cells, frequent, percent)))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_lists_stream_in_batches_of_any_size(size):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(8)
+    rows = sorted((int(a), int(b)) for a, b in zip(rnd.integers(0, 25, 90), rnd.integers(0, 9, 90), strict=True))
+    batches = [pa.RecordBatch.from_pydict({"sig": [r[0] for r in part], "cls": [r[1] for r in part], "n": pa.array([5] * len(part), pa.int32())}) for k in range(0, len(rows), size) for part in [rows[k : k + size]]]
+    got = [tuple(r.values()) for b in ngram_join._lists(batches) for r in b.to_pylist()]
+    members = defaultdict(list)
+    for sig, cls in sorted(set(rows)):
+        members[sig].append(cls)
+    assert got == [(s, c, 5, m[0], m[k - 1] if k else c, k) for s, m in sorted(members.items()) if len(m) > 1 for k, c in enumerate(m)]
+
+
 def test_bitmaps_bound_the_difference():
     rnd = np.random.default_rng(4)
     for n, m in ((5, 9), (200, 150), (5000, 600)):
