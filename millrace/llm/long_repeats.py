@@ -180,19 +180,21 @@ def sort_block(spans: list[bytes], leads: np.ndarray, buckets: np.ndarray, lengt
     their bucket and at equal offsets from the anchor.
     """
     counts = np.array([len(s) - length + 1 for s in spans])
-    begins = np.concatenate([[0], np.cumsum([len(s) for s in spans])[:-1]])
+    begins = np.concatenate([[0], np.cumsum([len(s) for s in spans])[:-1]]).astype(np.int32)
     text = np.frombuffer(b"".join(spans) + bytes(length + 8), np.uint8)
-    entry = np.repeat(np.arange(len(spans)), counts)
-    within = np.arange(len(entry)) - np.repeat(np.cumsum(counts) - counts, counts)
-    offset = leads[entry] - within  # bytes from the suffix to its anchor
+    entry = np.repeat(np.arange(len(spans), dtype=np.int32), counts)
+    within = np.arange(len(entry), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    offset = leads.astype(np.int32)[entry] - within  # bytes from the suffix to its anchor
     start = begins[entry] + within
     depth = length - COVER
     ahead = offset % COVER  # to the next sampled place
     sample = start + ahead
     # ranks of the samples' strings, each computed once
     places, which = np.unique(sample, return_inverse=True)
-    stride = np.lib.stride_tricks.sliding_window_view(text, depth)[places]
-    ranks = np.unique(np.ascontiguousarray(stride).view(np.dtype((np.void, depth)))[:, 0], return_inverse=True)[1]
+    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[places]).view(np.dtype((np.void, depth)))[:, 0]
+    ranks = np.unique(strings, return_inverse=True)[1].astype(np.int32)
+    del strings
+    which = which.astype(np.int32)
     # the bytes before and after: COVER together
     edge = np.empty((len(start), COVER), np.uint8)
     for k in range(COVER):
