@@ -59,3 +59,18 @@ def test_frames_round_trip(messages, cut):
     assert parse(raw, lengths) == (messages, b"")
     some, rest = parse(raw[: max(0, len(raw) - cut)], lengths)
     assert some == messages[: len(some)] and parse(rest + raw[max(0, len(raw) - cut) :], lengths)[0] == messages[len(some) :]
+
+
+def test_nearest_in_rings_is_exact(spark, monkeypatch):
+    import random
+
+    from millrace.operators import lookups
+
+    rnd = random.Random(3)
+    places = [(k, rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for k in range(60)]
+    elements = [(k, rnd.randrange(-100, 100), rnd.randrange(-100, 100)) for k in range(40)]
+    p, e = spark.createDataFrame(places, "k long, x int, y int"), spark.createDataFrame(elements, "e long, x int, y int")
+    want = {(k, *min(((x - a) ** 2 + (y - b) ** 2, i) for i, a, b in elements)[::-1]) for k, x, y in places}
+    assert {tuple(r) for r in lookups.nearest(p, "k", e, "e").collect()} == want
+    monkeypatch.setattr(lookups, "LISTED", 5)
+    assert {tuple(r) for r in lookups.nearest(p, "k", e, "e").collect()} == want
