@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
+from .caches import held
 from .store import cut
 
 #: Words of a seed; the share of an item's n-grams, the rarest in the corpus, that seed it; and its least seeds.
@@ -35,13 +36,18 @@ class Words:
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             for w in set(words).difference(known):
                 known[w] = xxhash.xxh3_64_intdigest(w)
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def words_for() -> Words:
+    """A worker's word hashes, with those that its earlier tasks have met."""
+    return held("words", None, Words)
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words."""
     count = max(0, len(words) - n + 1)
@@ -104,7 +110,7 @@ def _grams_seen(known: np.ndarray):
     """In how many of a task's documents each of the benchmark's n-grams occurs."""
 
     def run(batches):
-        index, words = Index(known), Words()
+        index, words = Index(known), words_for()
         seen = np.zeros(len(index.values), np.int64)
         for batch in batches:
             for text in batch.column("text"):
@@ -121,7 +127,7 @@ def _leaks(ids: np.ndarray, items: list[np.ndarray], seed: np.ndarray, owner: np
     """Aligns every passage that a seed points to with its item."""
 
     def run(batches):
-        index, words = Index(seed), Words()
+        index, words = Index(seed), words_for()
         order = np.argsort(seed, kind="stable")
         owners = np.split(owner[order], np.flatnonzero(np.diff(seed[order].view(np.int64))) + 1) if len(seed) else []
         lengths = np.array([len(i) for i in items])

@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shipping import ship
+from .caches import held
 
 #: The learner's bounds: documents of each language, characters of each document, distinct words of each language.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 30_000
 EM_ROUNDS = 4
 SALTS = 16
 #: A worker keeps the scores of so many words at most.
-CACHE = 500_000
+CACHE = 150_000
 #: Longer words are scored by blocks of this many characters.
 WORD_MAX = 48
 #: Probability of a character that no piece covers.
@@ -122,9 +123,9 @@ class Scorer:
         cutup = [_blocks(w) for w in new]
         found: dict[str, np.ndarray] = {}
         for ws in _by_length({b for bs in cutup for b in bs}).values():
-            for k in range(0, len(ws), 8192):
-                e = self.lattice.edges(ws[k : k + 8192])
-                found.update(zip(ws[k : k + 8192], np.log(np.maximum([forward(e, p)[-1] for p in self.table], 1e-300)).T, strict=True))
+            for k in range(0, len(ws), 2048):
+                e = self.lattice.edges(ws[k : k + 2048])
+                found.update(zip(ws[k : k + 2048], np.log(np.maximum([forward(e, p)[-1] for p in self.table], 1e-300)).T, strict=True))
         while self.used + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         self.scores[self.used : self.used + len(new)] = [found[b[0]] if len(b) == 1 else sum(found[x] for x in b) for b in cutup]
@@ -141,16 +142,9 @@ class Scorer:
         return [None if d is None else self.scores[np.fromiter(map(at, d), np.int64, len(d))].sum(axis=0) for d in docs]
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def scorer_for(pieces: list[str], table: np.ndarray) -> Scorer:
     """A worker's scorer for a model, with the words that its earlier tasks have met."""
-    key = hashlib.blake2b(table.tobytes()).digest()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(pieces, table)
-    return _SCORERS[key]
+    return held("langid", hashlib.blake2b(table.tobytes()).digest(), lambda: Scorer(pieces, table))
 
 
 def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: bool):
@@ -158,8 +152,8 @@ def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: b
         scorer = scorer_for(pieces, table) if langs else None
         for batch in batches:
             best, share = [], []
-            for at in range(0, batch.num_rows, 500):
-                docs = [words_of(t) if scorer and t and _LETTER.search(t) else None for t in batch.column("text").slice(at, 500).to_pylist()]
+            for at in range(0, batch.num_rows, 200):
+                docs = [words_of(t) if scorer and t and _LETTER.search(t) else None for t in batch.column("text").slice(at, 200).to_pylist()]
                 for total in scorer.totals(docs) if scorer else docs:
                     k = 0 if total is None else int(total.argmax())
                     best.append("und" if total is None else langs[k])
@@ -170,7 +164,7 @@ def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: b
     return score
 
 
-def held_out() -> F.Column:
+def is_held_out() -> F.Column:
     """Whether a document is kept from the learner: crc32 of its doc_id's text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -192,7 +186,7 @@ def fit(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> t
     map-side pruning over two narrow columns), ``SAMPLE_CHARS`` characters of each for learning only,
     and of their words the ``SAMPLE_WORDS`` most frequent.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
     chosen = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
     for keys in (("lang", "salt"), ("lang",)):  # the last rank sees SALTS * sample_docs rows of a language at most
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
@@ -232,6 +226,6 @@ def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] =
     ship(docs.sparkSession)
     pieces = vocabulary_pieces(vocabulary)
     langs, table = fit(docs.select("doc_id", "text", "lang"), pieces)
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
+    rows = docs.select("doc_id", is_held_out().alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     schema = T.StructType([*(f for f in rows.schema if keep_text or f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_scorer(pieces, langs, table, keep_text), schema)

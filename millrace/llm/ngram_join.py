@@ -41,7 +41,7 @@ GROUP = 12
 BROADCAST_ROWS = 500_000
 #: Longer lists are compared in tiles, of this many classes, by bitmaps so many times wider.
 SHORT, TILE, WIDER = 32, 2048, 4
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))

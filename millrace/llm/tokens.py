@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
+from .caches import held
 from .store import cut, map_file, open_fs, work_dir
 
 #: Texts of these characters only, with single spaces and line ends, fall into pieces that byte-level BPE never joins.
@@ -94,14 +95,9 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_for(path: str) -> Encoder:
     """A worker's encoder, with the pieces that its earlier tasks have met."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held("tokens", path, lambda: Encoder(path))
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
