@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
 #: Bytes of the batches that go to Python workers, unless the session says otherwise.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
