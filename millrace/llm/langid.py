@@ -25,7 +25,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 30_000
 EM_ROUNDS = 4
 SALTS = 16
 #: A worker keeps the scores of so many words at most.
-CACHE = 150_000
+CACHE = 300_000
 #: Longer words are scored by blocks of this many characters.
 WORD_MAX = 48
 #: Probability of a character that no piece covers.
@@ -123,9 +123,9 @@ class Scorer:
         cutup = [_blocks(w) for w in new]
         found: dict[str, np.ndarray] = {}
         for ws in _by_length({b for bs in cutup for b in bs}).values():
-            for k in range(0, len(ws), 2048):
-                e = self.lattice.edges(ws[k : k + 2048])
-                found.update(zip(ws[k : k + 2048], np.log(np.maximum([forward(e, p)[-1] for p in self.table], 1e-300)).T, strict=True))
+            for k in range(0, len(ws), 4096):
+                e = self.lattice.edges(ws[k : k + 4096])
+                found.update(zip(ws[k : k + 4096], np.log(np.maximum([forward(e, p)[-1] for p in self.table], 1e-300)).T, strict=True))
         while self.used + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         self.scores[self.used : self.used + len(new)] = [found[b[0]] if len(b) == 1 else sum(found[x] for x in b) for b in cutup]
@@ -152,8 +152,8 @@ def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: b
         scorer = scorer_for(pieces, table) if langs else None
         for batch in batches:
             best, share = [], []
-            for at in range(0, batch.num_rows, 200):
-                docs = [words_of(t) if scorer and t and _LETTER.search(t) else None for t in batch.column("text").slice(at, 200).to_pylist()]
+            for at in range(0, batch.num_rows, 500):
+                docs = [words_of(t) if scorer and t and _LETTER.search(t) else None for t in batch.column("text").slice(at, 500).to_pylist()]
                 for total in scorer.totals(docs) if scorer else docs:
                     k = 0 if total is None else int(total.argmax())
                     best.append("und" if total is None else langs[k])
