@@ -14,6 +14,8 @@ SHINGLE_WORDS, SIMILAR = 5, 80
 #: Documents whose best language has a smaller share are rejected.
 LEAST_SCORE = 0.5
 N_SHARDS = 16
+#: Words whose scores a worker keeps; other stages' memory comes on top.
+WORD_CACHE = 150_000
 #: Rows of a table of doc_ids that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 
@@ -25,7 +27,7 @@ def _sent(table: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: ``und`` and those of ambiguous language go."""
     others = [c for c in docs.columns if c != "text"]
-    told = langid.identify_language(docs, vocabulary(PIECES), carry=tuple(others), keep_text=True)
+    told = langid.identify_language(docs, vocabulary(PIECES), carry=tuple(others), keep_text=True, cache=WORD_CACHE)
     kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 

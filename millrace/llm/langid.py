@@ -25,7 +25,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 30_000
 EM_ROUNDS = 4
 SALTS = 16
 #: A worker keeps the scores of so many words at most.
-CACHE = 300_000
+CACHE = 500_000
 #: Longer words are scored by blocks of this many characters.
 WORD_MAX = 48
 #: Probability of a character that no piece covers.
@@ -114,7 +114,8 @@ def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = EM_ROUNDS
 class Scorer:
     """Log-likelihoods of words by language, each computed once while a worker's cache holds it."""
 
-    def __init__(self, pieces: list[str], table: np.ndarray):
+    def __init__(self, pieces: list[str], table: np.ndarray, cache: int = CACHE):
+        self.cache = cache
         self.lattice, self.table = Lattice(pieces), table
         self.known: dict[str, int] = {}
         self.scores, self.used = np.zeros((1024, len(table))), 0
@@ -134,7 +135,7 @@ class Scorer:
 
     def totals(self, docs: list[list[str] | None]) -> list[np.ndarray | None]:
         """Each document's log-likelihood by language."""
-        if self.used > CACHE:
+        if self.used > self.cache:
             self.known, self.used = {}, 0
         if new := set().union(*(d for d in docs if d)).difference(self.known):
             self._learn(list(new))
@@ -142,14 +143,14 @@ class Scorer:
         return [None if d is None else self.scores[np.fromiter(map(at, d), np.int64, len(d))].sum(axis=0) for d in docs]
 
 
-def scorer_for(pieces: list[str], table: np.ndarray) -> Scorer:
+def scorer_for(pieces: list[str], table: np.ndarray, cache: int) -> Scorer:
     """A worker's scorer for a model, with the words that its earlier tasks have met."""
-    return held("langid", hashlib.blake2b(table.tobytes()).digest(), lambda: Scorer(pieces, table))
+    return held("langid", hashlib.blake2b(table.tobytes()).digest(), lambda: Scorer(pieces, table, cache))
 
 
-def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: bool):
+def _scorer(pieces: list[str], langs: list[str], table: np.ndarray, keep_text: bool, cache: int):
     def score(batches):
-        scorer = scorer_for(pieces, table) if langs else None
+        scorer = scorer_for(pieces, table, cache) if langs else None
         for batch in batches:
             best, share = [], []
             for at in range(0, batch.num_rows, 500):
@@ -211,10 +212,11 @@ def vocabulary_pieces(path: str) -> list[str]:
     return [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
 
 
-def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = (), keep_text: bool = False, cache: int = CACHE) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row of ``docs (doc_id, text, lang)``.
 
     The columns named in ``carry`` are returned inside the struct ``row``, the text if ``keep_text``.
+    A worker keeps the scores of ``cache`` words.
 
     lang_pred is the language of highest likelihood for the whole lower-cased text, all languages
     being as likely before (ties: the first by name); score is its share of the likelihoods' sum.
@@ -228,4 +230,4 @@ def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] =
     langs, table = fit(docs.select("doc_id", "text", "lang"), pieces)
     rows = docs.select("doc_id", is_held_out().alias("held_out"), "text", *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     schema = T.StructType([*(f for f in rows.schema if keep_text or f.name != "text"), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(pieces, langs, table, keep_text), schema)
+    return rows.mapInArrow(_scorer(pieces, langs, table, keep_text, cache), schema)
