@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from ..sources.shipping import ship
 from .caches import held
 from .store import cut
 
-#: Words of a seed; the share of an item's n-grams, the rarest in the corpus, that seed it; and its least seeds.
-SEED_WORDS, SEED_SHARE, LEAST_SEEDS = 3, 0.7, 8
+#: Words of a seed.
+SEED_WORDS = 3
 #: Scores of a pair of words and of a gap; an item leaks where its best alignment has this share of its highest score.
 MATCH, MISMATCH, GAP, LEAK = 2, -1, -1, 0.5
 #: Benchmarks up to so many bytes of text are sent to every task; larger ones are taken in several passes.
@@ -106,31 +106,38 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, first, last
 
 
-def _grams_seen(known: np.ndarray):
-    """In how many of a task's documents each of the benchmark's n-grams occurs."""
+def matches_bound(item: np.ndarray, window: np.ndarray, span: int, vocabulary: int, place: np.ndarray) -> int:
+    """No alignment of at most ``span`` words of the window matches more words of the item.
 
-    def run(batches):
-        index, words = Index(known), words_for()
-        seen = np.zeros(len(index.values), np.int64)
-        for batch in batches:
-            for text in batch.column("text"):
-                _, k = index.find(grams(words(text.as_py()), SEED_WORDS))
-                if len(k):
-                    seen[np.unique(k)] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(index.values[at].view(np.int64)), pa.array(seen[at])], names=["gram", "docs"])
-
-    return run
+    Both hold word numbers below ``vocabulary``, which itself stands for words of no item; ``place``
+    has a zero for each number and is returned so.
+    """
+    own, count = np.unique(item, return_counts=True)
+    place[own] = np.arange(1, len(own) + 1)
+    at = place[window]
+    place[own] = 0
+    whole = int(np.minimum(np.bincount(at, minlength=len(own) + 1)[1:], count).sum())
+    sums = np.concatenate([[0], np.cumsum(at > 0)])
+    return min(whole, int((sums[span:] - sums[:-span]).max() if len(window) > span else sums[-1]))
 
 
-def _leaks(ids: np.ndarray, items: list[np.ndarray], seed: np.ndarray, owner: np.ndarray, share: float):
-    """Aligns every passage that a seed points to with its item."""
+def _leaks(ids: np.ndarray, items: list[np.ndarray], share: float):
+    """Aligns every passage that holds a seed of an item with it, unless its words can't reach the share."""
 
     def run(batches):
-        index, words = Index(seed), words_for()
+        own = [np.unique(grams(i, SEED_WORDS)) for i in items]
+        seed, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
         order = np.argsort(seed, kind="stable")
-        owners = np.split(owner[order], np.flatnonzero(np.diff(seed[order].view(np.int64))) + 1) if len(seed) else []
+        index, words, owner = Index(seed), words_for(), owner[order]
+        starts = np.searchsorted(seed[order], index.values)
+        held_by = np.diff(starts, append=len(seed))
+        lexicon = Index(np.concatenate(items))
+        size = len(lexicon.values)
+        numbers = [np.searchsorted(lexicon.values, i) for i in items]
+        present, place = np.zeros(size + 1, bool), np.zeros(size + 1, np.int64)
         lengths = np.array([len(i) for i in items])
+        # an alignment of the share has at most so many gaps in the item, each a word of the document
+        spans = lengths + np.ceil(MATCH * (1 - share) / -GAP * lengths).astype(np.int64)
         for batch in batches:
             docs, found = batch.column("doc_id").to_pylist(), {}
             waiting: list[tuple[int, int, int, np.ndarray]] = []
@@ -148,21 +155,31 @@ def _leaks(ids: np.ndarray, items: list[np.ndarray], seed: np.ndarray, owner: np
             for row, text in enumerate(batch.column("text")):
                 w = words(text.as_py())
                 at, k = index.find(grams(w, SEED_WORDS))
-                places: dict[int, list[int]] = {}
-                for p, q in zip(at.tolist(), k.tolist(), strict=True):
-                    for item in owners[q].tolist():
-                        places.setdefault(item, []).append(p)
-                for item, ps in places.items():
-                    reach, p0 = int(lengths[item] * 1.5) + SEED_WORDS, None
-                    for p in [*ps, None]:
+                if not len(at):
+                    continue
+                n = held_by[k]
+                hit = owner[np.repeat(starts[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                at = np.repeat(at, n)[(order := np.argsort(hit, kind="stable"))]
+                some, begins = np.unique(hit[order], return_index=True)
+                number = np.full(len(w), size)
+                held_at, which = lexicon.find(w)
+                number[held_at] = which
+                present[which] = True
+                for item, ps in zip(some.tolist(), np.split(at, begins[1:]), strict=True):
+                    if present[numbers[item]].sum() / lengths[item] < share:
+                        continue
+                    reach, p0 = int(spans[item]), None
+                    for p in [*ps.tolist(), None]:
                         if p0 is not None and (p is None or p - last > reach or p - p0 > 4 * reach):
                             base = max(0, p0 - reach)
-                            waiting.append((row, item, base, w[base : last + reach]))
-                            if len(waiting) >= BATCH:
-                                waiting.sort(key=lambda x: len(x[3]))
-                                score()
+                            if matches_bound(numbers[item], number[base : last + reach], reach, size, place) / lengths[item] >= share:
+                                waiting.append((row, item, base, w[base : last + reach]))
+                                if len(waiting) >= BATCH:
+                                    waiting.sort(key=lambda x: len(x[3]))
+                                    score()
                             p0 = None
                         p0, last = p if p0 is None else p0, p
+                present[which] = False
             score()
             rows = sorted(found.items())
             yield pa.RecordBatch.from_arrays(
@@ -189,11 +206,12 @@ def _passes(benchmark: DataFrame):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = LEAK) -> DataFrame:
     """``(doc_id, item_id, score, word_start, word_end)``: where a document of ``docs (doc_id, text)`` holds an item of ``benchmark (item_id, text)``.
 
-    Words are compared without case and ASCII punctuation. An item's seeds are the rarest of its
-    3-word runs by the number of documents of the whole corpus that hold them. Wherever a document
-    holds a seed, the passage around it is aligned with the item; an alignment whose score (2 a
-    match, -1 a mismatch or gap) has at least ``share`` of the item's best possible one is a leak;
-    of several in a document the best counts, then the first. Items of fewer than 3 words, null
+    Words are compared without case and ASCII punctuation. An item's seeds are all its 3-word runs.
+    Wherever a document holds a seed, the passage around it, as long as an alignment can be, is
+    aligned with the item; an alignment whose score (2 a match, -1 a mismatch or gap) has at least
+    ``share`` of the item's best possible one is a leak; of several in a document the best counts,
+    then the first. Passages that have too few of the item's words for the share aren't aligned; a
+    passage that has no 3-word run of the item is not found, whatever its score. Items of fewer than 3 words, null
     items, null and empty texts match nothing; items of equal text each match. Rows with null doc_id
     are searched too; repeated rows are returned as often as they leak. Empty tables give no rows.
     Benchmarks of over ``BENCHMARK_BYTES`` take one pass for each so many bytes. Other columns
@@ -208,16 +226,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = LEAK) -> Da
         rows = [(r.item_id, w) for r in rows if len(w := words(r.text)) >= SEED_WORDS]
         if not rows:
             continue
-        own = [np.unique(grams(w, SEED_WORDS)) for _, w in rows]
-        seen = texts.select("text").mapInArrow(_grams_seen(np.concatenate(own)), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-        count = {r.gram: r.docs for r in seen.collect()}  # the benchmark's n-grams, bounded by BENCHMARK_BYTES
-        seeds = []
-        for k, g in enumerate(own):
-            often = np.array([count.get(int(x), 0) for x in g.view(np.int64)])
-            keep = np.lexsort((g, often))[: max(LEAST_SEEDS, int(np.ceil(SEED_SHARE * len(g))))]
-            seeds.append((g[keep], np.full(len(keep), k)))
-        seed, owner = (np.concatenate([s[i] for s in seeds]) for i in (0, 1))
-        part = texts.mapInArrow(_leaks(np.array([r[0] for r in rows]), [r[1] for r in rows], seed, owner, share), schema)
+        part = texts.mapInArrow(_leaks(np.array([r[0] for r in rows]), [r[1] for r in rows], share), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 

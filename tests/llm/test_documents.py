@@ -317,6 +317,32 @@ def test_leaks(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in want if d is not None}
 
 
+@pytest.mark.parametrize(("step", "insert"), [(4, False), (3, True)])
+def test_edited_copies_leak(spark, step, insert):
+    """Copies with every few words replaced, or a word put in after them: the 3-word runs that they keep are the commoner ones, as exact copies hold all."""
+    rnd = np.random.default_rng(12)
+    vocabulary = [f"v{k}" for k in range(400)]
+    text = lambda n: [vocabulary[k] for k in rnd.integers(0, 400, n)]
+    items = [text(rnd.integers(20, 50)) for _ in range(30)]
+    rows = []
+    for k, item in enumerate(items):
+        edited = [x for i, w in enumerate(item, 1) for x in ([w, "new"] if insert and i % step == 0 else ["new"] if i % step == 0 else [w])]
+        rows += [(k, " ".join(text(30) + edited + text(100))), (100 + k, " ".join(item))]
+    number = {w: k for k, w in enumerate([*vocabulary, "new"])}
+    want = {}
+    for d, t in rows:
+        body = np.array([number[w] for w in t.split()], np.uint64) * np.uint64(4)
+        runs = {tuple(x) for x in zip(t.split(), t.split()[1:], t.split()[2:], strict=False)}
+        for k, item in enumerate(items):
+            if runs & set(zip(item, item[1:], item[2:], strict=False)):
+                score = smith_waterman(np.array([number[w] for w in item], np.uint64) * np.uint64(4), body) / (2 * len(item))
+                if score >= 0.5:
+                    want[d, k] = score
+    assert all((k, k) in want for k in range(30))
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == pytest.approx(want)
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
