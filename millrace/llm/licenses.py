@@ -31,7 +31,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 #: Least cosine of a line or file with a template.
 THRESHOLD = 0.75
-#: Rows of the directory table (about 100 bytes each) that may be broadcast.
+#: Rows of the directory table (about 100 bytes each) and of the words' weights that may be broadcast.
 BROADCAST_ROWS = 100_000
 SALTS = 16
 WORD_BREAK = "[^a-z0-9]+"
@@ -78,8 +78,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
 
     The whole text and each of its lines are compared with each template by the cosine of TF-IDF
     vectors: term counts of words (runs of a-z, 0-9 after lower-casing) times ln((1 + N) / (1 + df)) + 1,
-    df counting the rows whose text holds the word, of all N rows; a word of no template counts as
-    one that no row holds. own_license is the template of the best score of at least ``threshold`` in
+    df counting the rows whose text holds the word, of all N rows. own_license is the template of the best score of at least ``threshold`` in
     any line or the whole (ties: the first template); score is that, rounded to 6 places, else
     null. A file is a license file if its whole text scores so. A file without a license of its own
     inherits that of the nearest directory, its own or one above, that holds a license file (of
@@ -91,9 +90,10 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     spark = files.sparkSession
     rows = files.select("doc_id", "path", "text")
     vocabulary = sorted({w for _, t in templates for w in words(t)})
-    held = F.array_intersect(F.split(F.lower("text"), WORD_BREAK), F.array(*[F.lit(w) for w in vocabulary]))
+    held = rows.where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), WORD_BREAK))).alias("w")).where("w <> ''")
+    held = cut(held.groupBy("w").agg(F.count("*").alias("n")), "licenses")
     # one row for each template word comes to the driver
-    counts = {r.w: r.n for r in rows.where("text is not null").select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    counts = {r.w: r.n for r in held.where(F.col("w").isin(vocabulary)).collect()}
     total = rows.count()
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}
     vectors = weights(templates, idf)
@@ -102,9 +102,15 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     line = likely.select("path", F.posexplode(F.split("text", "\n")).alias("part", "text")).where(F.col("text").rlike(anchors))
     parts = line.unionByName(likely.select("path", F.lit(-1).alias("part"), "text"))
     terms = parts.select("path", "part", F.explode(F.split("text", WORD_BREAK)).alias("w")).where("w <> ''").groupBy("path", "part", "w").agg(F.count("*").alias("tf"))
-    known = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    rare = math.log(1 + total) + 1
-    terms = terms.withColumn("x", F.col("tf") * F.coalesce(F.try_element_at(known, F.col("w")), F.lit(rare)))
+    terms = cut(terms, "licenses")
+    weight = (F.log((1.0 + total) / (1 + F.col("n"))) + 1).alias("idf")
+    known = cut(held.join(terms.select("w").distinct(), "w", "left_semi").select("w", weight), "licenses")
+    if rows_below(known, BROADCAST_ROWS):
+        terms = terms.join(F.broadcast(known), "w")
+    else:  # a word may be in many parts: they meet salted copies of its row
+        known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        terms = terms.withColumn("salt", F.pmod(F.xxhash64("path", "part"), F.lit(SALTS)).cast("int")).join(known, ["w", "salt"])
+    terms = terms.withColumn("x", F.col("tf") * F.col("idf"))
     by_word = F.create_map(*[c for w in vocabulary for c in (F.lit(w), F.array(*[F.lit(float(v.get(w, 0.0))) for _, _, v in vectors]))])
     share = F.try_element_at(by_word, F.col("w"))
     dots = [F.sum(F.col("x") * F.coalesce(F.element_at(share, k + 1), F.lit(0.0))).alias(f"d{k}") for k in range(len(vectors))]

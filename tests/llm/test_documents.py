@@ -375,6 +375,26 @@ def test_licenses(spark):
     }
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_licenses_weigh_words_by_the_whole_corpus(spark, monkeypatch, most):
+    """A notice beside words that nearly every row holds; weights by the counts of all words."""
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
+    notice = "Released under the MIT License."
+    rows = [(k, f"d{k}/f.txt", f"en la word{k} text") for k in range(200)]
+    rows += [(300, "a/x.txt", f"en {notice} la\nword1 and more"), (301, "b/x.txt", f"{notice} word1 word2 word3 word4"), (302, None, "en la"), (303, "c/x.txt", None)]
+    df = Counter(w for _, _, t in rows for w in set(licenses.words(t or "")))
+    idf = lambda w: np.log((1 + len(rows)) / (1 + df[w])) + 1
+
+    def cosine(a, b):
+        a, b = Counter(licenses.words(a)), Counter(licenses.words(b))
+        return sum(a[w] * b[w] * idf(w) ** 2 for w in a) / np.sqrt(sum((n * idf(w)) ** 2 for w, n in a.items()) * sum((n * idf(w)) ** 2 for w, n in b.items()))
+
+    got = {r.doc_id: (r.own_license, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got[300] == ("MIT", pytest.approx(cosine(rows[200][2].split("\n")[0], notice), abs=2e-6))
+    assert cosine(rows[201][2], notice) < licenses.THRESHOLD and got[301] == (None, None)
+    assert all(got[d] == (None, None) for d in [*range(200), 302, 303])
+
+
 # ---- empty tables
 
 
