@@ -18,8 +18,8 @@ from .store import cut, open_fs, rows_below, work_dir
 
 MAGIC = b"WARC/1.0\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Headers longer than this aren't record headers.
-HEADER_MAX = 1 << 16
+#: Bytes read at once beyond a block, as long as a header that starts in it doesn't end.
+READ_ON = 1 << 16
 #: Salts of a digest's rows when they look up the first of their payload.
 SALTS = 16
 #: Rows of the table of repeated payloads (40 bytes each) that may be broadcast.
@@ -98,6 +98,12 @@ def write_warc(pages: DataFrame, min_revisit: int = 0, file_bytes: int = 64 << 2
     return folder, cut(typed.mapInArrow(_writer(folder, file_bytes), "file string, bytes long"), "warc")
 
 
+def _length(data: bytearray, begin: int, stop: int) -> tuple[int, int] | None:
+    """Where a header first gives a length, and that."""
+    m = _LENGTH.search(data, begin, stop + 2)
+    return (m.start(), int(m[1])) if m else None
+
+
 def _scanner(folder: str):
     """Every place in a block where a header can start, with the place after its record."""
 
@@ -105,18 +111,27 @@ def _scanner(folder: str):
         fs, where = open_fs(folder)
         for batch in batches:
             for file, size, begin, end in zip(*(batch.column(c).to_pylist() for c in ("file", "bytes", "begin", "end")), strict=True):
+                at, after = [], []
                 with fs.open_input_file(f"{where}/{file}") as f:
                     f.seek(begin)
-                    data = f.read(min(size, end + HEADER_MAX) - begin)
-                at, after = [], []
-                k = data.find(MAGIC)
-                while 0 <= k < end - begin:
-                    stop = data.find(b"\r\n\r\n", k, k + HEADER_MAX)
-                    found = _LENGTH.search(data, k, stop + 2) if stop >= 0 else None
-                    if found and begin + stop + 8 + int(found[1]) <= size:
-                        at.append(begin + k)
-                        after.append(begin + stop + 8 + int(found[1]))
-                    k = data.find(MAGIC, k + 1)
+                    data = bytearray(f.read(min(size, end + READ_ON) - begin))
+                    k, stop, found = data.find(MAGIC), -1, None
+                    while 0 <= k < end - begin:
+                        if stop < k:  # else the header's end is that of the candidate before
+                            stop = data.find(b"\r\n\r\n", k)
+                            while stop < 0 and begin + len(data) < size:
+                                had = len(data)
+                                data += f.read(min(READ_ON, size - begin - had))
+                                stop = data.find(b"\r\n\r\n", max(k, had - 3))
+                            if stop < 0:  # neither this candidate's header ends nor a later one's
+                                break
+                            found = _length(data, k, stop)
+                        elif found and found[0] < k:
+                            found = _length(data, k, stop)
+                        if found and begin + stop + 8 + found[1] <= size:
+                            at.append(begin + k)
+                            after.append(begin + stop + 8 + found[1])
+                        k = data.find(MAGIC, k + 1)
                 jump = dict(zip(at, after, strict=True))
                 for a in reversed(at):  # chains are followed to the block's end here
                     jump[a] = jump.get(jump[a], jump[a])
@@ -202,7 +217,14 @@ def _walk(block_bytes: int):
 
 
 def read_warc(folder: str, files: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-    """Records of archives that ``write_warc`` wrote, each payload checked against its digest."""
+    """Records of archives that ``write_warc`` wrote, each payload checked against its digest.
+
+    Raises ValueError where a file's records don't fill it.
+    """
     ship(files.sparkSession)
-    records = record_boundaries(folder, files, block_bytes)
+    records = cut(record_boundaries(folder, files, block_bytes), "warc")
+    filled = records.groupBy("file").agg(F.sum(F.col("after") - F.col("at")).alias("filled"))
+    broken = files.where("bytes > 0").join(filled, "file", "left").where("filled is null or filled <> bytes").first()
+    if broken:
+        raise ValueError(f"{broken.file}: its records have {broken.filled or 0} of its {broken.bytes} bytes")
     return records.mapInArrow(_parser(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, file_offset long")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from millrace.llm import components, embeddings, warc
 
@@ -104,6 +105,27 @@ def test_warc_round_trip(spark):
         assert got == want
 
 
+def test_warc_of_long_urls(spark):
+    """Headers of over 64 KB, between other records and beside payloads full of magics."""
+    trap = "WARC/1.0\r\n" * 2000
+    rows = [(1, "u", "first"), (2, "a" * 70_000, "ascii"), (3, "\U0001f600" * 6000, "four bytes"), (4, "v", trap), (5, "b" * 200_000, trap + "Content-Length: 1\r\n\r\n"), (6, "w", "last")]
+    folder, files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    for block in (1 << 14, 4 << 20):
+        got = warc.read_warc(folder, files, block).collect()
+        assert sorted((r.page_id, r.payload_bytes) for r in got) == [(p, len(h)) for p, _, h in rows]
+
+
+def test_warc_of_a_broken_chain(spark):
+    """Records lost behind a damaged header aren't passed over."""
+    folder, files = warc.write_warc(spark.createDataFrame([(k, "u", f"page {k}") for k in range(9)], "page_id long, url string, html string").coalesce(1))
+    path = f"{folder.removeprefix('file://')}/{files.first().file}"
+    with open(path, "r+b") as f:
+        f.seek(f.read().index(b"Content-Length", 900))
+        f.write(b"X")
+    with pytest.raises(ValueError, match="of its"):
+        warc.read_warc(folder, files).collect()
+
+
 def test_warc_of_no_pages(spark):
     folder, files = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_warc(folder, files).count() == 0
