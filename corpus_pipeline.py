@@ -53,9 +53,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("__times"))
-    joined = docs.join(_sent(cut(taken, "pipeline")), "doc_id")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    taken = mixing.mix_sources(docs, carry=tuple(docs.columns)).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

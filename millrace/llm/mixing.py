@@ -98,7 +98,7 @@ def source_targets(totals: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> D
     return ordered.select("src", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(float(rate))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs (doc_id, text, source)``.
 
     size is the number of words (runs other than ASCII white space); a null or empty text has 0 and
@@ -107,13 +107,14 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 4
     and the seeded hash of (doc_id, text) says which, so reruns agree. taken is size times the times
     the document is taken, never over ``most`` times. A null source is a source of its own, apart
     from the empty one, and comes last. Rows with null doc_id and repeated rows are documents like
-    any other; an empty table gives no rows. Other columns aren't read.
+    any other; an empty table gives no rows. Other columns than those and those in ``carry`` aren't
+    read; columns named in ``carry`` are returned inside the struct ``row``.
     """
     ship(docs.sparkSession)
     src = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", src.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", src.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
         .withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")),
         "mix",
     )
@@ -132,6 +133,6 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 4
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("h") * F.lit(1), "doc_id"))
     times = F.col("repeats") + (F.col("rank") <= F.col("quota")).cast("int")
     return (
-        sized.select("doc_id", "h", *keys).withColumn("rank", rank).join(cut(dealt, "mix"), keys)
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), F.when(F.col("src") != "", F.substring("src", 2, 1 << 30)).alias("source"), times.cast("int").alias("times"))
+        sized.select("doc_id", "h", *keys, *(["row"] if carry else [])).withColumn("rank", rank).join(cut(dealt, "mix"), keys)
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), F.when(F.col("src") != "", F.substring("src", 2, 1 << 30)).alias("source"), times.cast("int").alias("times"), *(["row"] if carry else []))
     )

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from millrace.llm import mixing
 
 
 def test_stages(spark, sf_dir):
@@ -30,6 +31,15 @@ def test_odd_rows_pass(spark, odd_docs, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
 
 
+def test_mix_takes_rows_without_and_with_repeated_ids(spark, sf_dir):
+    """Each row as often as the mix takes it; sizes tell the rows apart."""
+    rows = [(None if k % 3 == 0 else k // 2, " ".join(["w"] * (k + 1)), f"s{k % 4}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(r.doc_id, r.source, r["size"]): r.times for r in mixing.mix_sources(docs).collect() if r.times}
+    assert any(d is None for d, _, _ in want) and len(set(want.values())) > 1
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in corpus_pipeline.mix(spark, docs, sf_dir).collect()) == want
+
+
 def test_one_of_each_group_stays(spark, sf_dir, odd_docs):
     kept = corpus_pipeline.near_duplicates(spark, odd_docs.select("doc_id", "text"), sf_dir).collect()
     ids = Counter(r.doc_id for r in kept)
