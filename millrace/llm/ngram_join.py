@@ -177,13 +177,13 @@ def _sets(n: int):
                 if many > 1_000_000:
                     cells += np.bincount(np.concatenate(waiting), minlength=CELLS)
                     waiting, many = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(len(size), pa.int32())], names=["doc_id", "n", "cls", "bits", "wide", "segment"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(size, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(len(size), pa.int32())], names=["doc_id", "digest", "n", "cls", "bits", "wide", "segment"])
         if waiting:
             cells += np.bincount(np.concatenate(waiting), minlength=CELLS)
         if cells.any():
             parts = cells.astype("<i4").reshape(-1, SEGMENT)
-            none = [pa.nulls(len(parts), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32())], names=["doc_id", "n", "cls", "bits", "wide", "segment"])
+            none = [pa.nulls(len(parts), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(len(parts), pa.binary()), pa.array(range(len(parts)), pa.int32())], names=["doc_id", "digest", "n", "cls", "bits", "wide", "segment"])
 
     return run
 
@@ -295,9 +295,11 @@ def _bound(percent: int):
 
 def _tokens_of(n: int):
     def run(batches):
-        shingle = shingler_for(n)
+        shingle, done = shingler_for(n), set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([shingle(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], names=["cls", "tokens"])
+            rows = {c: t for c, t in zip(batch.column("cls").to_pylist(), batch.column("text"), strict=True) if c not in done}
+            done.update(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([shingle(t.as_py()).tobytes() for t in rows.values()], pa.binary())], names=["cls", "tokens"])
 
     return run
 
@@ -320,8 +322,9 @@ class _Join:
         self.n, self.percent = n, percent
         spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        rows = cut(self.docs.mapInArrow(_sets(n), "doc_id long, n long, cls long, bits binary, wide binary, segment int"), "ngram")
-        self.members = rows.where("segment is null").select("doc_id", "n", "cls", "bits", "wide")
+        self.docs = self.docs.withColumn("digest", F.xxhash64("text"))
+        rows = cut(self.docs.mapInArrow(_sets(n), "doc_id long, digest long, n long, cls long, bits binary, wide binary, segment int"), "ngram")
+        self.members = rows.where("segment is null").select("doc_id", "digest", "n", "cls", "bits", "wide")
         cells = rows.where("segment is not null").select("segment", "bits").repartition("segment").mapInArrow(_add_cells, "segment int, bits binary")
         # the sketch has a fixed size: CELLS counts
         counts = np.concatenate([np.frombuffer(r.bits, "<i8") for r in cells.orderBy("segment").collect()] or [np.zeros(CELLS, np.int64)])
@@ -331,7 +334,7 @@ class _Join:
         self.cells = np.minimum(counts // scale, 65_535).astype("<u2").tobytes()
         self.frequent //= scale
         self.classes = cut(
-            self.members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "ngram"
+            self.members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide")), "ngram"
         )
         self.spark = spark
 
@@ -349,10 +352,10 @@ class _Join:
         x = c.select(F.col("cls").alias("a"), "n", F.col("bits").alias("x"))
         y = c.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
         likely = cut(pairs.join(x, "a").join(y, "b").where(self._near("n", "m")).mapInArrow(_bound(self.percent), "a long, b long"), "ngram")
-        wanted = cut(likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct().join(self.classes.select("cls", "rep"), "cls"), "ngram")
+        wanted = cut(likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct().join(self.classes.select("cls", F.col("row.doc_id").alias("rep"), F.col("row.digest").alias("of")), "cls"), "ngram")
         if rows_below(wanted, BROADCAST_ROWS):
             wanted = F.broadcast(wanted)
-        texts = self.docs.join(wanted, F.col("doc_id") == F.col("rep")).select("cls", "text")
+        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("of"))).select("cls", "text")
         sets = cut(texts.mapInArrow(_tokens_of(self.n), "cls long, tokens binary").dropDuplicates(["cls"]), "ngram")
         x, y = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
         return cut(likely.join(x, "a").join(y, "b").mapInArrow(_verify(self.percent), "a long, b long"), "ngram")

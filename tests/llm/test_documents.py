@@ -80,6 +80,20 @@ def test_ngram_join_of_frequent_tokens(spark, monkeypatch, short):
     assert got == linked(rows, 3, 80)
 
 
+def test_ngram_join_of_null_and_clashing_ids(spark):
+    """Near copies link where all rows of their classes have null or the same doc_ids."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for k in range(40):
+        w = [f"u{rnd.randrange(10_000)}" for _ in range(60)]
+        rows += [(None, " ".join(w)), (k if k % 2 else 1000, " ".join([*w, "end"])), (2000 + k % 5, " ".join(["begin", *w]))]
+        rows += [(None, " ".join(["x", *w[:50]])), (None, " ".join(["y", *w[:50]]))]
+    got = sorted((tuple(r) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=key)
+    assert got == linked(rows, 3, 90)
+
+
 def test_signatures_are_shared_by_linked_sets():
     rnd = np.random.default_rng(3)
     for frequent in (0, 50, 100):
