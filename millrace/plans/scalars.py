@@ -154,7 +154,7 @@ def text_layout(spark, sf_dir):
 
 @query(None)
 def collated_compare(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 8).alias("a"), F.upper(F.substring("text", 3, 8)).alias("b"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.upper(F.expr("substring(text, 3)")).alias("b"))
     return d.select("*", text.compare_folded(F.col("a"), F.col("b")).alias("order"))
 
 

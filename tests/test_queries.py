@@ -21,3 +21,10 @@ def test_entry_imports(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_collated_compare_takes_whole_texts(spark, sf_dir):
+    got = {r.doc_id: (r.a, r.b) for r in QUERIES["collated_compare"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert {d: a for d, (a, _) in got.items()} == texts
+    assert all(len(b) >= len(texts[d]) - 2 for d, (_, b) in got.items() if b is not None)
