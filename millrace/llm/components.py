@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
-from .store import cut
+from .store import cut, discard
 
 _EDGE = "a long, b long"
 
@@ -62,7 +62,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").mapInArrow(_forest, _EDGE), "cc")
     seen = None
     while True:
-        now = cut(_star(_star(now, True), False), "cc")
+        before, now = now, cut(_star(_star(now, True), False), "cc")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
         if state == seen or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -71,10 +71,10 @@ def test_ngram_join_of_frequent_tokens(spark, monkeypatch, short):
             w[rnd.randrange(len(w))] = f"x{rnd.randrange(1000)}"
         rows.append((k, " ".join(w)))
     rows += [(100 + k, " ".join(base[: 40 + k])) for k in range(0, 60, 3)]
-    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     monkeypatch.setattr(ngram_join, "SHORT", short)
     monkeypatch.setattr(ngram_join, "TILE", 16)
-    monkeypatch.setattr(ngram_join, "DEVIATIONS", 0)
+    monkeypatch.setattr(ngram_join, "CHUNK_DOCS", 16)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(tuple(r) for r in ngram_join.ngram_components(d, 3, 80).collect())
     assert got == linked(rows, 3, 80)
@@ -95,17 +95,48 @@ def test_ngram_join_of_null_and_clashing_ids(spark):
 
 
 def test_signatures_are_shared_by_linked_sets():
+    """Sets that share just enough tokens, with counts around the frequent ones' bound and tokens that no other document holds."""
     rnd = np.random.default_rng(3)
-    for frequent in (0, 50, 100):
-        cells = rnd.integers(0, 101, ngram_join.CELLS)
+    checked = 0
+    for most in (3, 100, 5000):
         for n in (9, 10, 11, 40, 300, 2000):
             for percent in (80, 90):
-                a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
-                cut = int(len(a) * (100 - percent) / 100)
-                b = np.unique(np.concatenate([a[: len(a) - cut // 2], rnd.integers(0, 1 << 63, cut // 2).astype(np.uint64)]))
-                both = len(np.intersect1d(a, b))
-                if 100 * both >= percent * (len(a) + len(b) - both) and len(a) != both:
-                    assert len(np.intersect1d(ngram_join.signatures(a, cells, frequent, percent), ngram_join.signatures(b, cells, frequent, percent)))
+                tokens = np.unique(rnd.integers(0, 1 << 48, 2 * n).astype(np.uint64))
+                count = rnd.integers(2, most, len(tokens))
+                take = rnd.permutation(len(tokens))
+                change = (n * (100 - percent) // 100) // 2
+                a, b = take[:n], np.concatenate([take[: n - change], take[n : n + change]])
+                both = n - change
+                if not change or 100 * both < percent * (2 * n - both):
+                    continue
+                got = []
+                for own, other in ((a, b), (b, a)):
+                    alone = np.setdiff1d(own, other)[: rnd.integers(0, change + 1)]  # these no other document holds
+                    held = np.setdiff1d(own, alone)
+                    level = ngram_join.level_of(count[held])
+                    order = np.lexsort((tokens[held], level))
+                    got.append(ngram_join.signatures(tokens[held][order], level[order], n, percent))
+                assert len(np.intersect1d(*got))
+                checked += 1
+    assert checked > 20
+
+
+def test_tokens_pack():
+    tokens = np.sort(np.random.default_rng(1).integers(0, 1 << 48, 1000).astype(np.uint64))
+    assert np.array_equal(ngram_join.unpack(ngram_join.pack(tokens)), tokens) and len(ngram_join.unpack(ngram_join.pack(tokens[:0]))) == 0
+
+
+def test_tokens_are_counted_in_all_documents(odd_docs, rows_of):
+    """Chunks of few documents: each candidate's shared tokens are those that at least two documents hold."""
+    join = ngram_join._Join(odd_docs, 1, 50)
+    sets = {s for r in rows_of if (s := shingles(r[1], 1))}
+    held = Counter(t for s in sets for t in s)
+    alone = Counter((len(s), sum(held[t] == 1 for t in s)) for s in sets)
+    got = {(r.cls, r.n, r.alone) for r in join.candidates.collect()}
+    # copies in several chunks count as others, so such a set has no token of its own
+    assert all(alone[n, own] or own == 0 for _, n, own in got)
+    want = sum(k for (n, own), k in alone.items() if 100 * (n - own) >= 50 * n and n > 1)
+    assert len({g[0] for g in got}) >= want
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
@@ -114,7 +145,7 @@ def test_lists_stream_in_batches_of_any_size(size):
 
     rnd = np.random.default_rng(8)
     rows = sorted((int(a), int(b)) for a, b in zip(rnd.integers(0, 25, 90), rnd.integers(0, 9, 90), strict=True))
-    batches = [pa.RecordBatch.from_pydict({"sig": [r[0] for r in part], "cls": [r[1] for r in part], "n": pa.array([5] * len(part), pa.int32())}) for k in range(0, len(rows), size) for part in [rows[k : k + size]]]
+    batches = [pa.RecordBatch.from_pydict({"sig": [r[0] for r in part], "cls": [r[1] for r in part], "n": pa.array([5] * len(part), pa.int64())}) for k in range(0, len(rows), size) for part in [rows[k : k + size]]]
     got = [tuple(r.values()) for b in ngram_join._lists(batches) for r in b.to_pylist()]
     members = defaultdict(list)
     for sig, cls in sorted(set(rows)):
@@ -125,9 +156,10 @@ def test_lists_stream_in_batches_of_any_size(size):
 def test_bitmaps_bound_the_difference():
     rnd = np.random.default_rng(4)
     for n, m in ((5, 9), (200, 150), (5000, 600)):
-        a, b = (np.unique(rnd.integers(0, 1 << 63, k).astype(np.uint64)) for k in (n, m))
+        a, b = (np.unique(rnd.integers(0, 1 << 48, k).astype(np.uint64)) for k in (n, m))
         b = np.unique(np.concatenate([b, a[: n // 2]]))
-        assert ngram_join.bitmaps_differ(ngram_join.bitmap(a).tobytes(), ngram_join.bitmap(b).tobytes()) <= len(np.setxor1d(a, b))
+        maps = [ngram_join.bitmap(x, len(x) + 7).tobytes() for x in (a, b)]  # seven more tokens aren't in the map
+        assert ngram_join.bitmaps_differ(*maps) <= len(np.setxor1d(a, b))
 
 
 # ---- long repeats
