@@ -9,31 +9,43 @@ suffixes that start such strings are to be told apart to that depth, in buckets:
 * Entries whose anchor hash occurs once in the corpus drop out. For the others a second pass emits
   the bytes around the anchor; entries of equal bytes are one row with a count from here on (one
   that counts two is repeated as a whole, whatever else its bucket holds).
-* Buckets are sorted one block at a time, in memory bounded by the block. Offsets are relative to the
-  anchor, so that the suffixes to be compared lie on the same residues of the cover's period
-  ``COVER``: a sampled place is reached within one period from each. The ranks of the samples' strings
-  of ``length - COVER`` bytes are computed first; two suffixes then tie over ``length`` bytes if
-  their sample ranks and the ``COVER`` bytes before and after the samples' strings are equal, so that
-  no comparison reads ``length`` bytes again.
-* A bucket too large for a block is split by suffix: each string of ``length`` bytes is then counted
-  by its digest, with map-side combining.
+* Buckets are sorted one block at a time, in memory bounded by the block. The places whose distance to the
+  anchor has a residue in ``RESIDUES``, a difference cover of the period ``COVER``, are the block's sample.
+  Their ranks are computed first, by doubling: a sampled place's successor at a multiple of the period is
+  sampled too, so ranks of h bytes give those of 2 h. Suffixes are then sorted by their first
+  ``COVER`` bytes; longer ties are resolved by the ranks at the shift that takes both suffixes to
+  sampled places, and by the last few bytes, so that no comparison reads ``length`` bytes again.
+* A bucket too large for a block is split by a longer prefix, again and again: its entries' runs fall into
+  pieces of fewer suffixes at the same distances from the anchor, and all bytes that the suffixes of a piece
+  have in common name the new bucket. A piece of one suffix has ``length`` of them, so that its
+  bucket holds one entry with a count.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 from .store import cut, rows_below
 
-GRAM, COVER = 48, 16
+GRAM = 48
+#: Least length of the strings.
+LEAST = 64
+#: A difference cover: any two residues modulo COVER have a shift that takes both into RESIDUES.
+COVER, RESIDUES = 16, (0, 1, 2, 5, 8)
 #: Bytes of a text hashed at once, entries of a sorted block, and bits of the filter of repeated anchors at most.
-PIECE, BLOCK, FILTER_BITS = 1 << 20, 4096, 1 << 27
+PIECE, BLOCK, FILTER_BITS = 1 << 20, 2048, 1 << 27
+#: A block is sorted when it has so many suffixes, or as many entries as a bucket may have.
+SUFFIXES = 1 << 19
+#: Suffixes in a piece of a run, each time that a bucket is split.
+SPLITS = (64, 8, 1)
 #: Rows of an id list that may be broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 SALTS = 8
@@ -173,42 +185,105 @@ def _entry_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], names=list(kinds))
 
 
-def sort_block(spans: list[bytes], leads: np.ndarray, buckets: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes of a block's entries tie with another over ``length`` bytes.
+def common_shifts() -> np.ndarray:
+    """For each two residues the least shift that takes both into the cover."""
+    held = np.isin(np.arange(2 * COVER) % COVER, RESIDUES)
+    return np.array([[np.flatnonzero(held[a : a + COVER] & held[b : b + COVER])[0] for b in range(COVER)] for a in range(COVER)])
 
-    Returns the flags of all entries' suffixes, one entry after the other. Suffixes tie only within
-    their bucket and at equal offsets from the anchor.
+
+_SHIFT, _COVERED = common_shifts().astype(np.int32), np.isin(np.arange(COVER), RESIDUES)
+
+
+def _words(text: np.ndarray, places: np.ndarray, size: int) -> list[np.ndarray]:
+    """The ``size`` bytes from each place on as numbers that sort as they do."""
+    windows = np.lib.stride_tricks.sliding_window_view(text, 8)
+    return [windows[places + k].view(">u8")[:, 0].astype(np.uint64) for k in range(0, size, 8)]
+
+
+def _dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Ranks of keys that ``order`` sorts; equal keys have one."""
+    new = np.zeros(len(order), bool)
+    for key in keys:
+        k = key[order]
+        new[1:] |= k[1:] != k[:-1]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
+
+def sample_ranks(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """By place, the rank of the ``depth`` bytes from each sampled place on, in their order.
+
+    depth is a multiple of COVER. Places whose successors aren't sampled have ranks of no meaning.
+    """
+    at = np.full(len(text) + depth, -1, np.int32)
+    at[places] = np.arange(len(places), dtype=np.int32)
+    high, low = _words(text, places, COVER)
+    rank, size = _dense(np.lexsort((low, high)), high, low), COVER
+    while size < depth:
+        step = min(size, depth - size)
+        key = (rank.astype(np.int64) << 32) + rank[at[places + step]]
+        rank = _dense(np.argsort(key), key)
+        size += step
+    out = np.zeros(len(text), np.int32)
+    out[places] = rank
+    return out
+
+
+def sort_block(spans: list[bytes], leads: np.ndarray, buckets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a block's suffixes by bucket and first ``length`` bytes, and which of them tie with the one before.
+
+    Suffixes are numbered entry by entry. Equal strings lie at equal distances from their anchors, so
+    that only such suffixes are said to tie.
     """
     counts = np.array([len(s) - length + 1 for s in spans])
-    begins = np.concatenate([[0], np.cumsum([len(s) for s in spans])[:-1]]).astype(np.int32)
+    sizes = np.array([len(s) for s in spans])
+    begins = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(spans) + bytes(length + 8), np.uint8)
     entry = np.repeat(np.arange(len(spans), dtype=np.int32), counts)
     within = np.arange(len(entry), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
-    offset = leads.astype(np.int32)[entry] - within  # bytes from the suffix to its anchor
-    start = begins[entry] + within
-    depth = length - COVER
-    ahead = offset % COVER  # to the next sampled place
-    sample = start + ahead
-    # ranks of the samples' strings, each computed once
-    places, which = np.unique(sample, return_inverse=True)
-    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[places]).view(np.dtype((np.void, depth)))[:, 0]
-    ranks = np.unique(strings, return_inverse=True)[1].astype(np.int32)
-    del strings
-    which = which.astype(np.int32)
-    # the bytes before and after: COVER together
-    edge = np.empty((len(start), COVER), np.uint8)
-    for k in range(COVER):
-        edge[:, k] = text[np.where(k < ahead, start + k, sample + depth + k - ahead)]
-    a, b = edge.view("<u8").T
-    with np.errstate(over="ignore"):
-        h = _mix(buckets[entry].astype(np.uint64) * _MULTIPLY + offset.astype(np.uint64))
-        for x in (ranks[which].astype(np.uint64), a, b):
-            h = _mix(h * _MULTIPLY + x)
-    order = np.argsort(h, kind="stable")
+    start, offset = begins.astype(np.int32)[entry] + within, within - leads.astype(np.int32)[entry]  # offset: from the anchor
+    depth = (length // COVER - 1) * COVER
+    # every place's distance from its anchor
+    place = np.arange(len(text) - length - 8, dtype=np.int32) - np.repeat((begins + leads).astype(np.int32), sizes)
+    rank = sample_ranks(text, np.flatnonzero(_COVERED[place % COVER]), depth)
+    residue, bucket = offset % COVER, buckets.astype(np.int32)[entry]
+    del place, entry, within
+    high, low = _words(text, start, COVER)
+    order = np.lexsort((low, high, bucket))
+    group = _dense(order, bucket, high, low)
+    del high, low
+    # the last bytes, of which those before the ranks' end are equal anyway where they come to be compared
+    tail = _words(text, start + length - (16 if length % COVER == 0 else 32), 16 if length % COVER == 0 else 32)
+    long = rank[start + _SHIFT[residue, residue]]
+    order = np.lexsort((*tail[::-1], long, group))
     i, j = order[:-1], order[1:]
-    tie = (h[i] == h[j]) & (buckets[entry[i]] == buckets[entry[j]]) & (offset[i] == offset[j]) & (ranks[which[i]] == ranks[which[j]]) & (a[i] == a[j]) & (b[i] == b[j])
-    flags = np.zeros(len(entry), bool)
-    flags[i[tie]] = flags[j[tie]] = True
+    tie = (group[i] == group[j]) & (long[i] == long[j]) & (offset[i] == offset[j])
+    for t in tail:
+        tie &= t[i] == t[j]
+    # groups of several residues: their order takes the shift that two suffixes have in common
+    edge = np.flatnonzero(np.concatenate([[True], group[i] != group[j], [True]]))
+    mixed = np.add.reduceat(np.concatenate([(group[i] == group[j]) & (residue[i] != residue[j]), [False]]), edge[:-1]) > 0 if len(order) else []
+    tie = np.concatenate([[False], tie])
+
+    def compare(x: int, y: int) -> int:
+        shift = _SHIFT[residue[x], residue[y]]
+        p, q = rank[start[x] + shift], rank[start[y] + shift]
+        if p == q:
+            p, q = (text[start[k] + shift + depth : start[k] + length].tobytes() for k in (x, y))
+        return int(p > q) - int(p < q)
+
+    for k in np.flatnonzero(mixed).tolist():
+        part = sorted(order[edge[k] : edge[k + 1]].tolist(), key=cmp_to_key(compare))
+        order[edge[k] : edge[k + 1]] = part
+        tie[edge[k] + 1 : edge[k + 1]] = [offset[x] == offset[y] and compare(x, y) == 0 for x, y in zip(part, part[1:], strict=False)]
+    return order, tie
+
+
+def tied(order: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Which suffixes tie with another."""
+    flags = np.zeros(len(order), bool)
+    flags[order] = tie | np.concatenate([tie[1:], [False]])
     return flags
 
 
@@ -223,12 +298,14 @@ def _sort_buckets(length: int):
 
     def run(batches):
         rows: list[tuple] = []
+        many = 0
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "place", "span", "n")), strict=True):
-                if len(rows) >= BLOCK and r[0] != rows[-1][0]:
+                if (len(rows) >= BLOCK or many >= SUFFIXES) and r[0] != rows[-1][0]:
                     yield _sorted(rows, length)
-                    rows = []
+                    rows, many = [], 0
                 rows.append(r)
+                many += len(r[3]) - length + 1
         if rows:
             yield _sorted(rows, length)
 
@@ -247,7 +324,7 @@ def _sorted(rows: list[tuple], length: int) -> pa.RecordBatch:
             if rows[k][4] == 1:
                 flags[k][:] = False
         if len(use):
-            got = sort_block([spans[k] for k in use], leads[use], buckets[use], length)
+            got = tied(*sort_block([spans[k] for k in use], leads[use], buckets[use], length))
             ends = np.cumsum([len(spans[k]) - length + 1 for k in use])
             for k, f in zip(use.tolist(), np.split(got, ends[:-1]), strict=True):
                 flags[k] |= f
@@ -257,26 +334,37 @@ def _sorted(rows: list[tuple], length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in hit], pa.binary()), pa.array([_runs(flags[k]) for k in hit], pa.binary())], names=["key", "runs"])
 
 
-def _listed(batches):
-    """Lists of suffixes as runs."""
-    for batch in batches:
-        runs = [np.repeat(np.array(at, "<i4"), 2).tobytes() for at in batch.column("at").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(runs, pa.binary())], names=["key", "runs"])
-
-
-def _window_digests(length: int):
-    """Each suffix of large buckets' entries as a digest of its first ``length`` bytes."""
+def _pieces(length: int, size: int):
+    """The runs of large buckets' entries in pieces of ``size`` suffixes, by the bytes that a piece's suffixes share."""
 
     def run(batches):
         for batch in batches:
-            for key, span, n in zip(batch.column("key").to_pylist(), batch.column("span").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                digests = [hashlib.blake2b(span[k : k + length], digest_size=16).digest() for k in range(len(span) - length + 1)]
-                m = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * m, pa.binary()), pa.array(range(m), pa.int32()), pa.array(digests, pa.binary()), pa.array([n] * m, pa.int64())], names=["key", "at", "digest", "n"])
+            rows = {k: [] for k in ("parent", "at", "anchor", "key", "place", "span", "n")}
+            for anchor, parent, lead, span, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "place", "span", "n")), strict=True):
+                for piece in range((lead - (len(span) - length)) // size, lead // size + 1):
+                    first, last = max(0, lead - (piece + 1) * size + 1), min(len(span) - length, lead - piece * size)
+                    part, place = span[first : last + length], lead - first
+                    shared = span[lead - piece * size : lead - (piece + 1) * size + 1 + length]
+                    rows["parent"].append(parent)
+                    rows["at"].append(first)
+                    rows["anchor"].append(xxhash.xxh3_64_intdigest(b"%d %d %d " % (anchor, size, piece) + shared) - (1 << 63))
+                    rows["key"].append(hashlib.blake2b(part + b"%d %d" % (place, anchor), digest_size=16).digest())
+                    rows["place"].append(place)
+                    rows["span"].append(part)
+                    rows["n"].append(n)
+            kinds = {"parent": pa.binary(), "at": pa.int32(), "anchor": pa.int64(), "key": pa.binary(), "place": pa.int32(), "span": pa.binary(), "n": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], names=list(kinds))
 
     return run
 
 
+def _moved(batches):
+    """Runs counted from their parents' first suffixes."""
+    for batch in batches:
+        runs = [(np.frombuffer(r, "<i4") + np.int32(at)).tobytes() for r, at in zip(batch.column("runs").to_pylist(), batch.column("at").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("parent"), pa.array(runs, pa.binary())], names=["key", "runs"])
+
+
 def _remove(length: int, texts_too: bool):
     """Removes the runs from each text."""
 
@@ -302,6 +390,21 @@ def _remove(length: int, texts_too: bool):
     return run
 
 
+def _repeats(spans: DataFrame, length: int, splits: tuple[int, ...]) -> DataFrame:
+    """``(key, runs)`` of entries ``spans (anchor, key, place, span, n)``: runs of suffixes that others equal."""
+    # large buckets are few, as each has so many different entries
+    large = cut(spans.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("anchor"), "repeats")
+    small = spans if large.isEmpty() else spans.join(large, "anchor", "left_anti")
+    found = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(length), "key binary, runs binary")
+    if large.isEmpty() or not splits:
+        return found
+    schema = "parent binary, at int, anchor long, key binary, place int, span binary, n long"
+    pieces = cut(spans.join(large, "anchor", "left_semi").mapInArrow(_pieces(length, splits[0]), schema), "repeats")
+    parts = cut(pieces.groupBy("anchor", "key", "place", "span").agg(F.sum("n").alias("n")), "repeats")
+    below = _repeats(parts, length, splits[1:]).join(pieces.select("key", "parent", "at"), "key")
+    return found.union(below.select("parent", "at", "runs").mapInArrow(_moved, "key binary, runs binary"))
+
+
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """``(row, first, runs)`` of ``docs (row, text)``: runs of suffixes, counted from first, that start repeated strings."""
     spark = docs.sparkSession
@@ -315,15 +418,7 @@ def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     schema = "row binary, anchor long, first int, last int, place int, span binary, key binary"
     entries = cut(docs.mapInArrow(_entries(length, bits, words.tobytes()), schema), "repeats")
     spans = cut(entries.groupBy("anchor", "key", "place", "span").agg(F.count("*").alias("n")), "repeats")
-    # large buckets are few, as each has so many different entries
-    large = cut(spans.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("anchor"), "repeats")
-    small = spans.join(large, "anchor", "left_anti") if not large.isEmpty() else spans
-    found = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_buckets(length), "key binary, runs binary")
-    if not large.isEmpty():
-        digests = cut(spans.join(large, "anchor", "left_semi").mapInArrow(_window_digests(length), "key binary, at int, digest binary, n long"), "repeats")
-        many = digests.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
-        listed = digests.join(many, "digest").groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("at"))  # an entry's suffixes
-        found = found.union(listed.mapInArrow(_listed, "key binary, runs binary"))
+    found = _repeats(spans, length, SPLITS)
     # entries of one key may be many: they meet salted copies of its runs
     salted = cut(found, "repeats").select("key", "runs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salt = F.pmod(F.xxhash64("row", "first"), F.lit(SALTS)).cast("int")
@@ -334,18 +429,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, texts_too: bool = True) -
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row of ``docs (doc_id, text)``.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in this
-    document or another, is removed; strings are judged on the input and never cross documents.
+    document or another, is removed (``length`` is ``LEAST`` or more); strings are judged on the input and never cross documents.
     kept holds the remaining bytes (null if ``texts_too`` is false). Null texts are empty; texts shorter than ``length`` stay. Rows
     are told apart by doc_id and text, so rows with null or repeated doc_ids are documents of their
     own, and a row that comes twice loses all that ``length`` bytes cover. An empty table gives no
     rows. Other columns aren't read.
     """
     ship(docs.sparkSession)
+    if length < LEAST:
+        raise ValueError(f"length must be at least {LEAST}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     row = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")).cast("binary")))
     texts = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), row.alias("row"))
     runs = repeated_runs(texts.where(F.octet_length("text") >= length).select("row", "text"), length)
-    hit = cut(runs.groupBy("row").agg(F.collect_list(F.struct("first", "runs")).alias("r")).select("row", F.col("r.first").alias("firsts"), F.col("r.runs").alias("runs")), "repeats")
+    hit = cut(runs.groupBy("row").agg(F.collect_set(F.struct("first", "runs")).alias("r")).select("row", F.col("r.first").alias("firsts"), F.col("r.runs").alias("runs")), "repeats")
     keys = hit.select("row")
     if rows_below(keys, BROADCAST_ROWS):
         keys = F.broadcast(keys)
