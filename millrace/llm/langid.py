@@ -19,14 +19,18 @@ from pyspark.sql import types as T
 
 from ..sources.shipping import ship
 from .caches import held
+from .store import rows_below
 
 #: The learner's bounds: documents of each language, characters of each document, distinct words of each language.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 30_000
 EM_ROUNDS = 4
-SALTS = 16
+#: So many times the sample's documents, about, are ranked; a bound of their hashes keeps the others out.
+RANKED = 4
+#: Rows of the table of languages that may be broadcast.
+MOST_LABELS = 100_000
 #: A worker keeps the scores of so many words at most.
 CACHE = 500_000
-#: Longer words are scored by blocks of this many characters.
+#: Words of up to this many characters are scored together with others of their length, longer ones one by one; the learner cuts these.
 WORD_MAX = 48
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
@@ -38,7 +42,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.ids = {p: k for k, p in enumerate(pieces)}
-        self.longest = min(16, max(map(len, pieces), default=1))
+        self.longest = max(map(len, pieces), default=1)
 
     def edges(self, words: list[str]) -> np.ndarray:
         """Piece ids by (start, length - 1, word); len(ids) where there is none, and one more for unknown characters."""
@@ -52,7 +56,7 @@ class Lattice:
 
 
 def forward(edges: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha by (place, word), scaled by nothing: words are at most WORD_MAX long."""
+    """alpha by (place, word), without scale: the learner's words are short."""
     n, longest, words = edges.shape
     alpha = np.zeros((n + 1, words))
     alpha[0] = 1
@@ -62,6 +66,43 @@ def forward(edges: np.ndarray, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(edges: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Each word's log-likelihood: the sum over all segmentations, scaled from place to place."""
+    n, longest, words = edges.shape
+    alpha, logs = np.zeros((n + 1, words)), np.zeros(words)
+    alpha[0] = 1
+    for start in range(n):
+        reach = min(longest, n - start)
+        for size in range(1, reach + 1):
+            alpha[start + size] += alpha[start] * prob[edges[start, size - 1]]
+        top = alpha[start + 1 : start + reach + 1].max(axis=0)
+        alpha[start + 1 : start + reach + 1] /= top
+        logs += np.log(top)
+    return logs + np.log(alpha[n])
+
+
+def log_forward_long(lattice: Lattice, word: str, table: np.ndarray) -> np.ndarray:
+    """The same for one word of any length, by language: the places ahead are held only."""
+    ids, longest, n = lattice.ids, lattice.longest, len(word)
+    ahead, logs = np.zeros((longest + 1, len(table))), np.zeros(len(table))
+    ahead[0] = 1
+    by_piece = np.ascontiguousarray(table.T)
+    for start in range(n):
+        here = ahead[0]
+        for size in range(1, min(longest, n - start) + 1):
+            k = ids.get(word[start : start + size])
+            if k is not None:
+                ahead[size] += here * by_piece[k]
+            elif size == 1:
+                ahead[1] += here * by_piece[-1]
+        ahead[:-1] = ahead[1:]
+        ahead[-1] = 0
+        top = ahead.max(axis=0)
+        ahead /= top
+        logs += np.log(top)
+    return logs + np.log(ahead[0])
+
+
 def _expected(edges: np.ndarray, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words that occur ``counts`` times."""
     n, longest, words = edges.shape
@@ -91,7 +132,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _blocks(word: str) -> list[str]:
-    """A word with its start marked, in blocks that the forward algorithm can take."""
+    """A word with its start marked, in blocks for the learner."""
     word = "▁" + word
     return [word[k : k + WORD_MAX] for k in range(0, len(word), WORD_MAX)]
 
@@ -121,15 +162,17 @@ class Scorer:
         self.scores, self.used = np.zeros((1024, len(table))), 0
 
     def _learn(self, new: list[str]) -> None:
-        cutup = [_blocks(w) for w in new]
         found: dict[str, np.ndarray] = {}
-        for ws in _by_length({b for bs in cutup for b in bs}).values():
+        for size, ws in _by_length("▁" + w for w in new).items():
+            if size > WORD_MAX:
+                found.update((w, log_forward_long(self.lattice, w, self.table)) for w in ws)
+                continue
             for k in range(0, len(ws), 4096):
                 e = self.lattice.edges(ws[k : k + 4096])
-                found.update(zip(ws[k : k + 4096], np.log(np.maximum([forward(e, p)[-1] for p in self.table], 1e-300)).T, strict=True))
+                found.update(zip(ws[k : k + 4096], np.array([log_forward(e, p) for p in self.table]).T, strict=True))
         while self.used + len(new) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.used : self.used + len(new)] = [found[b[0]] if len(b) == 1 else sum(found[x] for x in b) for b in cutup]
+        self.scores[self.used : self.used + len(new)] = [found["▁" + w] for w in new]
         self.known.update(zip(new, range(self.used, self.used + len(new)), strict=True))
         self.used += len(new)
 
@@ -183,16 +226,18 @@ def _counter(batches):
 def fit(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Learn from a bounded sample of the labelled rows that aren't held out.
 
-    The sample: of each language, the ``sample_docs`` rows of smallest hashed doc_id (a top-k with
-    map-side pruning over two narrow columns), ``SAMPLE_CHARS`` characters of each for learning only,
-    and of their words the ``SAMPLE_WORDS`` most frequent.
+    The sample: of each language, the ``sample_docs`` doc_ids of smallest hash (those above a bound
+    that leaves ``RANKED`` times as many, of the approximate number of distinct doc_ids, aren't
+    ranked), ``SAMPLE_CHARS`` characters of each for learning only, and of their words the
+    ``SAMPLE_WORDS`` most frequent. Words of over ``WORD_MAX`` characters are learned from in blocks.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
-    chosen = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    for keys in (("lang", "salt"), ("lang",)):  # the last rank sees SALTS * sample_docs rows of a language at most
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        chosen = chosen.withColumn("k", rank).where(F.col("k") <= sample_docs).drop("k")
-    chosen = chosen.select("doc_id", "lang").distinct()
+    # one row for each language; more labels than that aren't sent
+    rates = labelled.groupBy("lang").agg((F.lit(RANKED * sample_docs) / F.approx_count_distinct("doc_id", 0.02)).alias("rate"))
+    rates = F.broadcast(rates) if rows_below(rates, MOST_LABELS) else rates
+    hashed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(rates, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("rate") * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "doc_id"))
+    chosen = hashed.distinct().withColumn("k", rank).where(F.col("k") <= sample_docs).select("doc_id", "lang")
     # at most sample_docs rows for each language
     texts = labelled.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     words = texts.select("lang", "text").mapInArrow(_counter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -223,7 +268,7 @@ def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] =
     Null texts and those without a letter are ``und`` with score 0, as is everything when no row is
     labelled outside the held-out quarter. A null doc_id isn't held out, nor learned from. Repeated
     rows are rows like any other; an empty table gives none. lang, source and doc_id never reach
-    the scorer. Words of over 48 characters are scored by blocks.
+    the scorer. A word's likelihood sums all its segmentations, whatever its length.
     """
     ship(docs.sparkSession)
     pieces = vocabulary_pieces(vocabulary)
