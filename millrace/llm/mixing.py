@@ -12,17 +12,18 @@ from .store import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Budgets up to so many words are fitted by dynamic programming; more is first filled from the longest documents.
 DP_WORDS = 1 << 14
-#: Each class of equal sizes is dealt into so many buckets by hash, so that no task ranks a whole class.
+#: Each class of equal sizes is dealt into so many buckets by hash at least, so that no task ranks a whole class; more where the session has more shuffle partitions.
 BUCKETS = 64
 
 
 def fit_budget(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
-    """How many documents to take of each size so that their words come as near ``budget`` from below as can be.
+    """How many documents to take of each size so that their words come near ``budget`` from below.
 
-    Every size first gives its share of documents in proportion; of the documents left, the longest
-    that fit are taken until the rest is within ``dp_words``; that rest is fitted exactly by
-    bounded-knapsack dynamic programming over bit sets of reachable sums (each count split into
-    powers of two).
+    A budget of at most ``dp_words`` is met by the best subset sum, by bounded-knapsack dynamic
+    programming over bit sets of reachable sums (each count split into powers of two). Of a larger one
+    every size first gives its share of documents in proportion; of the documents left, the longest
+    that fit are taken until the rest is within ``dp_words``; the best subset sum of the documents left then
+    meets that rest.
     """
     counts = {s: n for s, n in counts.items() if s > 0 and n > 0}
     whole = sum(s * n for s, n in counts.items())
@@ -30,7 +31,7 @@ def fit_budget(counts: dict[int, int], budget: int, dp_words: int = DP_WORDS) ->
         return {}
     if budget >= whole:
         return counts
-    take = {s: n * budget // whole for s, n in counts.items()}
+    take = {s: n * budget // whole if budget > dp_words else 0 for s, n in counts.items()}
     rest = budget - sum(s * n for s, n in take.items())
     for s in sorted(counts, reverse=True):
         if rest <= dp_words:
@@ -112,10 +113,11 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 4
     """
     ship(docs.sparkSession)
     src = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     sized = cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", src.alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
-        .withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")),
+        .withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int")),
         "mix",
     )
     counted = cut(sized.groupBy("src", "size", "bucket").agg(F.first("source").alias("source"), F.count("*").alias("m")), "mix")
