@@ -81,7 +81,7 @@ def _cell(threshold: float):
 
     def run(key, table):
         side = table.column("side").to_numpy()
-        ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
+        ids, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         keys = table.column("key").to_pylist()
         dim = key[1].as_py()
         x = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64).reshape(-1, dim)
@@ -131,7 +131,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     vectors and those with a null or non-finite component link with nothing. Equal vectors of a label are one class,
     which is compared once and stands for any number of copies. component_id is the smallest vec_id
     reachable by links, itself included; kept says whether that is the vector's own. A null vec_id
-    has component_id null if it links with nothing, and isn't kept. Rows that repeat a vec_id are
+    links like any other; its component_id is null if no vec_id is reachable, and it isn't kept. Rows that repeat a vec_id are
     vectors of their own, but one node of a component. An empty table gives no rows. Other columns
     aren't read.
     """
@@ -141,22 +141,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = cut(rows.mapInArrow(_prepared, schema), "vectors")
     linked = rows.where("key is not null")
     classes = linked.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
-    classes = cut(classes.where("rep is not null"), "vectors")
+    classes = cut(classes.withColumn("node", F.xxhash64("key")), "vectors")
     counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     tiled = classes.join(F.broadcast(counts) if counts.limit(10_001).count() <= 10_000 else counts, ["label", "dim"]).withColumn("tile", tile)
     # a vector goes to every cell of its tile: cells are pairs (i <= j) of tiles
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = tiled.withColumn("other", other).select(
-        "label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "rep", "copies", "key", "raw"
+        "label", "dim", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node", "copies", "key", "raw"
     )
     found = cut(dealt.groupBy("label", "dim", "i", "j").applyInArrow(_cell(threshold), "key binary, links long, a long, b long"), "vectors")
     sums = found.where("key is not null").groupBy("key").agg(F.sum("links").alias("links"))
     groups = connected_components(found.where("a is not null").select("a", "b"))
     named = cut(
-        classes.select("key", "rep", "copies").join(sums, "key", "left").join(groups, F.col("rep") == F.col("node"), "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vectors",
+        classes.select("key", "node", "rep", "copies").join(sums, "key", "left").join(groups, "node", "left")
+        .select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vectors",
     )
+    # classes whose vec_ids are all null are nodes like any other; a component is named by the ids that it has
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = cut(named.join(least, "component").select("key", "n_links", "component_id"), "vectors")
     salted = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = rows.select("vec_id", "key", F.pmod(F.coalesce("vec_id", F.lit(0)), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["key", "salt"], "left")
     component = F.coalesce("component_id", "vec_id")
