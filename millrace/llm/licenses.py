@@ -1,15 +1,18 @@
-"""License scans: TF-IDF cosine of lines and whole files to templates, inherited down the directories.
+"""License scans: TF-IDF cosine of lines, blocks and whole files to templates, inherited down the directories.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import cut, rows_below
@@ -29,25 +32,80 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 )
-#: Least cosine of a line or file with a template.
+#: The notices that licences ask to put at the head of each source file.
+HEADERS: tuple[tuple[str, str], ...] = (
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        'http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with "
+        "this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with "
+        "this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General "
+        "Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General "
+        "Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    ),
+)
+#: Licences whose whole public texts are in the folder ``texts``.
+WHOLE = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+#: Least cosine of a line, block or file with a template.
 THRESHOLD = 0.75
-#: Rows of the directory table (about 100 bytes each) and of the words' weights that may be broadcast.
+#: Rows of the directory table (about 100 bytes each), of the words' weights, of the parts that may match and of the licences found that may be broadcast.
 BROADCAST_ROWS = 100_000
 SALTS = 16
+#: The part that is a whole text; lines count from 0 up, blocks from -2 down.
+WHOLE_TEXT = -1
 WORD_BREAK = "[^a-z0-9]+"
+#: Between blocks: lines of white space only.
+BLOCK_BREAK = "\n[ \t\r]*\n"
 
 
 def words(text: str) -> list[str]:
     return [w for w in re.split(WORD_BREAK, text.lower()) if w]
 
 
-def weights(templates, idf: dict[str, float]) -> list[tuple[str, int, dict[str, float]]]:
+@functools.cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """Short notices, heads of source files and whole licences, by SPDX identifier."""
+    folder = Path(__file__).with_name("texts")
+    return TEMPLATES + HEADERS + tuple((name, (folder / f"{name}.txt").read_text(encoding="utf-8")) for name in WHOLE)
+
+
+def weights(templates, idf: dict[str, float]) -> list[dict[str, float]]:
     """Unit TF-IDF vectors of the templates."""
     out = []
-    for k, (name, text) in enumerate(templates):
-        v = {w: n * idf[w] for w, n in Counter(words(text)).items()}
+    for _, text in templates:
+        v = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(words(text)).items()}
         size = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        out.append((name, k, {w: x / size for w, x in v.items()}))
+        out.append({w: x / size for w, x in v.items()})
     return out
 
 
@@ -58,7 +116,7 @@ def anchor_words(vectors, threshold: float) -> list[str]:
     its cosine with any text.
     """
     out = set()
-    for _, _, v in vectors:
+    for v in vectors:
         rest = 1.0
         for w, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
             if rest < threshold * threshold - 1e-9:
@@ -73,65 +131,102 @@ def directory(path) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, path, own_license, score, is_license_file, license, license_path)`` for every row of ``files (doc_id, path, text)``.
+def _parts(texts: DataFrame) -> DataFrame:
+    """``(key, part, w, tf)``: the words of each line, each block between blank lines, and the whole of ``texts (key, text)``."""
+    lines = texts.select("key", F.posexplode(F.split("text", "\n")).alias("part", "text"))
+    blocks = texts.select("key", F.posexplode(F.split("text", BLOCK_BREAK)).alias("part", "text")).withColumn("part", -2 - F.col("part"))
+    return lines.unionByName(blocks).unionByName(texts.select("key", F.lit(WHOLE_TEXT).alias("part"), "text"))
+
+
+def _terms(parts: DataFrame) -> DataFrame:
+    words = parts.select("key", "part", F.explode(F.split("text", WORD_BREAK)).alias("w")).where("w <> ''")
+    return words.groupBy("key", "part", "w").agg((1 + F.log(F.count("*").cast("double"))).alias("x"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if rows_below(df, BROADCAST_ROWS) else df
+
+
+def own_licenses(texts: DataFrame, held: DataFrame, total: int, templates, threshold: float) -> DataFrame:
+    """``(key, own_license, score, is_license_file)`` of those of the distinct ``texts (key, text)`` that have a license.
 
-    The whole text and each of its lines are compared with each template by the cosine of TF-IDF
-    vectors: term counts of words (runs of a-z, 0-9 after lower-casing) times ln((1 + N) / (1 + df)) + 1,
-    df counting the rows whose text holds the word, of all N rows. own_license is the template of the best score of at least ``threshold`` in
-    any line or the whole (ties: the first template); score is that, rounded to 6 places, else
-    null. A file is a license file if its whole text scores so. A file without a license of its own
-    inherits that of the nearest directory, its own or one above, that holds a license file (of
-    several the first path); license_path names it, and is the path itself where the license is the file's
-    own; both are null where none is found. Null and empty texts have no license of their own. A null
-    path is in no directory: nothing is inherited, and its own license isn't found either. Rows that repeat a path
-    are one file whose lines are those of all. An empty table gives no rows. Other columns aren't read.
+    ``held (w, n)`` counts the rows with each word, ``total`` all rows.
     """
-    spark = files.sparkSession
-    rows = files.select("doc_id", "path", "text")
+    spark = texts.sparkSession
     vocabulary = sorted({w for _, t in templates for w in words(t)})
-    held = rows.where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), WORD_BREAK))).alias("w")).where("w <> ''")
-    held = cut(held.groupBy("w").agg(F.count("*").alias("n")), "licenses")
-    # one row for each template word comes to the driver
-    counts = {r.w: r.n for r in held.where(F.col("w").isin(vocabulary)).collect()}
-    total = rows.count()
-    idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary}
-    vectors = weights(templates, idf)
-    anchors = "(^|[^a-z0-9])(" + "|".join(anchor_words(vectors, threshold)) + ")($|[^a-z0-9])"
-    likely = rows.where(F.col("path").isNotNull() & F.lower("text").rlike(anchors)).select("path", F.lower("text").alias("text"))
-    line = likely.select("path", F.posexplode(F.split("text", "\n")).alias("part", "text")).where(F.col("text").rlike(anchors))
-    parts = line.unionByName(likely.select("path", F.lit(-1).alias("part"), "text"))
-    terms = parts.select("path", "part", F.explode(F.split("text", WORD_BREAK)).alias("w")).where("w <> ''").groupBy("path", "part", "w").agg(F.count("*").alias("tf"))
-    terms = cut(terms, "licenses")
-    weight = (F.log((1.0 + total) / (1 + F.col("n"))) + 1).alias("idf")
-    known = cut(held.join(terms.select("w").distinct(), "w", "left_semi").select("w", weight), "licenses")
-    if rows_below(known, BROADCAST_ROWS):
-        terms = terms.join(F.broadcast(known), "w")
+    # one row for each word of a template comes to the driver
+    counts = {r.w: r.n for r in held.join(F.broadcast(_table(spark, [(w,) for w in vocabulary], "w string")), "w").collect()}
+    vectors = weights(templates, {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary})
+    likely = texts.where(F.arrays_overlap(F.split("text", WORD_BREAK), F.array(*[F.lit(w) for w in anchor_words(vectors, threshold)])))
+    likely = cut(likely.dropDuplicates(["key"]), "licenses")
+    # the words that a part shares with a template must make up enough of the template's vector
+    known = F.broadcast(_table(spark, [(w, k, v) for k, vector in enumerate(vectors) for w, v in vector.items()], "w string, k int, v double"))
+    idf = (F.log((1.0 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1).alias("idf")
+    parts = _parts(likely)
+    shared = _terms(parts).join(known, "w").groupBy("key", "part").agg(*[F.sum(F.when(F.col("k") == k, F.col("v") * F.col("v"))).alias(f"c{k}") for k in range(len(vectors))])
+    can = cut(shared.where(F.greatest(*[F.coalesce(F.col(f"c{k}"), F.lit(0.0)) for k in range(len(vectors))]) >= threshold * threshold - 1e-9).select("key", "part"), "licenses")
+    terms = cut(_terms(parts.join(_sent(can), ["key", "part"], "left_semi")), "licenses")
+    weight = cut(held.join(terms.select("w").distinct(), "w", "left_semi").select("w", idf), "licenses")
+    if rows_below(weight, BROADCAST_ROWS):
+        terms = terms.join(F.broadcast(weight), "w")
     else:  # a word may be in many parts: they meet salted copies of its row
-        known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        terms = terms.withColumn("salt", F.pmod(F.xxhash64("path", "part"), F.lit(SALTS)).cast("int")).join(known, ["w", "salt"])
-    terms = terms.withColumn("x", F.col("tf") * F.col("idf"))
-    by_word = F.create_map(*[c for w in vocabulary for c in (F.lit(w), F.array(*[F.lit(float(v.get(w, 0.0))) for _, _, v in vectors]))])
-    share = F.try_element_at(by_word, F.col("w"))
-    dots = [F.sum(F.col("x") * F.coalesce(F.element_at(share, k + 1), F.lit(0.0))).alias(f"d{k}") for k in range(len(vectors))]
-    scored = terms.groupBy("path", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), *dots)
-    best = F.array_max(F.array(*[F.struct(F.round(F.col(f"d{k}") / F.col("size"), 6).alias("score"), F.lit(-k).alias("k")) for k in range(len(vectors))]))
-    names = F.array(*[F.lit(n) for n, _, _ in vectors])
-    scored = scored.withColumn("best", best).where(F.col("best.score") >= threshold)
-    own = scored.groupBy("path").agg(F.max("best").alias("best"), F.max(F.col("part") < 0).alias("is_license_file"))
-    own = cut(own.select("path", F.element_at(names, 1 - F.col("best.k")).alias("own_license"), F.col("best.score").alias("score"), "is_license_file"), "licenses")
+        weight = weight.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        terms = terms.withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.lit(SALTS)).cast("int")).join(weight, ["w", "salt"])
+    terms = terms.select("key", "part", "w", (F.col("x") * F.col("idf")).alias("x"))
+    sizes = terms.groupBy("key", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    dots = terms.join(known, "w").groupBy("key", "part", "k").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
+    scored = dots.join(sizes, ["key", "part"]).select("key", "part", F.struct(F.round(F.col("dot") / F.col("size"), 6).alias("score"), (-F.col("k")).alias("k")).alias("best"))
+    own = scored.where(F.col("best.score") >= threshold).groupBy("key").agg(F.max("best").alias("best"), F.max(F.col("part") == WHOLE_TEXT).alias("is_license_file"))
+    names = F.array(*[F.lit(n) for n, _ in templates])
+    return cut(own.select("key", F.element_at(names, 1 - F.col("best.k")).alias("own_license"), F.col("best.score").alias("score"), "is_license_file"), "licenses")
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver, as a literal."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    data = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.explode(F.from_json(F.lit(data), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")).alias("r")).select("r.*")
+
+
+def scan_licenses(files: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, path, own_license, score, is_license_file, license, license_path)`` for every row of ``files (doc_id, path, text)``.
+
+    Each line of a text, each block between blank lines (so the head of a source file, wherever it is) and the
+    whole are compared with each template (short notices, heads of files and whole licences) by the cosine of
+    TF-IDF vectors: 1 + ln of a word's count (words are runs of a-z, 0-9 after lower-casing) times
+    ln((1 + N) / (1 + df)) + 1, df counting the rows whose text holds the word, of all N rows.
+    own_license is the template of the best score of at least ``threshold`` (ties: the first
+    template); score is that, rounded to 6 places, else null. A file is a license file if its whole
+    text scores so. A file without a license of its own inherits that of the nearest directory, its
+    own or one above, that holds a license file (of several the first path, then the first license by name);
+    license_path names it, and is the row's own path where the license is its own; both are null where none is found. Null
+    and empty texts have no license of their own. A row with null path has its own license, is in no
+    directory and inherits nothing. Rows that repeat a path are files of their own. An empty table
+    gives no rows. Other columns aren't read.
+    """
+    templates = templates or globals()["templates"]()
+    rows = files.select("doc_id", "path", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    texts = rows.where("text is not null").select("key", F.lower("text").alias("text"))
+    held = texts.select(F.explode(F.array_distinct(F.split("text", WORD_BREAK))).alias("w")).where("w <> ''")
+    held = cut(held.groupBy("w").agg(F.count("*").alias("n")), "licenses")
+    own = own_licenses(texts, held, rows.count(), templates, threshold)
+    slim = rows.select("doc_id", "path", "key", directory("path").alias("dir"), F.pmod(F.xxhash64("path", "doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    if rows_below(own, BROADCAST_ROWS):
+        slim = slim.join(F.broadcast(own), "key", "left")
+    else:  # a text may have many copies: they meet salted copies of its row
+        slim = slim.join(own.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["key", "salt"], "left")
+    slim = cut(slim.drop("key"), "licenses")
     # nearest license of each directory: its ancestors meet the directories that hold a license file
-    at = own.where("is_license_file").select(directory("path").alias("above"), F.struct("path", "own_license").alias("found")).groupBy("above").agg(F.min("found").alias("found"))
-    dirs = rows.where("path is not null").select(directory("path").alias("dir")).distinct()
+    at = slim.where("is_license_file and path is not null").select(F.col("dir").alias("above"), F.struct("path", "own_license").alias("found")).groupBy("above").agg(F.min("found").alias("found"))
+    dirs = slim.where("path is not null").select("dir").distinct()
     steps = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(steps))), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("above")))
-    nearest = dirs.select("dir", F.explode(up).alias("u")).select("dir", "u.depth", "u.above").join(at, "above").groupBy("dir").agg(F.max(F.struct("depth", "found")).alias("near")).select("dir", "near.found")
+    nearest = dirs.select("dir", F.explode(up).alias("u")).select("dir", "u.depth", "u.above").join(at, "above").groupBy("dir").agg(F.max_by("found", "depth").alias("found"))
     nearest = cut(nearest.select("dir", F.col("found.own_license").alias("inherited"), F.col("found.path").alias("inherited_from")), "licenses")
-    out = rows.select("doc_id", "path", directory("path").alias("dir"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt")).join(own, "path", "left")
     if rows_below(nearest, BROADCAST_ROWS):
-        out = out.join(F.broadcast(nearest), "dir", "left")
+        out = slim.join(F.broadcast(nearest), "dir", "left")
     else:  # a directory may hold many files: they meet salted copies of its row
-        out = out.join(nearest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["dir", "salt"], "left")
+        out = slim.join(nearest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["dir", "salt"], "left")
     return out.select(
         "doc_id", "path", "own_license", "score", F.coalesce("is_license_file", F.lit(False)).alias("is_license_file"),
         F.coalesce("own_license", "inherited").alias("license"), F.when(F.col("own_license").isNotNull(), F.col("path")).otherwise(F.col("inherited_from")).alias("license_path"),

@@ -48,40 +48,62 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_
 """
 
 
+# the CRC's table is made from its polynomial; bytes are read from the text's hex
+ORACLE["op10_shards"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b::BIGINT] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))
+), d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), hexed AS (
+  SELECT doc_id, octet_length(b) AS n, hex(b) AS h FROM d
+), s AS (
+  SELECT doc_id, (n + 1)::BIGINT AS size,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM hexed, crc_table
+), o AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM s
+), p AS (
+  SELECT *, least(15, floor(before::DOUBLE / total::DOUBLE * 16))::INT AS shard FROM o
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY before) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM p
+"""
+
+
 def _licenses() -> str:
-    from .licenses import TEMPLATES, THRESHOLD
+    from .licenses import THRESHOLD, templates, words
 
-    values = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{n}', '{' '.join(words(t))}')" for k, (n, t) in enumerate(templates()))
     return f"""
 WITH f AS (
-  SELECT doc_id, text, source || (CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '/p' || (doc_id % 7) || '/' END) || doc_id || '.txt' AS path FROM documents
+  SELECT doc_id, text, source AS source_dir, source || (CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '/p' || (doc_id % 7) || '/' END) || doc_id || '.txt' AS path FROM documents
 ), t(k, name, body) AS (VALUES {values}
-), tw AS (SELECT k, w, count(*) AS tf FROM (SELECT k, unnest(string_split_regex(lower(body), '[^a-z0-9]+')) AS w FROM t) WHERE w <> '' GROUP BY 1, 2
+), tw AS (SELECT k, w, 1 + ln(count(*)) AS tf FROM (SELECT k, unnest(string_split(body, ' ')) AS w FROM t) GROUP BY 1, 2
 ), n AS (SELECT count(*) AS n FROM f
-), df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM f) WHERE w IN (SELECT w FROM tw) GROUP BY 1
-), idf AS (SELECT v.w, ln((1.0 + n.n) / (1 + coalesce(df.df, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tw) v CROSS JOIN n LEFT JOIN df USING (w)
-), tv AS (SELECT k, w, tf * idf AS x, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS size FROM tw JOIN idf USING (w)
+), df AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM f) GROUP BY 1
+), tv AS (SELECT k, w, tf * idf AS x, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS size
+  FROM (SELECT k, w, tf, ln((1.0 + n.n) / (1 + coalesce(df.df, 0))) + 1 AS idf FROM tw CROSS JOIN n LEFT JOIN df USING (w))
 ), parts AS (
-  SELECT path, -1 AS part, lower(text) AS body FROM f WHERE text IS NOT NULL
-  UNION ALL SELECT path, unnest(range(len(l))) AS part, unnest(l) AS body FROM (SELECT path, string_split(lower(text), chr(10)) AS l FROM f)
-), pw AS (SELECT path, part, w, count(*) AS tf FROM (SELECT path, part, unnest(string_split_regex(body, '[^a-z0-9]+')) AS w FROM parts) WHERE w <> '' GROUP BY 1, 2, 3
-), pv AS (SELECT path, part, w, tf * coalesce(idf, ln(1.0 + n.n) + 1) AS x FROM pw CROSS JOIN n LEFT JOIN idf USING (w)
-), ps AS (SELECT path, part, sqrt(sum(x * x)) AS size FROM pv GROUP BY 1, 2
+  SELECT doc_id, 'whole' AS kind, 0 AS part, lower(text) AS body FROM f WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'line', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM f)
+  UNION ALL SELECT doc_id, 'block', unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, string_split_regex(lower(text), '\n[ \t\r]*\n') AS l FROM f)
+), pw AS (SELECT doc_id, kind, part, w, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, kind, part, unnest(string_split_regex(body, '[^a-z0-9]+')) AS w FROM parts) WHERE w <> '' GROUP BY ALL
+), pv AS (SELECT doc_id, kind, part, w, tf * (ln((1.0 + n.n) / (1 + df.df)) + 1) AS x FROM pw CROSS JOIN n JOIN df USING (w)
+), ps AS (SELECT doc_id, kind, part, sqrt(sum(x * x)) AS size FROM pv GROUP BY ALL
 ), s AS (
-  SELECT path, part, k, round(sum(pv.x * tv.x / tv.size) / any_value(ps.size), 6) AS score FROM pv JOIN tv USING (w) JOIN ps USING (path, part) GROUP BY 1, 2, 3
+  SELECT doc_id, kind, part, k, round(sum(pv.x * tv.x / tv.size) / any_value(ps.size), 6) AS score FROM pv JOIN tv USING (w) JOIN ps USING (doc_id, kind, part) GROUP BY 1, 2, 3, 4
 ), own AS (
-  SELECT path, max(score) AS score, min(k) FILTER (score = m) AS k, bool_or(part = -1) AS is_license_file
-  FROM (SELECT *, max(score) OVER (PARTITION BY path) AS m FROM s WHERE score >= {THRESHOLD}) GROUP BY 1
-), o AS (SELECT path, score, name AS own_license, is_license_file, regexp_replace(path, '/[^/]*$', '') AS dir FROM own JOIN t USING (k)
-), lf AS (SELECT dir, min(path) AS path, arg_min(own_license, path) AS lic FROM o WHERE is_license_file GROUP BY 1
+  SELECT doc_id, max(score) AS score, min(k) FILTER (score = m) AS k, bool_or(kind = 'whole') AS is_license_file
+  FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM s WHERE score >= {THRESHOLD}) GROUP BY 1
+), o AS (SELECT doc_id, path, score, name AS own_license, is_license_file, regexp_replace(path, '/[^/]*$', '') AS dir FROM own JOIN t USING (k) JOIN f USING (doc_id)
+), lf AS (SELECT dir, min(path) AS path, arg_min(own_license, path) AS lic FROM o WHERE is_license_file AND path IS NOT NULL GROUP BY 1
 )
 SELECT f.doc_id, f.path, o.own_license, o.score, coalesce(o.is_license_file, false) AS is_license_file,
        coalesce(o.own_license, a.lic, b.lic) AS license,
        CASE WHEN o.own_license IS NOT NULL THEN f.path WHEN a.lic IS NOT NULL THEN a.path ELSE b.path END AS license_path
-FROM f LEFT JOIN o ON o.path = f.path
+FROM f LEFT JOIN o ON o.doc_id = f.doc_id
 LEFT JOIN lf a ON a.dir = regexp_replace(f.path, '/[^/]*$', '')
 LEFT JOIN lf b ON b.dir = f.source_dir
-""".replace("SELECT doc_id, text, source ||", "SELECT doc_id, text, source AS source_dir, source ||")
+"""
 
 
 ORACLE["op4_licenses"] = _licenses()
