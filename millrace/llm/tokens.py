@@ -24,6 +24,8 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _UNITS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Pieces whose ids are kept in a worker at most, and texts encoded together.
 CACHE, TOGETHER = 900_000, 512
+#: Rows of a batch that a reader returns.
+READ_ROWS = 50_000
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -107,7 +109,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         fs, where = open_fs(folder)
         fs.create_dir(where, recursive=True)
         name = f"{part:06d}-{uuid.uuid4().hex}"  # each attempt writes its own files; the manifest names those that count
-        ids, ends, total = [], [], 0
+        ids, ends, total, nulls = array("q"), array("q", [0]), 0, 0
         with fs.open_output_stream(f"{where}/{name}.bin") as out:
             for batch in batches:
                 for at in range(0, batch.num_rows, TOGETHER):
@@ -116,13 +118,14 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                         out.write(got)
                         out.write(end)
                         total += len(got) // encoder.dtype.itemsize + 1
-                        ids.append(-1 if doc is None else doc)
+                        nulls += doc is None  # these come first
+                        ids.append(doc or 0)
                         ends.append(total)
         with fs.open_output_stream(f"{where}/{name}.idx") as out:
-            out.write(np.array([0, *ends], "<u8").tobytes())
+            out.write(np.array(ends).astype("<u8").tobytes())
         with fs.open_output_stream(f"{where}/{name}.doc") as out:
-            out.write(np.array(ids, "<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": [len(ids)], "tokens": [total], "width": pa.array([encoder.dtype.itemsize], pa.int32())})
+            out.write(np.array(ids).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": [len(ids)], "tokens": [total], "width": pa.array([encoder.dtype.itemsize], pa.int32()), "nulls": [nulls]})
 
     return write
 
@@ -131,11 +134,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> tuple
     """Encode ``docs (doc_id, text)`` and write the ids in ascending order of doc_id.
 
     Returns the folder and the list of files ``(name, documents, tokens, bytes of an id, first
-    token's place)``, one entry for each partition; the places are prefix sums of the partitions'
+    token's place, null doc_ids)``, one entry for each partition; the places are prefix sums of the partitions'
     totals. ``name.bin`` holds the ids as little-endian unsigned integers (16 bits where the
     vocabulary allows), ``name.idx`` 64-bit offsets of its documents and the end, ``name.doc`` their
     doc_ids (64-bit). Null texts are empty; every document ends with ``end_id``. Null doc_ids come
-    first and are -1 in the file. Rows of equal doc_id go by their text. An empty table gives empty
+    first; the list has their number, and the file any value in their place. Rows of equal doc_id go by their text. An empty table gives empty
     files. Other columns aren't read. The tokenizer's path must exist on every executor.
     """
     ship(docs.sparkSession)
@@ -144,10 +147,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> tuple
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("text").cast("binary")).alias("c"))
     ordered = ordered.repartitionByRange(parts, "doc_id", "c").sortWithinPartitions("doc_id", "c").select("doc_id", "text")
-    manifest = cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, name string, docs long, tokens long, width int"), "tokens")
+    manifest = cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id), "part int, name string, docs long, tokens long, width int, nulls long"), "tokens")
     files, base = [], 0
     for r in manifest.orderBy("part").collect():  # one row for each partition
-        files.append((r.name, r.docs, r.tokens, r.width, base))
+        files.append((r.name, r.docs, r.tokens, r.width, base, r.nulls))
         base += r.tokens
     return folder, files
 
@@ -164,12 +167,15 @@ def read_token_files(spark, folder: str, files: list[tuple]) -> DataFrame:
         fs, where = open_fs(folder)
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                name, _, _, width, base = files[k]
+                name, _, _, width, base, nulls = files[k]
                 tokens = np.frombuffer(map_file(fs, f"{where}/{name}.bin"), f"<u{width}")
                 at = np.frombuffer(map_file(fs, f"{where}/{name}.idx"), "<u8").astype("int64")
                 doc = np.frombuffer(map_file(fs, f"{where}/{name}.doc"), "<i8")
-                crc = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == -1), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for k in range(0, len(doc), READ_ROWS):
+                    ends = at[k : k + READ_ROWS + 1]
+                    crc = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                    some = doc[k : k + READ_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, mask=np.arange(k, k + len(some)) < nulls), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = list(files)
     return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, _READ)
