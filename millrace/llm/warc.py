@@ -20,6 +20,8 @@ MAGIC = b"WARC/1.0\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes read at once beyond a block, as long as a header that starts in it doesn't end.
 READ_ON = 1 << 16
+#: Bytes of archives that a task reads, at most, where the session's shuffle partitions would have more.
+TASK_BYTES = 256 << 20
 #: Salts of a digest's rows when they look up the first of their payload.
 SALTS = 16
 #: Rows of the table of repeated payloads (40 bytes each) that may be broadcast.
@@ -168,6 +170,12 @@ def _parser(folder: str):
     return parse
 
 
+def _tasks(files: DataFrame) -> int:
+    """Tasks for work on archives: their rows are small, so the bytes behind them must count."""
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    return max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
+
+
 def record_boundaries(folder: str, files: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """``(file, at, after)`` of the records of uncompressed archives ``files (file, bytes)`` in a folder.
 
@@ -176,9 +184,10 @@ def record_boundaries(folder: str, files: DataFrame, block_bytes: int = 4 << 20)
     past the candidate's block at once and double in each round, so a magic inside a payload, on no
     chain from the file's start, falls away. A break in the chain ends a file's records.
     """
+    tasks = _tasks(files)
     blocks = files.where("bytes > 0").select("file", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {block_bytes}L)")).alias("begin"))
     blocks = blocks.withColumn("end", F.least("bytes", F.col("begin") + block_bytes))
-    found = cut(blocks.repartition("file", "begin").mapInArrow(_scanner(folder), "file string, at long, after long, jump long"), "warc")
+    found = cut(blocks.repartition(tasks, "file", "begin").mapInArrow(_scanner(folder), "file string, at long, after long, jump long"), "warc")
     # entries: where chains enter a block. jump: candidate -> first place in a later block
     jump = found.select("file", "at", "jump")
     entry = files.where("bytes > 0").select("file", F.lit(0).cast("long").alias("at"))
@@ -227,4 +236,5 @@ def read_warc(folder: str, files: DataFrame, block_bytes: int = 4 << 20) -> Data
     broken = files.where("bytes > 0").join(filled, "file", "left").where("filled is null or filled <> bytes").first()
     if broken:
         raise ValueError(f"{broken.file}: its records have {broken.filled or 0} of its {broken.bytes} bytes")
-    return records.mapInArrow(_parser(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, file_offset long")
+    dealt = records.repartition(_tasks(files), "file", F.floor(F.col("at") / block_bytes)).sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(_parser(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, file_offset long")
