@@ -180,7 +180,7 @@ def without_repeats(rows, length):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("block", [4096, 4])
+@pytest.mark.parametrize("block", [4096, 4, 1])
 def test_long_repeats(odd_docs, rows_of, monkeypatch, block):
     monkeypatch.setattr(long_repeats, "BLOCK", block)
     got = long_repeats.remove_repeats(odd_docs, 80, texts_too=False).drop("kept").collect()
@@ -192,6 +192,57 @@ def test_long_repeats_of_documents(small, spark, sf_dir):
     assert sorted(map(tuple, queries.op8_long_repeats(spark, sf_dir).collect()), key=key) == without_repeats(rows, 400)
 
 
+def test_any_two_residues_have_a_common_shift():
+    shifts = long_repeats.common_shifts()
+    for a in range(long_repeats.COVER):
+        for b in range(long_repeats.COVER):
+            assert {(x + shifts[a, b]) % long_repeats.COVER for x in (a, b)} <= set(long_repeats.RESIDUES)
+
+
+@pytest.mark.parametrize("length", [64, 80, 87, 400])
+def test_suffixes_are_sorted(length):
+    """Whole blocks against sorted strings: periodic texts, whose suffixes tie at any residues, among others."""
+    rnd = np.random.default_rng(length)
+    for kinds in (2, 4, 200):
+        spans, leads, buckets = [], [], []
+        base = rnd.integers(0, kinds, 2 * length).astype(np.uint8)
+        for k in range(40):
+            text = bytes(np.tile(base[: rnd.integers(1, 9)], 3 * length)[: rnd.integers(length, 2 * length)]) if k % 3 == 0 else bytes(base[(at := rnd.integers(0, length // 2)) : at + length + rnd.integers(0, length // 2)])
+            spans.append(text)
+            leads.append(int(rnd.integers(len(text) - length, length)))
+            buckets.append(k % 2)
+        order, tie = long_repeats.sort_block(spans, np.array(leads), np.array(buckets), length)
+        rows = [(buckets[e], spans[e][w : w + length], leads[e] - w) for e in range(len(spans)) for w in range(len(spans[e]) - length + 1)]
+        got = [rows[k] for k in order]
+        assert [r[:2] for r in got] == sorted(r[:2] for r in rows)
+        many = Counter(rows)
+        assert all(many[a] > 1 and a[:2] == b[:2] for a, b, t in zip(got[1:], got, tie[1:], strict=False) if t)
+        # strings of equal offsets, as all equal ones have in a real bucket
+        rows = [r[:2] for r in rows]
+        order, tie = long_repeats.sort_block(spans, np.array([len(x) - length for x in spans]), np.array(buckets), length)
+        assert [rows[k] for k in order] == sorted(rows)
+
+
+@pytest.mark.parametrize(("size", "goes"), [(300, False), (399, False), (400, True), (500, True)])
+def test_planted_passages(spark, size, goes):
+    """A passage of over 50 words goes from two documents if it has 400 bytes, and stays if it has fewer."""
+    import random
+
+    rnd = random.Random(size)
+    word = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    passage = " ".join(word(rnd.randrange(2, 5)) for _ in range(300))[: size - 1] + "."
+    assert len(passage) == size and len(passage.split()) > 50
+    rows = [(k, "".join([word(700), "<["[k], passage, ">]"[k], word(300 + k)])) for k in range(2)] + [(k, word(900)) for k in range(2, 20)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in long_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()}
+    assert got == {k: (size, 1) if k < 2 and goes else (0, 0) for k in range(20)}
+
+
+def test_equal_rows_lose_what_repeats(spark):
+    rows = [(None, "x" * 500 + str(k % 2)) for k in range(60)]
+    got = long_repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400, texts_too=False).collect()
+    assert len(got) == 60 and {(r.n_bytes, r.n_removed) for r in got} == {(501, 501)}
+
+
 def test_long_repeats_keeps_the_rest(spark):
     same = "0123456789" * 12
     d = spark.createDataFrame([(1, "head " + same + " tail"), (2, same), (3, "unlike")], "doc_id long, text string")
@@ -221,6 +272,14 @@ def test_token_files(odd_docs, rows_of, spark):
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
 
 
+def test_token_files_keep_every_id(spark, monkeypatch):
+    """Negative ids are ids; null ones are null and come first; readers return slices."""
+    monkeypatch.setattr(tokens, "READ_ROWS", 2)
+    rows = [(-1, "a b"), (None, "c"), (-(1 << 63), "d"), (0, ""), (None, None), ((1 << 63) - 1, "e"), (-1, "f")]
+    got = tokens.read_token_files(spark, *tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary(queries.BYTE_BPE))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
+
+
 @pytest.mark.parametrize("text", ["", "  a  b", " x", "x\n\n y", "é—ü 12,000.5, don't. it's, a.b,c", "a\tb", "<|endoftext|> hi", "Ünï, x.", "ab1, 1,", " \n", "a,.", "x.\nY, z.", "漢字 かな"])
 def test_encoder_equals_the_library(text):
     encoder = tokens.Encoder(queries.vocabulary(queries.BYTE_BPE))
@@ -246,6 +305,19 @@ def test_shards(odd_docs, rows_of, n):
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
 
 
+@pytest.mark.parametrize("n", [1, 3, 16, 500])
+def test_shards_cut_the_running_bytes(odd_docs, rows_of, n):
+    """The law is ``bytes``: a row's shard follows from the bytes before it alone, so copies of a text can lie in several."""
+    rows = sorted(((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows_of), key=key)
+    total, at, want, slots = sum(r[1] for r in rows), 0, Counter(), Counter()
+    for r in rows:
+        shard = at * n // total
+        want[*r, "bytes", shard, slots[shard], None] += 1
+        slots[shard] += 1
+        at += r[1]
+    assert Counter(map(tuple, sharding.shard_documents(odd_docs, n).collect())) == want
+
+
 def test_shards_are_balanced(small):
     sizes = defaultdict(int)
     most = 0
@@ -289,19 +361,72 @@ def test_mix(odd_docs, rows_of):
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
 
 
+def best_sum(counts, budget):
+    """The largest sum up to budget, by enumerating all reachable ones."""
+    sums = {0}
+    for size, n in counts.items():
+        sums = {t + size * k for t in sums for k in range(n + 1) if t + size * k <= budget}
+    return max(sums)
+
+
+def test_mix_comes_as_near_its_targets_as_can_be(odd_docs, rows_of):
+    """Each source's words against its target: the best subset sum where its budget is small, else within a document."""
+    counts = defaultdict(Counter)
+    for r in rows_of:
+        counts[r[3]][len(WORD.findall(r[1] or ""))] += 1
+    want = targets_of({s: sum(n * k for n, k in c.items()) for s, c in counts.items()})
+    taken, small = Counter(), 0
+    for r in mixing.mix_sources(odd_docs).collect():
+        taken[r.source] += r.taken
+    for source, c in counts.items():
+        whole = sum(n * k for n, k in c.items())
+        repeats = int(want[source] // whole) if whole else 0
+        budget = round(want[source] - repeats * whole)
+        if budget <= mixing.DP_WORDS:
+            small += 1
+            assert taken[source] == repeats * whole + best_sum({n: k for n, k in c.items() if n}, min(budget, whole))
+        else:
+            assert 0 <= round(want[source]) - taken[source] <= max(c)
+    assert small >= 3
+
+
+def test_mix_of_the_smallest_documents(small):
+    """Whole repeats of a source, and the best subset sum for what is left of its target."""
+    rows = mixing.mix_sources(small).collect()
+    taken, target, counts = Counter(), {}, defaultdict(Counter)
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        counts[r.source][r["size"]] += 1
+    for source, c in counts.items():
+        whole = sum(n * k for n, k in c.items())
+        repeats = int(target[source] // whole)
+        assert taken[source] == repeats * whole + best_sum(c, min(whole, round(target[source] - repeats * whole)))
+
+
+def test_mix_without_words(spark):
+    got = mixing.mix_sources(spark.createDataFrame([(1, "", "a"), (2, None, None), (3, "  ", "b")], "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in got) == [(k, 0, 0, 0.0, 0) for k in (1, 2, 3)]
+
+
 def test_budget_is_the_best_subset_sum():
     import random
 
     rnd = random.Random(2)
-    for _ in range(60):
+    for _ in range(100):
         counts = {rnd.randrange(1, 40): rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 7))}
         whole = sum(s * n for s, n in counts.items())
         budget = rnd.randrange(0, whole + 10)
         take = mixing.fit_budget(counts, budget)
-        got = sum(s * n for s, n in take.items())
         assert all(0 <= n <= counts[s] for s, n in take.items())
-        assert got <= budget and budget - got < max(counts) + 1
+        assert sum(s * n for s, n in take.items()) == best_sum(counts, budget)
+    assert mixing.fit_budget({4: 3, 9: 1}, 9) == {4: 0, 9: 1}
+
+
+def test_a_large_budget_is_met_within_a_document():
     assert sum(s * n for s, n in mixing.fit_budget({s: 1000 for s in range(1, 500)}, 12_345_678).items()) == 12_345_678
+    counts = {100: 1000, 700: 1000}
+    assert 0 <= 300_050 - sum(s * n for s, n in mixing.fit_budget(counts, 300_050).items()) < 700
 
 
 # ---- language ID
@@ -331,8 +456,66 @@ def test_forward_sums_all_segmentations():
     def total(w):
         return 1.0 if not w else sum(prob[k] * total(w[len(p) :]) for k, p in enumerate(pieces) if w.startswith(p))
 
+    lattice = langid.Lattice(pieces)
     for w in ("a", "abab", "aababa"):
-        assert langid.forward(langid.Lattice(pieces).edges([w, w]), prob)[-1] == pytest.approx([total(w)] * 2)
+        assert langid.forward(lattice.edges([w, w]), prob)[-1] == pytest.approx([total(w)] * 2)
+        assert langid.log_forward(lattice.edges([w, w]), prob) == pytest.approx([np.log(total(w))] * 2)
+        assert langid.log_forward_long(lattice, w, prob[None]) == pytest.approx([np.log(total(w))])
+
+
+def exact_log(word, pieces, prob):
+    """The logarithm of the sum over all segmentations, in exact fractions."""
+    from fractions import Fraction
+
+    p = {x: Fraction(float(prob[k])) for k, x in enumerate(pieces)}
+    alpha = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        unknown = Fraction(float(prob[-1])) if word[end - 1] not in p else 0
+        alpha.append(alpha[end - 1] * unknown + sum((alpha[start] * p[word[start:end]] for start in range(max(0, end - 20), end) if word[start:end] in p), Fraction(0)))
+    big = alpha[-1]
+    return np.log(float(big * 2 ** (shift := max(0, big.denominator.bit_length() - big.numerator.bit_length())))) - shift * np.log(2)
+
+
+@pytest.mark.parametrize("size", [1, 47, 48, 60, 200, 900])
+def test_words_of_any_length_sum_all_segmentations(size):
+    """No cut inside a word, and no underflow: sixteen-letter and longer pieces, and letters that no piece has."""
+    rnd = np.random.default_rng(size)
+    pieces = ["\u2581", "a", "b", "ab", "ba", "aba", "abab" * 4, "b" * 18]
+    table = np.array([[*rnd.dirichlet(np.ones(len(pieces))), 0, langid.UNKNOWN] for _ in range(2)])
+    for letters in ("ab", "abx", "x"):
+        word = "".join(rnd.choice(list(letters), size))
+        want = [exact_log("\u2581" + word, pieces, p) for p in table]
+        assert langid.Scorer(pieces, table).totals([[word]])[0] == pytest.approx(want, rel=1e-9)
+        assert langid.Scorer(pieces, table).totals([[word, "ab", word]])[0] == pytest.approx([2 * w + exact_log("\u2581ab", pieces, p) for w, p in zip(want, table, strict=True)], rel=1e-9)
+
+
+def test_language_id_against_a_slow_scorer(small, odd_docs):
+    """Every document's language and share, word by word."""
+    pieces = langid.vocabulary_pieces(queries.vocabulary(queries.PIECES))
+    langs, table = langid.fit(small.select("doc_id", "text", "lang"), pieces)
+    lattice, known = langid.Lattice(pieces), {}
+
+    def score(word):
+        if word not in known:
+            known[word] = langid.log_forward_long(lattice, "\u2581" + word, table)
+        return known[word]
+
+    rows = small.where("doc_id % 5 = 0").collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_language(small, queries.vocabulary(queries.PIECES)).collect()}
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        total = sum(score(w) for w in r.text.lower().split())
+        best = int(np.argmax(total))
+        assert got[r.doc_id] == (langs[best], pytest.approx(1 / np.exp(total - total[best]).sum()))
+
+
+def test_equally_likely_languages_go_by_name(spark):
+    rows = [(k, "same words here", lang) for k, lang in enumerate(["b", "a"] * 40)]
+    got = langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("lang is not null"), queries.vocabulary(queries.PIECES)).collect()
+    scores = {r.score for r in got}
+    assert len({r.lang_pred for r in got}) == 1 and all(0.5 <= s <= 1 for s in scores)
 
 
 # ---- decontamination
@@ -389,6 +572,40 @@ def test_edited_copies_leak(spark, step, insert):
     assert {(r.doc_id, r.item_id): r.score for r in got.collect()} == pytest.approx(want)
 
 
+def test_leaks_against_all_pairs(spark):
+    """Every document with every item, without seeds: what scores half of the best and is not found keeps no 3-word run."""
+    rnd = np.random.default_rng(5)
+    vocabulary = [f"v{k}" for k in range(300)]
+    text = lambda n: [vocabulary[k] for k in rnd.integers(0, 300, n)]
+    items = [text(rnd.integers(15, 30)) for _ in range(12)]
+    rows = []
+    for rate in (0.0, 0.1, 0.2, 0.3, 0.4):
+        for k, item in enumerate(items):
+            edited = [vocabulary[rnd.integers(300)] if rnd.random() < rate else w for w in item]
+            rows.append((len(rows), " ".join(text(20) + edited + text(20))))
+    rows += [(1000, rows[0][1]), (1000, rows[0][1]), (None, rows[1][1]), (1001, " ".join(text(3000) + items[3] + text(3000)).upper())]
+    number = {w: k for k, w in enumerate(vocabulary)}
+    as_ids = lambda words: np.array([number[w.lower()] for w in words], np.uint64) * np.uint64(4)
+    want, kept_none = Counter(), 0
+    for d, t in rows:
+        words = t.lower().split()
+        runs = set(zip(words, words[1:], words[2:], strict=False))
+        for k, item in enumerate(items):
+            if len(words) > 1000 and k != 3:
+                continue
+            score = smith_waterman(as_ids(item), as_ids(words)) / (2 * len(item))
+            if score >= 0.5:
+                if runs & set(zip(item, item[1:], item[2:], strict=False)):
+                    want[d, k, round(score, 9)] += 1
+                else:
+                    kept_none += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "'x' AS item_id")
+    got = decontaminate.find_leaks(docs, spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()
+    found = Counter((r.doc_id, r.item_id, round(r.score, 9)) for r in got)
+    found = Counter({k: n for k, n in found.items() if k[0] != 1001 or k[1] == 3})
+    assert found == want and want[1000, 0, 1.0] == 2 and kept_none <= 1
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
@@ -413,27 +630,53 @@ def test_licenses(spark):
     rows = [
         (1, "top/LICENSE", "Released under the MIT License."), (2, "top/a.txt", "nothing here"), (3, "top/sub/deep/b.txt", "text\nLicensed under the Apache License, Version 2.0.\nmore text of the file"),
         (4, "top/sub/deep/c.txt", None), (5, "other/d.txt", ""), (6, None, "Released under the MIT License."), (7, "e.txt", "x"), (8, "top/sub/LICENSE", "Licensed under CC BY-NC 4.0."), (8, "top/sub/LICENSE", "Licensed under CC BY-NC 4.0."),
+        (None, None, None),
     ]
     got = {(r.doc_id, r.license, r.license_path) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {
         (1, "MIT", "top/LICENSE"), (2, "MIT", "top/LICENSE"), (3, "Apache-2.0", "top/sub/deep/b.txt"), (4, "CC-BY-NC-4.0", "top/sub/LICENSE"),
-        (5, None, None), (6, None, None), (7, None, None), (8, "CC-BY-NC-4.0", "top/sub/LICENSE"),
+        (5, None, None), (6, "MIT", None), (7, None, None), (8, "CC-BY-NC-4.0", "top/sub/LICENSE"), (None, None, None),
     }
 
 
+def test_whole_licenses_and_heads_of_files(spark):
+    """Each licence's whole text as a license file, with a line of its own above; files below inherit it; heads of source files are found among code."""
+    texts, heads = dict(licenses.templates()[-len(licenses.WHOLE) :]), licenses.HEADERS
+    rows = [(k, f"{name}/COPYING", "Copyright (c) 2020 Some Body\n\n" + text) for k, (name, text) in enumerate(texts.items())]
+    rows += [(100 + k, f"{name}/src/deep/{k}.c", f"int x{k};") for k, name in enumerate(texts)]
+    commented = lambda t: "\n".join(f" * {x}" for x in t.replace(". ", ".\n").split("\n"))
+    rows += [(200 + k, f"MIT/{k}.c", f"/*\n * Copyright 2021\n{commented(text)}\n */\n\n" + "\n".join(f"int f{i}(int a, int b) {{ return a + b; }}" for i in range(60))) for k, (_, text) in enumerate(heads)]
+    rows += [(300, "MIT/again", rows[8][2]), (301, "x/long.txt", "plain words of a text " * 20_000)]
+    d = spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "1 AS key", "2 AS score", "3 AS w", "4 AS part").repartition(3)
+    got = {r.doc_id: r for r in licenses.scan_licenses(d).collect()}
+    assert len(got) == len(rows)
+    for k, name in enumerate(texts):
+        assert (got[k].own_license, got[k].is_license_file, got[k].license_path) == (name, True, f"{name}/COPYING")
+        assert (got[100 + k].own_license, got[100 + k].license, got[100 + k].license_path) == (None, name, f"{name}/COPYING")
+    for k, (name, _) in enumerate(heads):
+        assert got[200 + k].own_license == name, name
+    assert got[300].own_license == rows[8][1].split("/")[0] and got[301].license is None
+
+
+def test_license_ties_go_to_the_first_template(spark):
+    two = (("B", "alpha beta gamma"), ("A", "gamma beta alpha"))
+    d = spark.createDataFrame([(1, "x/y", "alpha beta gamma"), (2, "x/z", "other")], "doc_id long, path string, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan_licenses(d, two).collect()} == {(1, "B"), (2, "B")}
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_licenses_weigh_words_by_the_whole_corpus(spark, monkeypatch, most):
-    """A notice beside words that nearly every row holds; weights by the counts of all words."""
+    """A notice beside words that nearly every row holds; weights by the counts of all words; tables joined by shuffles too."""
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
     notice = "Released under the MIT License."
     rows = [(k, f"d{k}/f.txt", f"en la word{k} text") for k in range(200)]
-    rows += [(300, "a/x.txt", f"en {notice} la\nword1 and more"), (301, "b/x.txt", f"{notice} word1 word2 word3 word4"), (302, None, "en la"), (303, "c/x.txt", None)]
+    rows += [(300, "a/x.txt", f"en {notice} la la la\nword1 and more"), (301, "b/x.txt", f"{notice} word1 word2 word3 word4"), (302, None, "en la"), (303, "c/x.txt", None)]
     df = Counter(w for _, _, t in rows for w in set(licenses.words(t or "")))
     idf = lambda w: np.log((1 + len(rows)) / (1 + df[w])) + 1
 
     def cosine(a, b):
-        a, b = Counter(licenses.words(a)), Counter(licenses.words(b))
-        return sum(a[w] * b[w] * idf(w) ** 2 for w in a) / np.sqrt(sum((n * idf(w)) ** 2 for w, n in a.items()) * sum((n * idf(w)) ** 2 for w, n in b.items()))
+        a, b = ({w: (1 + np.log(n)) * idf(w) for w, n in Counter(licenses.words(x)).items()} for x in (a, b))
+        return sum(a[w] * b.get(w, 0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
     got = {r.doc_id: (r.own_license, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got[300] == ("MIT", pytest.approx(cosine(rows[200][2].split("\n")[0], notice), abs=2e-6))

@@ -69,6 +69,15 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_without_id_link(spark):
+    rows = [(1, [1.0, 0.0, 0.01], 0), (None, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.0, -0.01], 0), (None, [0.0, 1.0, 0.0], 0), (3, [0.0, 1.0, 0.0], 1), (None, [0.0, 0.0, 1.0], 1)]
+    rows += [(10, [0.0, 1.0, 0.3], 0), (11, [0.0, 0.3, 1.0], 0), (None, [0.0, 1.0, 0.98], 0)]  # the last joins the two before
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.87).collect()
+    assert Counter(map(tuple, got)) == Counter(
+        {(1, 2, 1, True): 1, (2, 2, 1, False): 1, (None, 2, 1, False): 1, (None, 1, 10, False): 1, (3, 0, 3, True): 1, (None, 0, None, False): 1, (10, 2, 10, True): 1, (11, 1, 10, False): 1, (None, 2, 10, False): 1}
+    )
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(0)
     x, y = rnd.normal(size=(40, 64)), rnd.normal(size=(40, 64))
