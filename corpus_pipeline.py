@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, mixing, ngram_join, sharding
 from millrace.llm.queries import PIECES, vocabulary
-from millrace.llm.store import cut, rows_below
+from millrace.llm.store import cut, discard, rows_below
 
 #: Near-duplicates: words of a shingle and least Jaccard similarity in percent.
 SHINGLE_WORDS, SIMILAR = 5, 80
@@ -64,7 +64,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mix", mix), ("shards", shards)]
 
-#: The stages go beyond SQL; tests hold each against a brute-force version.
+#: The stages go beyond SQL; tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -72,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents table on; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
