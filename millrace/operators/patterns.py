@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .raster import ONE, canvas, div, neighbour_difference, resample
+from .raster import ONE, _shr12, _slopes, canvas, div, resample, turn
+
 
+def weave(x: Column, y: Column, border: int) -> Column:
+    """Two crossing strands on fixed-point coordinates, brightest where each passes over the other; ``border`` is half a strand's distance from the edge."""
+    half = ONE // 2
+    from_x, from_y, reach = F.abs(x - half), F.abs(y - half), half - border
+    crossing_y, crossing_x = from_y < border, from_x < border
+    return (
+        F.when((x > border) & (x < ONE - border) & crossing_y, ONE - div(from_x * ONE, reach)).when(crossing_x, div((from_y - border) * ONE, reach))
+        .when((y < border) | (y > ONE - border), div((from_x - border) * ONE, reach)).when((x < border) | (x > ONE - border), ONE - div(from_y * ONE, reach)).otherwise(0).cast("long")
+    )
 
-def weave(x: Column, y: Column, size: int) -> Column:
-    """Strands of three quarters of a tile, over and under by turns."""
-    wide = size * 3 // 4
-    over = (y % size < size // 2) == (F.floor(x / size) % 2 == 0)
-    return F.when((x % size < wide) & over, ONE).when(y % size < wide, ONE // 2).otherwise(0).cast("long")
 
+def herringbone(x: Column, y: Column, columns: int, rows: int, joint: int) -> Column:
+    """Blocks of two cells that lie and stand by turns on fixed-point coordinates; 0 in the joints."""
+    step = F.pmod(F.shiftright((x * columns).cast("long"), 12) - F.shiftright((y * rows).cast("long"), 12), F.lit(4))
+    left, top = x % (ONE // columns) * columns < joint, y % (ONE // rows) * rows < joint
+    return F.when(top & ((step != 1) | left), 0).when(~top & left & (step > 0), 0).otherwise(ONE).cast("long")
 
-def herringbone(x: Column, y: Column, size: int) -> Column:
-    """Ramps along x and y in alternating diagonal steps."""
-    along = (F.floor(x / size) + F.floor(y / size)) % 4 < 2
-    return (F.when(along, x % (2 * size)).otherwise(y % (2 * size)) * (ONE // (2 * size))).cast("long")
 
+def light_vector(azimuth: int, elevation: int) -> tuple[int, int, int]:
+    """Unit vector towards a light by angles in fixed-point radians."""
+    up = math.cos(elevation / ONE)
+    v = [int(up * math.sin(azimuth / ONE) * ONE), int(up * math.cos(azimuth / ONE) * ONE), int(math.sin(elevation / ONE) * ONE)]
+    size = int(ONE * math.sqrt(sum(x * x >> 12 for x in v) >> 12))
+    return tuple(int(x * ONE / size) for x in v) if size else tuple(v)
 
-def emboss(px: DataFrame, w: int, h: int) -> DataFrame:
-    """Light from the upper left: half plus a quarter of the differences, clamped."""
-    g = neighbour_difference(px, "x", w, "dx").select("x", "y", "dx").join(neighbour_difference(px, "y", h, "dy").select("x", "y", "dy"), ["x", "y"])
-    light = ONE // 2 + div(-F.col("dx") - F.col("dy"), 4)
-    return g.select("x", "y", F.greatest(F.lit(0), F.least(F.lit(ONE), light)).cast("long").alias("v"))
 
+def emboss(px: DataFrame, w: int, h: int, strength: int, azimuth: int, elevation: int) -> DataFrame:
+    """A height map's brightness under a light: the light's product with the normals.
 
-def displace(px: DataFrame, by_x: DataFrame, by_y: DataFrame, w: int, h: int) -> DataFrame:
-    """Each pixel takes the value as far away as two other images say, wrapping."""
-    moved = by_x.withColumnRenamed("v", "__dx").join(by_y.withColumnRenamed("v", "__dy"), ["x", "y"])
-    return resample(px, F.pmod(F.col("x") + F.col("__dx"), F.lit(w)), F.pmod(F.col("y") + F.col("__dy"), F.lit(h)), moved)
+    The inverse lengths of normals come from a triangular table by the 8-bit slopes, whose place for a steeper x than y is that of another pair.
+    """
+    lx, ly, lz = light_vector(azimuth, elevation)
+    g = _slopes(px, w, h)
+    by_y, by_x = _shr12(F.col("dy") * strength), _shr12(-F.col("dx") * strength)
+    a, b = (F.least(F.abs(F.shiftright(c, 4)), F.lit(255)) for c in (by_x, by_y))
+    place = a + F.shiftright(b * (b + 1), 1)
+    row = F.floor((F.sqrt(place * 8.0 + 1) - 1) / 2).cast("long")
+    column = place - F.shiftright(row * (row + 1), 1)
+    inverse = (F.lit(255.0) / F.sqrt((row * row + column * column + 65535) / 65535.0)).cast("long")
+    parts = [_shr12(F.shiftright(c.cast("long"), 8) * k) for c, k in ((inverse * ONE, lz), (inverse * by_x, lx), (by_y * inverse, ly))]
+    return g.select("x", "y", sum(parts[1:], parts[0]).cast("long").alias("v"))
+
+
+def displace(px: DataFrame, angle: DataFrame, distance: DataFrame, w: int, h: int, reach: int) -> DataFrame:
+    """Each pixel takes the value at an angle (a turn in 256 steps, by the upper bits of 1.0) and a distance that two other images say, wrapping."""
+    moved = angle.withColumnRenamed("v", "__a").join(distance.withColumnRenamed("v", "__d"), ["x", "y"])
+    k, far = F.shiftright("__a", 4).bitwiseAND(F.lit(255)), _shr12(F.col("__d") * reach)
+    go = lambda f: _shr12(_shr12(turn(f, k).cast("long") * far))
+    return resample(px, F.pmod(F.col("x") + go(F.cos), F.lit(w)), F.pmod(F.col("y") + go(F.sin), F.lit(h)), moved)
 
 
 def cellular(spark: SparkSession, size: int, cell: int) -> DataFrame:
@@ -99,11 +126,3 @@ def in_rectangle(x: Column, y: Column, x0: int, y0: int, x1: int, y1: int) -> Co
 
 def in_ellipse(x: Column, y: Column, cx: int, cy: int, rx: int, ry: int) -> Column:
     return (x - cx) * (x - cx) * (ry * ry) + (y - cy) * (y - cy) * (rx * rx) <= rx * rx * ry * ry
-
-
-def near_line(x: Column, y: Column, x0: int, y0: int, x1: int, y1: int, reach: float) -> Column:
-    """Pixels within ``reach`` of a line segment."""
-    length = max(1, (x1 - x0) ** 2 + (y1 - y0) ** 2)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / length))
-    dx, dy = x - (x0 + t * (x1 - x0)), y - (y0 + t * (y1 - y0))
-    return dx * dx + dy * dy <= reach * reach

@@ -23,14 +23,6 @@ def canvas(spark: SparkSession, w: int, h: int) -> DataFrame:
     return spark.range(w * h).select((i % w).cast("int").alias("x"), F.floor(i / w).cast("int").alias("y"))
 
 
-def constant(px: DataFrame, v: int) -> DataFrame:
-    return px.withColumn("v", F.lit(v).cast("long"))
-
-
-def gradient(px: DataFrame, axis: str, size: int) -> DataFrame:
-    return px.withColumn("v", div(F.col(axis).cast("long") * ONE, size))
-
-
 def clamp(v: Column, lo: int, hi: int) -> Column:
     return F.greatest(F.lit(lo), F.least(v, F.lit(hi)))
 
@@ -59,8 +51,25 @@ def color_key(channels: list[Column], key: list[int], tolerance: int, new: list[
     return [F.when(near, _shr12(c * n)).otherwise(c) for c, n in zip(channels, new, strict=True)]
 
 
-def colorize(v: Column, tint: list[int]) -> list[Column]:
-    return [_shr12(v * t) for t in tint]
+def colorize(channels: list[Column], tint: list[int]) -> list[Column]:
+    """Grey pixels times a tint; pixels of unequal channels take the tint itself."""
+    r, g, b = channels
+    grey = (r == g) & (g == b)
+    return [F.when(grey, _shr12(c * t)).otherwise(F.lit(t).cast("long")) for c, t in zip(channels, tint, strict=True)]
+
+
+def color_gradient(v: Column, stops: list[tuple[int, int, int, int]]) -> list[Column]:
+    """The three channels of a table of 257 colours between ``stops (value, r, g, b)`` in ascending order, 8 bits each, scaled back to fixed point."""
+    at = F.greatest(F.lit(0), F.least(F.lit(256), F.shiftright(v.cast("long"), 4))) * 16
+    out = []
+    for k in (1, 2, 3):
+        c = F.when(at < stops[0][0], stops[0][k])
+        for a, b in zip(stops[:-1], stops[1:], strict=True):
+            share = div((at - a[0]) * ONE, b[0] - a[0])
+            c = c.when(at < b[0], _shr12(a[k] * (ONE - share) + b[k] * share))
+        c = F.shiftright(c.otherwise(stops[-1][k]).cast("long"), 4)
+        out.append(F.greatest(F.lit(0), F.least(F.lit(255), c)) * 16)
+    return out
 
 
 #: Two inputs' combinations by name.
@@ -80,9 +89,11 @@ COMBINE = {
 }
 
 
-def combine(left: DataFrame, right: DataFrame, mode: str) -> DataFrame:
+def combine(left: DataFrame, right: DataFrame, *modes: str) -> DataFrame:
+    """Two images combined in some of the ``COMBINE`` modes (all by default): ``(x, y, mode, v)`` from one join."""
     joined = left.join(right.withColumnRenamed("v", "__b"), ["x", "y"])
-    return joined.select("x", "y", COMBINE[mode](F.col("v"), F.col("__b")).cast("long").alias("v"))
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), COMBINE[m](F.col("v"), F.col("__b")).cast("long").alias("v")) for m in modes or COMBINE])
+    return joined.select("x", "y", F.explode(each).alias("c")).select("x", "y", "c.mode", "c.v")
 
 
 def blend(a: DataFrame, b: DataFrame, mask: DataFrame) -> DataFrame:
@@ -131,49 +142,78 @@ def neighbour_difference(px: DataFrame, axis: str, size: int, name: str) -> Data
     return _halo(px, axis, size, 1).withColumn(name, F.lead("v").over(w) - F.lag("v").over(w)).where(F.col(axis).between(0, size - 1))
 
 
-def edges(px: DataFrame, w: int, h: int) -> DataFrame:
-    """Squared gradient magnitude, scaled back to fixed point."""
-    g = neighbour_difference(px, "x", w, "dx").select("x", "y", "dx").join(neighbour_difference(px, "y", h, "dy").select("x", "y", "dy"), ["x", "y"])
-    return g.select("x", "y", _shr12(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("v"))
+def edges(px: DataFrame, w: int, h: int, gain: int = ONE) -> DataFrame:
+    """1.0 less the inverse length of a surface's normal whose slopes are the neighbour differences times ``gain``: 0 where flat."""
+    g = _slopes(px, w, h)
+    dx, dy = _shr12(F.col("dx") * gain), _shr12(F.col("dy") * gain)
+    length = (F.sqrt((_shr12(dx * dx) + _shr12(dy * dy) + ONE) / float(ONE)) * float(ONE)).cast("long")
+    return g.select("x", "y", (ONE - F.when(length == 0, 0).otherwise(div(F.lit(ONE * ONE), F.greatest(length, F.lit(1))))).alias("v"))
 
 
-def normals(px: DataFrame, w: int, h: int) -> DataFrame:
-    """Unit normals ``(nx, ny, nz)`` of a height map, in fixed point."""
-    g = neighbour_difference(px, "x", w, "dx").select("x", "y", "dx").join(neighbour_difference(px, "y", h, "dy").select("x", "y", "dy"), ["x", "y"])
-    size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.lit(ONE * ONE))
-    part = lambda c: F.floor(c * ONE / size).cast("long")
-    return g.select("x", "y", part(-F.col("dx")).alias("nx"), part(-F.col("dy")).alias("ny"), part(F.lit(float(ONE))).alias("nz"))
+def _slopes(px: DataFrame, w: int, h: int) -> DataFrame:
+    g = neighbour_difference(px, "x", w, "dx").select("x", "y", "dx")
+    return g.join(neighbour_difference(px, "y", h, "dy").select("x", "y", "dy"), ["x", "y"])
 
 
-def hash_noise(x: Column, y: Column, seed: int) -> Column:
-    """Noise from 0 to 4095 out of integer arithmetic on the place."""
-    n = (x.cast("long") + y.cast("long") * 57 + seed * 131) % 65536
-    return (n * n * 15731 + n * 789221 + 1376312589) % ONE
+def normals(px: DataFrame, w: int, h: int, gain: int = ONE, half: bool = False) -> DataFrame:
+    """Unit normals ``(nx, ny, nz)`` of a height map whose slopes are the neighbour differences times ``gain``; ``half`` halves them around 0.5."""
+    g = _slopes(px, w, h).select("x", "y", (F.col("dx") * gain).alias("dx"), (F.col("dy") * gain).alias("dy"))
+    a, b = _shr12(F.col("dx")), _shr12(F.col("dy"))
+    length = F.floor(F.sqrt((_shr12(a * a) + _shr12(b * b) + ONE) / float(ONE)) * float(ONE)).cast("long")
+    part = lambda c: F.when(length == 0, 0).otherwise(div(c, F.greatest(length, F.lit(1))))
+    shown = lambda c: F.shiftright(c, 1) + ONE // 2 if half else c
+    return g.select("x", "y", *[shown(part(c)).cast("long").alias(n) for n, c in (("nx", F.col("dx")), ("ny", F.col("dy")), ("nz", F.lit(ONE * ONE).cast("long")))])
 
 
-def mandelbrot(x: Column, y: Column, w: int, h: int, rounds: int) -> Column:
-    """Escape time of each pixel's point, scaled to fixed point, by a fold over the rounds."""
-    re, im = x * (3.0 / w) - 2.25, y * (3.0 / h) - 1.5
-    zero = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("i"), F.lit(0).alias("n"))
+#: Multiplier of the row, and factors and sums of the cubic.
+NOISE_ROW, NOISE = 57, (15731, 789221, 1376312589)
+
+
+def hash_noise(x: Column, y: Column) -> Column:
+    """Noise out of 32-bit integer arithmetic on fixed-point coordinates: a cubic of their mixed bits, its upper bits taken from 1.0; the remainder of 1.0 has the sign of what is divided."""
+    n = x.cast("long") + y.cast("long") * NOISE_ROW
+    n = n.bitwiseXOR(F.call_function("shiftleft", n, F.lit(1)))
+    # only the low 31 bits of the result count, so that products are reduced to 32 bits as they come
+    low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
+    n = low(n)
+    cubic = low(low(low(low(n * n) * NOISE[0]) + NOISE[1]) * n) + NOISE[2]
+    return (ONE - F.shiftright(cubic.bitwiseAND(F.lit((1 << 31) - 1)), 18)) % ONE
+
+
+def mandelbrot(x: Column, y: Column, zoom: int, left: int, top: int, rounds: int) -> Column:
+    """Escape time of each fixed-point place's point, all in 12-bit fixed point; 0 inside, by a fold over the rounds."""
+    re, im = left + div(x.cast("long") * ONE, zoom), top + div(y.cast("long") * ONE, zoom)
+    start = F.struct(re.alias("r"), im.alias("i"), F.lit(0).alias("n"))
 
     def step(s, _):
-        inside = s["r"] * s["r"] + s["i"] * s["i"] <= 4.0
+        rr, ii = _shr12(s["r"] * s["r"]), _shr12(s["i"] * s["i"])
+        inside = rr + ii < 4 * ONE
         return F.struct(
-            F.when(inside, s["r"] * s["r"] - s["i"] * s["i"] + re).otherwise(s["r"]).alias("r"),
-            F.when(inside, s["r"] * s["i"] * 2.0 + im).otherwise(s["i"]).alias("i"), F.when(inside, s["n"] + 1).otherwise(s["n"]).alias("n"),
+            F.when(inside, re + rr - ii).otherwise(s["r"]).alias("r"), F.when(inside, im + _shr12(s["i"] * s["r"]) * 2).otherwise(s["i"]).alias("i"), F.when(inside, s["n"] + 1).otherwise(s["n"]).alias("n"),
         )
 
-    return div(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), zero, step, lambda s: s["n"]).cast("long") * ONE, rounds)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.when(s["n"] >= rounds - 1, 0).otherwise(div(s["n"].cast("long") * ONE, rounds)))
+
+
+def turn(f, k: Column) -> Column:
+    """The k-th of 256 steps of a turn: a sine or cosine in fixed point."""
+    return f(F.lit(6.283185307179586) * (k / F.lit(255.0))) * F.lit(float(ONE))
 
 
-def wave(d: Column, kind: str) -> Column:
-    """Sine, saw or triangle of a fixed-point phase."""
-    p = F.pmod(d, F.lit(ONE))
+def wave(x: Column, y: Column, frequency: int, kind: str, radial: bool = False) -> Column:
+    """Sine, saw or triangle of fixed-point places: along x - y, or by the distance from the middle."""
+    if radial:
+        a, b = (F.shiftright((c - ONE // 2).cast("long"), 1) for c in (x, y))
+        far = (F.sqrt(_shr12(a * a + b * b) / float(ONE)) * float(ONE)).cast("long")
+        d = (F.lit(3.141592653589793) * (far * frequency).cast("double")).cast("long")
+    else:
+        d = ((x - y) * frequency).cast("long")
+    p = d.bitwiseAND(F.lit(ONE - 1))
     if kind == "saw":
         return p
     if kind == "triangle":
-        return F.when(p < ONE // 2, p * 2).otherwise((ONE - p) * 2)
-    return F.floor((F.sin(p * (6.283185307179586 / ONE)) + 1) * (ONE // 2)).cast("long")
+        return (ONE // 2 - F.abs(p - ONE // 2)) * 2
+    return F.shiftright(ONE + turn(F.sin, F.shiftright(p, 4)).cast("long"), 1)
 
 
 def bricks(x: Column, y: Column, width: int, height: int, joint: int) -> Column:
