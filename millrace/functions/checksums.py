@@ -18,3 +18,16 @@ def polynomial_hash(s: Column) -> Column:
     codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
     low = F.lit((1 << 32) - 1)
     return wrap32(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(low)))
+
+
+def polynomial_hash64(s: Column) -> Column:
+    """The same modulo 2**64, signed: two halves of 32 bits, so that nothing overflows."""
+    low = F.lit((1 << 32) - 1)
+
+    def step(h, c):
+        small = h["low"] * 31 + c
+        return F.struct((h["high"] * 31 + F.shiftright(small, 32)).bitwiseAND(low).alias("high"), small.bitwiseAND(low).alias("low"))
+
+    start = F.struct(F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"))
+    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, start, step, lambda h: F.call_function("shiftleft", h["high"], F.lit(32)).bitwiseOR(h["low"]))

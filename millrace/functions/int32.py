@@ -66,6 +66,16 @@ def power32(a: Column, b: Column) -> Column:
     return F.when(a == 0, 0).otherwise(saturate32(F.pow(a.cast("double"), b.cast("double"))))
 
 
+def integer_power32(a: Column, b: Column) -> Column:
+    """a to the b-th power, wrapped to 32 bits: squares of a by the bits of b; exponents below 1 give 1."""
+    def step(s, k):
+        odd = F.call_function("shiftright", b.cast("long"), k).bitwiseAND(F.lit(1)) == 1
+        return F.struct(F.when(odd, mul32(s["out"], s["square"])).otherwise(s["out"]).alias("out"), mul32(s["square"], s["square"]).alias("square"))
+
+    start = F.struct(F.lit(1).cast("int").alias("out"), wrap32(a).alias("square"))
+    return F.when(b < 1, F.lit(1)).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(30)), start, step, lambda s: s["out"]))
+
+
 def root32(a: Column, b: Column) -> Column:
     """The b-th root; of 0 it is 0, and the 0-th of others is the largest integer."""
     return F.when(a == 0, 0).when(b == 0, HIGH).otherwise(saturate32(F.pow(a.cast("double"), F.lit(1.0) / F.when(b == 0, 1).otherwise(b))))

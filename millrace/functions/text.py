@@ -110,9 +110,20 @@ def text_width(s: Column, widths: dict[str, int], default: int) -> Column:
     return F.aggregate(F.split(F.coalesce(s, F.lit("")), ""), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.coalesce(F.try_element_at(table, c), F.lit(default))))
 
 
+#: The characters of bytes 128 to 159 in code page 1252; unassigned bytes have none.
+_CP1252 = [bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)]
+
+
 def decode_url(s: Column) -> Column:
-    """%xx and + decoded; malformed escapes make null."""
-    return F.try_url_decode(s)
+    """%xx decoded as bytes of code page 1252 and + as a space; malformed escapes stay, byte 0 and unassigned bytes go."""
+    table = F.array(*[F.lit(c) for c in _CP1252])
+
+    def decoded(t: Column) -> Column:
+        byte = F.conv(F.substring(t, 2, 2), 16, 10).cast("int")
+        char = F.when(byte == 0, "").when(byte.between(128, 159), F.get(table, byte - 128)).otherwise(F.char(byte))
+        return F.when(F.length(t) == 3, char).when(t == "+", " ").otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)%[0-9a-fA-F]{2}|."), F.lit(0)), decoded), "")
 
 
 def parse_radix(s: Column, radix: int) -> Column:

@@ -19,16 +19,22 @@ def container_params(slots: DataFrame, params: DataFrame, default: int) -> DataF
     return slots.where("item >= 0").join(params, "item", "left").groupBy("container").agg(F.sum(value).alias("total"), F.sum(value * F.col("qty")).alias("weighted"))
 
 
-def arg_max(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+def arg_max(rows: DataFrame, keys: list[str], value: str, order: str, groups: DataFrame | None = None, fallback: int | None = None) -> DataFrame:
     """The first row of the largest value: ordered pairs are maximised, so that partial aggregation keeps one each.
 
-    Nulls of ``value`` never win over others.
+    Nulls of ``value`` never win over others. Groups of ``groups`` without rows get ``fallback`` for ``order``.
     """
     best = rows.groupBy(*keys).agg(F.max(F.struct(F.col(value), (-F.col(order)).alias("__o"))).alias("__b"))
-    return best.select(*keys, F.col(f"__b.{value}").alias(value), (-F.col("__b.__o")).alias(order))
+    best = best.select(*keys, F.col(f"__b.{value}").alias(value), (-F.col("__b.__o")).alias(order))
+    if groups is None:
+        return best
+    return groups.select(*keys).join(best, keys, "left").withColumn(order, F.coalesce(order, F.lit(fallback)))
 
 
-def percent_complete(rows: DataFrame, keys: list[str], ready: Column) -> DataFrame:
+def percent_complete(rows: DataFrame, keys: list[str], ready: Column, groups: DataFrame | None = None) -> DataFrame:
+    """Whole percents of rows that are ready; groups of ``groups`` without rows are complete."""
+    if groups is not None:
+        return groups.select(*keys).join(percent_complete(rows, keys, ready), keys, "left").withColumn("percent", F.coalesce("percent", F.lit(100)))
     return rows.groupBy(*keys).agg(F.call_function("div", F.count_if(ready) * 100, F.count("*")).cast("int").alias("percent"))
 
 

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed; on a local master without a folder, one is made."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a local master without one, a folder is made."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    named = named or tempfile.mkdtemp(prefix="millrace-")
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame, checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -51,11 +51,14 @@ def list_membership(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, lower(c_name) IN (SELECT lower(regexp_replace('<img=1>' || c_name, '^<img=[01]>', '')) FROM customer WHERE c_nationkey = 3) AS is_friend FROM customer""")
+SELECT c_custkey, lower(c_name) IN (SELECT lower(regexp_replace('<img=1>' || c_name, '^<img=[01]>', '')) FROM customer WHERE c_nationkey = 3)
+  OR lower(c_name) IN (SELECT lower(replace(c_name, '1', '2')) FROM customer WHERE c_nationkey = 3 AND c_custkey % 2 = 0) OR lower(c_name) = (SELECT lower(min(c_name)) FROM customer) AS is_friend FROM customer""")
 def name_membership(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
-    listed = c.where("c_nationkey = 3").select(F.concat(F.lit("<img=1>"), "c_name").alias("name"), F.lit(None).cast("string").alias("previous"))
-    return lookups.is_listed(c, "c_name", listed, "is_friend").select("c_custkey", "is_friend")
+    previous = F.when(F.col("c_custkey") % 2 == 0, F.upper(F.replace(F.col("c_name"), F.lit("1"), F.lit("2"))))
+    listed = c.where("c_nationkey = 3").select(F.concat(F.lit("<img=1>"), "c_name").alias("name"), previous.alias("previous"))
+    own = c.agg(F.min("c_name")).first()[0]
+    return lookups.is_listed(c, "c_name", listed, "is_friend", own).select("c_custkey", "is_friend")
 
 
 @query("""

@@ -133,7 +133,14 @@ def name_hashes(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", checksums.polynomial_hash(F.col("c_name")).alias("hash"))
 
 
-@query(None)
+@query(r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b::bigint] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::bigint) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))
+), d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, xor(list_reduce([4294967295::bigint] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) AS crc FROM d, crc_table
+)
+SELECT doc_id, (CASE WHEN crc >= 2147483648 THEN crc - 4294967296 ELSE crc END)::int AS crc FROM c""")
 def checksums_signed(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", checksums.crc32_signed(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
 
@@ -166,6 +173,13 @@ def radix_parse(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", h.alias("h")).select("*", text.parse_radix(F.col("h"), 16).alias("parsed"))
 
 
-@query(None)
+_CP1252 = ", ".join(f"'{c}'" for c in text._CP1252)
+
+
+@query(f"""
+SELECT page_id, list_aggregate(list_transform(regexp_extract_all(url || '?a=%41%zz+%e9%80%81%00%2B%4', '(?s)%[0-9a-fA-F]{{2}}|.'), lambda t: CASE
+    WHEN length(t) < 3 THEN CASE t WHEN '+' THEN ' ' ELSE t END WHEN t = '%00' THEN ''
+    WHEN ('0x' || substr(t, 2))::int BETWEEN 128 AND 159 THEN ([{_CP1252}])[('0x' || substr(t, 2))::int - 127] ELSE chr(('0x' || substr(t, 2))::int) END), 'string_agg', '') AS decoded FROM pages""")
 def url_parts(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", text.decode_url(F.col("url")).alias("decoded"))
+    """Urls with escapes of every kind behind them."""
+    return load(spark, sf_dir, "pages").select("page_id", text.decode_url(F.concat("url", F.lit("?a=%41%zz+%e9%80%81%00%2B%4"))).alias("decoded"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import graph, raster, state
@@ -73,27 +72,40 @@ def skipped_slots(spark, sf_dir):
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1")
 def stream_rates(spark, sf_dir):
-    e = load_stream(spark, sf_dir, "events")
-    return streaming.drain(e.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"), "complete", "rates_" + uuid.uuid4().hex)
+    return streaming.drain(streaming.windowed_rates(load_stream(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes"), "complete")
+
+
+@query("""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1
+HAVING time_bucket(INTERVAL '1 hour', min(ts)) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '3 hours'""")
+def stream_closed_rates(spark, sf_dir):
+    """Windows that the watermark has passed, three hours behind the latest event."""
+    return streaming.drain(streaming.windowed_rates(load_stream(spark, sf_dir, "events"), "ts", "1 hour", "3 hours"), "append")
 
 
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def stream_latest(spark, sf_dir):
-    return streaming.drain(streaming.latest_values(load_stream(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"]), "complete", "latest_" + uuid.uuid4().hex)
+    return streaming.drain(streaming.latest_values(load_stream(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"]), "complete")
 
 
 @query(None)
 def stream_dedupe(spark, sf_dir):
     e = load_stream(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
-    return streaming.drain(streaming.dedupe_recent(e, "event_type", ["ts", "event_id"], "user_id"), "append", "dedupe_" + uuid.uuid4().hex)
+    return streaming.drain(streaming.dedupe_recent(e, "event_type", ["ts", "event_id"], "user_id"), "append")
 
 
 @query("SELECT (p_partkey // 5)::int AS grp, (row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY p_partkey) - 1)::int AS file, p_name AS name FROM part")
 def packed_groups(spark, sf_dir):
     """Names packed five to a group, in deflated containers of two chunks, and split again."""
     p = load(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 5).cast("int").alias("grp"), F.col("p_partkey").alias("k"), "p_name")
-    pack = F.udf(lambda names: container(pack_group([n.encode() for n in names], 2), 2), "binary")
-    groups = p.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("f")).select("grp", F.size("f").alias("count"), pack(F.transform("f", lambda f: f["p_name"])).alias("raw"))
+
+    def pack(batches):
+        for batch in batches:
+            raw = [container(pack_group([n.encode() for n in names], 2), 2) for names in batch.column("names").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array([len(n) for n in batch.column("names").to_pylist()], pa.int32()), pa.array(raw, pa.binary())], names=["grp", "count", "raw"])
+
+    listed = p.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", "p_name"))).alias("f")).select("grp", F.transform("f", lambda f: f["p_name"]).alias("names"))
+    groups = listed.mapInArrow(pack, "grp int, count int, raw binary")
     return split_groups(groups).select("grp", "file", F.col("data").cast("string").alias("name"))
 
 
@@ -138,12 +150,7 @@ SELECT x, y, mode, v FROM (SELECT x, y, unnest([
   {{'mode': 'min', 'v': least(a, b)}}, {{'mode': 'max', 'v': greatest(a, b)}}, {{'mode': 'difference', 'v': abs(a - b)}}, {{'mode': 'exclusion', 'v': a + b - floor(a * b / 2048)::bigint}}], recursive := true) FROM ({_PAIR}))""")
 def raster_combine(spark, sf_dir):
     a = _image(spark)
-    b = a.withColumn("v", 4096 - F.col("v") % 4097)
-    out = [raster.combine(a, b, m).select("x", "y", F.lit(m).alias("mode"), "v") for m in raster.COMBINE]
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.union(o)
-    return whole
+    return raster.combine(a, a.withColumn("v", 4096 - F.col("v") % 4097))
 
 
 @query(f"""
@@ -153,11 +160,13 @@ def raster_blur(spark, sf_dir):
 
 
 @query(f"""
-SELECT p.x, p.y, floor(((r.v - l.v) * (r.v - l.v) + (d.v - u.v) * (d.v - u.v)) / 4096)::bigint AS v FROM ({_IMG}) p
-JOIN ({_IMG}) l ON l.y = p.y AND l.x = (p.x + 31) % 32 JOIN ({_IMG}) r ON r.y = p.y AND r.x = (p.x + 1) % 32
-JOIN ({_IMG}) u ON u.x = p.x AND u.y = (p.y + 31) % 32 JOIN ({_IMG}) d ON d.x = p.x AND d.y = (p.y + 1) % 32""")
+SELECT x, y, (4096 - CASE WHEN len = 0 THEN 0 ELSE 16777216 // greatest(len, 1) END)::bigint AS v FROM (
+  SELECT x, y, trunc(4096.0::double * sqrt(((b * b >> 12) + (a * a >> 12) + 4096)::double / 4096.0::double))::bigint AS len FROM (
+    SELECT p.x, p.y, (3000 * (r.v - l.v)) >> 12 AS a, (3000 * (d.v - u.v)) >> 12 AS b FROM ({_IMG}) p
+    JOIN ({_IMG}) l ON l.y = p.y AND l.x = (p.x + 31) % 32 JOIN ({_IMG}) r ON r.y = p.y AND r.x = (p.x + 1) % 32
+    JOIN ({_IMG}) u ON u.x = p.x AND u.y = (p.y + 31) % 32 JOIN ({_IMG}) d ON d.x = p.x AND d.y = (p.y + 1) % 32))""")
 def raster_edges(spark, sf_dir):
-    return raster.edges(_image(spark), 32, 32)
+    return raster.edges(_image(spark), 32, 32, gain=3000)
 
 
 @query(f"""
@@ -186,22 +195,11 @@ def raster_colors(spark, sf_dir):
 
 
 @query(f"""
-SELECT x, y, (n * n * 15731 + n * 789221 + 1376312589) % 4096 AS noise, (CASE WHEN (x + CASE WHEN y // 4 % 2 = 1 THEN 4 ELSE 0 END) % 8 < 1 OR y % 4 < 1 THEN 0 ELSE 4096 END)::bigint AS brick,
-  (CASE WHEN v BETWEEN 100 AND 900 OR v >= 4000 OR v <= 50 THEN 4096 ELSE 0 END)::bigint AS band, (v % 4096)::bigint AS saw, (CASE WHEN v % 4096 < 2048 THEN v % 4096 * 2 ELSE (4096 - v % 4096) * 2 END)::bigint AS triangle
-FROM (SELECT *, (x + y * 57 + 5 * 131)::bigint % 65536 AS n FROM ({_IMG}))""")
+SELECT x, y, ((4096 - (((((15731 * (n * n % 4294967296) + 789221) % 4294967296) * n + 1376312589) % 2147483648) // 262144)) % 4096)::bigint AS noise, (CASE WHEN (x + CASE WHEN y // 4 % 2 = 1 THEN 4 ELSE 0 END) % 8 < 1 OR y % 4 < 1 THEN 0 ELSE 4096 END)::bigint AS brick,
+  (CASE WHEN v BETWEEN 100 AND 900 OR v >= 4000 OR v <= 50 THEN 4096 ELSE 0 END)::bigint AS band
+FROM (SELECT *, xor(m, m << 1) AS n FROM (SELECT *, (x * 128 + y * 128 * 57)::bigint AS m FROM ({_IMG})))""")
 def raster_patterns(spark, sf_dir):
     x, y, v = F.col("x"), F.col("y"), F.col("v")
     return _image(spark).select(
-        "x", "y", raster.hash_noise(x, y, 5).alias("noise"), raster.bricks(x, y, 8, 4, 1).cast("long").alias("brick"), raster.bands(v, [(100, 900), (4000, 50)]).cast("long").alias("band"),
-        raster.wave(v, "saw").cast("long").alias("saw"), raster.wave(v, "triangle").cast("long").alias("triangle"),
+        "x", "y", raster.hash_noise(x * 128, y * 128).alias("noise"), raster.bricks(x, y, 8, 4, 1).cast("long").alias("brick"), raster.bands(v, [(100, 900), (4000, 50)]).cast("long").alias("band"),
     )
-
-
-@query(None)
-def raster_fractal(spark, sf_dir):
-    return raster.canvas(spark, 64, 64).withColumn("v", raster.mandelbrot(F.col("x"), F.col("y"), 64, 64, 40))
-
-
-@query(None)
-def raster_normals(spark, sf_dir):
-    return raster.normals(_image(spark), 32, 32)

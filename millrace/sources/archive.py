@@ -36,9 +36,14 @@ def unpack_group(block: bytes, count: int) -> list[bytes]:
 
 
 def container(data: bytes, kind: int = 0) -> bytes:
-    """A container: kind (0 plain, 2 deflated with gzip framing), length, then for kinds but 0 the full length."""
+    """A container: kind (0 plain, 1 bzip2, 2 deflated with gzip framing), length, then for kinds but 0 the full length."""
     if kind == 0:
         return struct.pack(">BI", 0, len(data)) + data
+    if kind == 1:
+        import bz2
+
+        body = bz2.compress(data, 1)[4:]
+        return struct.pack(">BII", 1, len(body), len(data)) + body
     packer = zlib.compressobj(9, zlib.DEFLATED, 31)
     body = packer.compress(data) + packer.flush()
     return struct.pack(">BII", kind, len(body), len(data)) + body
@@ -68,7 +73,7 @@ def split_groups(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "grp int, file int, data binary")
 
 
-def percent_loaded(ready: Column) -> Column:
-    """Whole percent of groups that are ready; 100 where there are none."""
-    n = F.count("*")
-    return F.when(n == 0, 100).otherwise(F.expr("0") + (F.sum(ready.cast("long")) * 100 / F.greatest(n, F.lit(1))).cast("long"))
+def read_flat(groups: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, data)`` of the wanted ``ids (id)`` in ``groups (grp, raw)`` of an archive whose groups hold one file each, or which is one group."""
+    wanted = groups.join(ids.select(F.col("id").alias("grp")).distinct(), "grp", "left_semi")
+    return split_groups(wanted.select("grp", F.lit(1).alias("count"), "raw")).select(F.col("grp").alias("id"), "data")

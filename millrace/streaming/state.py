@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
 
 import pandas as pd
@@ -10,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.cutting import shared_dir
 from ..operators.state import accept_ids
 
 
 def windowed_rates(events: DataFrame, ts: str, width: str, late: str) -> DataFrame:
     """Rows in each tumbling window; windows close when the watermark passes them."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    kind = events.schema[ts].dataType
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)  # a watermark takes no other type
+    return timed.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast(kind).alias("start"), "n")
 
 
 def latest_values(events: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -37,20 +41,32 @@ def dedupe_recent(events: DataFrame, key: str, order: list[str], ident: str, siz
             return
         ring = deque(json.loads(state.get[0]) if state.exists else [], maxlen=size)
         rows = pd.concat(list(batches)).sort_values(order)
-        keep = accept_ids([int(i) for i in rows[ident]], ring, set(ring))
+        keep = accept_ids([None if pd.isna(i) else i for i in rows["__id"]], ring, set(ring))
         state.update((json.dumps(list(ring)),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield rows[pd.Series(keep, index=rows.index, dtype=bool)][columns]
 
-    return events.groupBy(key).applyInPandasWithState(run, events.schema, "ring string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    marked = events.withColumn("__id", F.col(ident).cast("string"))  # whole, whatever nulls are beside it
+    return marked.groupBy(key).applyInPandasWithState(run, events.schema, "ring string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def drain(stream: DataFrame, mode: str, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory: for tests and small results."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there now, its rows written as Parquet in the shared folder.
+
+    In append mode a file sink takes the rows; else each batch writes the whole result and the last counts.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows-{number}")
+        done.append(number)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows-{max(done)}") if done else spark.createDataFrame([], stream.schema)
