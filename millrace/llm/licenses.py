@@ -6,6 +6,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import math
 import re
@@ -84,6 +85,8 @@ SALTS = 16
 #: The part that is a whole text; lines count from 0 up, blocks from -2 down.
 WHOLE_TEXT = -1
 WORD_BREAK = "[^a-z0-9]+"
+#: Words whose frequencies bound the lengths of vectors from below; of more words the others count nothing.
+COMMON = 2000
 #: Between blocks: lines of white space only.
 BLOCK_BREAK = "\n[ \t\r]*\n"
 
@@ -132,15 +135,22 @@ def directory(path) -> Column:
 
 
 def _parts(texts: DataFrame) -> DataFrame:
-    """``(key, part, w, tf)``: the words of each line, each block between blank lines, and the whole of ``texts (key, text)``."""
+    """``(key, part, words)``: each line, each block between blank lines, and the whole of ``texts (key, text)``."""
     lines = texts.select("key", F.posexplode(F.split("text", "\n")).alias("part", "text"))
     blocks = texts.select("key", F.posexplode(F.split("text", BLOCK_BREAK)).alias("part", "text")).withColumn("part", -2 - F.col("part"))
-    return lines.unionByName(blocks).unionByName(texts.select("key", F.lit(WHOLE_TEXT).alias("part"), "text"))
+    parts = lines.unionByName(blocks).unionByName(texts.select("key", F.lit(WHOLE_TEXT).alias("part"), "text"))
+    return parts.select("key", "part", F.array_remove(F.split("text", WORD_BREAK), "").alias("words"))
 
 
-def _terms(parts: DataFrame) -> DataFrame:
-    words = parts.select("key", "part", F.explode(F.split("text", WORD_BREAK)).alias("w")).where("w <> ''")
-    return words.groupBy("key", "part", "w").agg((1 + F.log(F.count("*").cast("double"))).alias("x"))
+def _weight():
+    """1 + ln of a word's count."""
+    return 1 + F.log(F.count("*").cast("double"))
+
+
+def _least_squares(held: DataFrame, total: int) -> list[float]:
+    """By number of words, the least sum of their squared inverse document frequencies: that of the most frequent ones."""
+    common = held.orderBy(F.desc("n")).limit(COMMON).select("n").collect()
+    return [0.0, *itertools.accumulate((math.log((1 + total) / (1 + r.n)) + 1) ** 2 for r in common)]
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -159,23 +169,27 @@ def own_licenses(texts: DataFrame, held: DataFrame, total: int, templates, thres
     vectors = weights(templates, {w: math.log((1 + total) / (1 + counts.get(w, 0))) + 1 for w in vocabulary})
     likely = texts.where(F.arrays_overlap(F.split("text", WORD_BREAK), F.array(*[F.lit(w) for w in anchor_words(vectors, threshold)])))
     likely = cut(likely.dropDuplicates(["key"]), "licenses")
-    # the words that a part shares with a template must make up enough of the template's vector
     known = F.broadcast(_table(spark, [(w, k, v) for k, vector in enumerate(vectors) for w, v in vector.items()], "w string, k int, v double"))
-    idf = (F.log((1.0 + total) / (1 + F.coalesce("n", F.lit(0)))) + 1).alias("idf")
+    n_words = F.broadcast(_table(spark, [(w, (math.log((1 + total) / (1 + counts.get(w, 0))) + 1)) for w in vocabulary], "w string, idf double"))
     parts = _parts(likely)
-    shared = _terms(parts).join(known, "w").groupBy("key", "part").agg(*[F.sum(F.when(F.col("k") == k, F.col("v") * F.col("v"))).alias(f"c{k}") for k in range(len(vectors))])
-    can = cut(shared.where(F.greatest(*[F.coalesce(F.col(f"c{k}"), F.lit(0.0)) for k in range(len(vectors))]) >= threshold * threshold - 1e-9).select("key", "part"), "licenses")
-    terms = cut(_terms(parts.join(_sent(can), ["key", "part"], "left_semi")), "licenses")
-    weight = cut(held.join(terms.select("w").distinct(), "w", "left_semi").select("w", idf), "licenses")
+    # only words of templates are counted at first; a part's other words weigh as much as the most frequent ones at least, which bounds its cosines
+    shared = parts.select("key", "part", F.size(F.array_distinct("words")).alias("m"), F.explode("words").alias("w")).join(n_words, "w").groupBy("key", "part", "m", "w", "idf").agg(_weight().alias("x"))
+    shared = shared.select("key", "part", "m", "w", (F.col("x") * F.col("idf")).alias("x")).join(known, "w")
+    shared = shared.groupBy("key", "part", "m", "k").agg(F.sum(F.col("x") * F.col("v")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
+    least = F.array(*[F.lit(x) for x in _least_squares(held, total)])
+    others = F.element_at(least, (F.least(F.col("m") - F.col("n"), F.size(least) - 1) + 1).cast("int"))
+    can = cut(shared.where(F.col("dot") >= (threshold - 1e-9) * F.sqrt(F.col("own") + others)).select("key", "part", "k", "dot"), "licenses")
+    # the whole vectors of the parts that are left
+    some = can.select("key", "part").distinct()
+    terms = cut(parts.join(_sent(some), ["key", "part"], "left_semi").select("key", "part", F.explode("words").alias("w")).groupBy("key", "part", "w").agg(_weight().alias("x")), "licenses")
+    weight = cut(held.join(terms.select("w").distinct(), "w", "left_semi").select("w", (F.log((1.0 + total) / (1 + F.col("n"))) + 1).alias("idf")), "licenses")
     if rows_below(weight, BROADCAST_ROWS):
         terms = terms.join(F.broadcast(weight), "w")
     else:  # a word may be in many parts: they meet salted copies of its row
         weight = weight.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         terms = terms.withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.lit(SALTS)).cast("int")).join(weight, ["w", "salt"])
-    terms = terms.select("key", "part", "w", (F.col("x") * F.col("idf")).alias("x"))
-    sizes = terms.groupBy("key", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = terms.join(known, "w").groupBy("key", "part", "k").agg(F.sum(F.col("x") * F.col("v")).alias("dot"))
-    scored = dots.join(sizes, ["key", "part"]).select("key", "part", F.struct(F.round(F.col("dot") / F.col("size"), 6).alias("score"), (-F.col("k")).alias("k")).alias("best"))
+    sizes = terms.groupBy("key", "part").agg(F.sqrt(F.sum(F.col("x") * F.col("idf") * F.col("x") * F.col("idf"))).alias("size"))
+    scored = can.join(sizes, ["key", "part"]).select("key", "part", F.struct(F.round(F.col("dot") / F.col("size"), 6).alias("score"), (-F.col("k")).alias("k")).alias("best"))
     own = scored.where(F.col("best.score") >= threshold).groupBy("key").agg(F.max("best").alias("best"), F.max(F.col("part") == WHOLE_TEXT).alias("is_license_file"))
     names = F.array(*[F.lit(n) for n, _ in templates])
     return cut(own.select("key", F.element_at(names, 1 - F.col("best.k")).alias("own_license"), F.col("best.score").alias("score"), "is_license_file"), "licenses")
