@@ -135,11 +135,11 @@ def directory(path) -> Column:
 
 
 def _parts(texts: DataFrame) -> DataFrame:
-    """``(key, part, words)``: each line, each block between blank lines, and the whole of ``texts (key, text)``."""
+    """``(key, part, words, m)``, m being the number of different words: each line, each block between blank lines, and the whole of ``texts (key, text)``."""
     lines = texts.select("key", F.posexplode(F.split("text", "\n")).alias("part", "text"))
     blocks = texts.select("key", F.posexplode(F.split("text", BLOCK_BREAK)).alias("part", "text")).withColumn("part", -2 - F.col("part"))
     parts = lines.unionByName(blocks).unionByName(texts.select("key", F.lit(WHOLE_TEXT).alias("part"), "text"))
-    return parts.select("key", "part", F.array_remove(F.split("text", WORD_BREAK), "").alias("words"))
+    return parts.select("key", "part", F.array_remove(F.split("text", WORD_BREAK), "").alias("words")).withColumn("m", F.size(F.array_distinct("words")))
 
 
 def _weight():
@@ -173,7 +173,7 @@ def own_licenses(texts: DataFrame, held: DataFrame, total: int, templates, thres
     n_words = F.broadcast(_table(spark, [(w, (math.log((1 + total) / (1 + counts.get(w, 0))) + 1)) for w in vocabulary], "w string, idf double"))
     parts = _parts(likely)
     # only words of templates are counted at first; a part's other words weigh as much as the most frequent ones at least, which bounds its cosines
-    shared = parts.select("key", "part", F.size(F.array_distinct("words")).alias("m"), F.explode("words").alias("w")).join(n_words, "w").groupBy("key", "part", "m", "w", "idf").agg(_weight().alias("x"))
+    shared = parts.select("key", "part", "m", F.explode("words").alias("w")).join(n_words, "w").groupBy("key", "part", "m", "w", "idf").agg(_weight().alias("x"))
     shared = shared.select("key", "part", "m", "w", (F.col("x") * F.col("idf")).alias("x")).join(known, "w")
     shared = shared.groupBy("key", "part", "m", "k").agg(F.sum(F.col("x") * F.col("v")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
     least = F.array(*[F.lit(x) for x in _least_squares(held, total)])
@@ -182,7 +182,7 @@ def own_licenses(texts: DataFrame, held: DataFrame, total: int, templates, thres
     # the whole vectors of the parts that are left
     some = can.select("key", "part").distinct()
     terms = cut(parts.join(_sent(some), ["key", "part"], "left_semi").select("key", "part", F.explode("words").alias("w")).groupBy("key", "part", "w").agg(_weight().alias("x")), "licenses")
-    weight = cut(held.join(terms.select("w").distinct(), "w", "left_semi").select("w", (F.log((1.0 + total) / (1 + F.col("n"))) + 1).alias("idf")), "licenses")
+    weight = cut(held.join(_sent(terms.select("w").distinct()), "w", "left_semi").select("w", (F.log((1.0 + total) / (1 + F.col("n"))) + 1).alias("idf")), "licenses")
     if rows_below(weight, BROADCAST_ROWS):
         terms = terms.join(F.broadcast(weight), "w")
     else:  # a word may be in many parts: they meet salted copies of its row
