@@ -33,7 +33,7 @@ def place(rows: DataFrame, *order) -> DataFrame:
         at += r["count"]
     before = F.broadcast(rows.sparkSession.createDataFrame(base, "__part long, __before long"))
     placed = ranged.join(before, part == F.col("__part"))
-    return placed.withColumn("place", (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")).drop("__id", "__part", "__before")
+    return placed.withColumn("place", (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("__id", "__part", "__before")
 
 
 def world_sort(rows: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:

@@ -32,8 +32,8 @@ def fold_fields(rows: DataFrame, keys: list[str], order: list[str], lo: str, hi:
     """32-bit variables after all writes of bit fields, in order, from 0: ``(keys, folded)``.
 
     Only a bit's last writer counts, so each of the 32 bits is a maximum over the writes that cover
-    it: partial aggregation, no ordered list of a key's rows. Where one integer orders the writes, the bit
-    is packed below it, so that the aggregation is by hash. A value that doesn't fit writes 0.
+    it: partial aggregation, no ordered list of a key's rows. Where one integer (below 2**62) orders the
+    writes, the bit is packed below it, so that the aggregation is by hash. A value that doesn't fit writes 0.
     """
     width = F.col(hi) - F.col(lo) + 1
     fit = F.when((F.col(value) < 0) | (F.col(value) >= F.call_function("shiftleft", F.lit(1).cast("long"), width.cast("int"))), 0).otherwise(F.col(value)).cast("long")

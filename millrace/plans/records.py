@@ -28,14 +28,14 @@ def world_populations(spark, sf_dir):
 def long_key_sort(spark, sf_dir):
     """Rows by a 64-bit key, ascending."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", (F.bround(F.col("o_totalprice") * 100).cast("long") * (1 << 32)).alias("key"))
-    return sorting.place(o, "key", "o_orderkey")
+    return sorting.place(o, "key", "o_orderkey").withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT l_orderkey, l_linenumber, key, (row_number() OVER (ORDER BY key, l_orderkey, l_linenumber))::int AS place FROM (SELECT *, (l_partkey % 1000 - 500)::int AS key FROM lineitem)")
 def int_key_sort(spark, sf_dir):
     """Rows by a 32-bit key, ascending; many rows tie."""
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1000 - 500).cast("int").alias("key"))
-    return sorting.place(rows, "key", "l_orderkey", "l_linenumber")
+    return sorting.place(rows, "key", "l_orderkey", "l_linenumber").withColumn("place", F.col("place").cast("int"))
 
 
 @query("""

@@ -142,26 +142,26 @@ def _worlds(spark, sf_dir):
 @query(f"""
 SELECT id, population, location, (row_number() OVER (ORDER BY nullif(population, -1) ASC NULLS LAST, location DESC, id))::int AS place FROM ({_WORLDS})""")
 def world_sort(spark, sf_dir):
-    return sorting.world_sort(_worlds(spark, sf_dir), [("population", True), ("location", False)]).select("id", "population", "location", "place")
+    return sorting.world_sort(_worlds(spark, sf_dir), [("population", True), ("location", False)]).select("id", "population", "location", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""
 SELECT id, activity, latency, (row_number() OVER (ORDER BY nullif(activity, '-') DESC NULLS LAST, nullif(latency, -1) ASC NULLS LAST, id))::int AS place FROM ({_WORLDS})""")
 def world_sort_activity(spark, sf_dir):
-    return sorting.world_sort(_worlds(spark, sf_dir), [("activity", False), ("latency", True)]).select("id", "activity", "latency", "place")
+    return sorting.world_sort(_worlds(spark, sf_dir), [("activity", False), ("latency", True)]).select("id", "activity", "latency", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""
 SELECT id, flags, (row_number() OVER (ORDER BY flags & 8 <> 0, flags & 1 <> 0 DESC, id))::int AS place FROM ({_WORLDS})""")
 def world_sort_flags(spark, sf_dir):
-    return sorting.world_sort(_worlds(spark, sf_dir), [("flag8", True), ("flag1", False)]).select("id", "flags", "place")
+    return sorting.world_sort(_worlds(spark, sf_dir), [("flag8", True), ("flag1", False)]).select("id", "flags", F.col("place").cast("int").alias("place"))
 
 
 @query("""
 SELECT s_suppkey, s_name, (row_number() OVER (ORDER BY s_key ASC NULLS FIRST, s_suppkey))::int AS place FROM (SELECT *, CASE WHEN s_suppkey % 6 > 0 THEN s_name END AS s_key FROM supplier)""")
 def null_first_sort(spark, sf_dir):
     s = load(spark, sf_dir, "supplier").withColumn("key", F.when(F.col("s_suppkey") % 6 > 0, F.col("s_name")))
-    return sorting.place(s, F.col("key").asc_nulls_first(), "s_suppkey").select("s_suppkey", "s_name", "place")
+    return sorting.place(s, F.col("key").asc_nulls_first(), "s_suppkey").select("s_suppkey", "s_name", F.col("place").cast("int").alias("place"))
 
 
 @query("""

@@ -36,10 +36,13 @@ def test_stream_agrees_with_batch(spark, sf_dir):
     assert batch == stream
 
 
-def test_search_over_its_cap_has_no_rows(spark):
+def test_search_over_its_cap_has_no_rows(spark, monkeypatch):
     d = spark.createDataFrame([(k, f"Name {k}") for k in range(5)], "k int, name string")
     assert search.search(d, "name", "NAME", F.lit(True), "k", 4).count() == 0
     assert search.search(d, "name", "NAME", F.lit(True), "k", 5).count() == 5
+    monkeypatch.setattr(search, "TOGETHER", 0)
+    assert search.search(d, "name", "NAME", F.lit(True), "k", 4).count() == 0
+    assert {(r.k, r.place) for r in search.search(d, "name", "NAME", F.lit(True), "k", 5).collect()} == {(k, k) for k in range(5)}
     assert search.search_size(d, "name", "", F.lit(True), 4).first().found == -1
 
 
