@@ -173,7 +173,8 @@ def own_licenses(texts: DataFrame, held: DataFrame, total: int, templates, thres
     n_words = F.broadcast(_table(spark, [(w, (math.log((1 + total) / (1 + counts.get(w, 0))) + 1)) for w in vocabulary], "w string, idf double"))
     parts = _parts(likely)
     # only words of templates are counted at first; a part's other words weigh as much as the most frequent ones at least, which bounds its cosines
-    shared = parts.select("key", "part", "m", F.explode("words").alias("w")).join(n_words, "w").groupBy("key", "part", "m", "w", "idf").agg(_weight().alias("x"))
+    shared = parts.select("key", "part", "m", F.explode("words").alias("w")).join(n_words, "w").repartition("key", "part")  # one exchange for both sums
+    shared = shared.groupBy("key", "part", "m", "w", "idf").agg(_weight().alias("x"))
     shared = shared.select("key", "part", "m", "w", (F.col("x") * F.col("idf")).alias("x")).join(known, "w")
     shared = shared.groupBy("key", "part", "m", "k").agg(F.sum(F.col("x") * F.col("v")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count("*").alias("n"))
     least = F.array(*[F.lit(x) for x in _least_squares(held, total)])
