@@ -107,3 +107,33 @@ LEFT JOIN lf b ON b.dir = f.source_dir
 
 
 ORACLE["op4_licenses"] = _licenses()
+
+
+def _crc(name: str, of: str) -> str:
+    """A CTE ``name (x, h)``: the unsigned CRC of each distinct number's decimal digits."""
+    return f"""{name} AS (
+  SELECT x, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(x::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM (SELECT DISTINCT {of} AS x FROM {{table}} WHERE {of} IS NOT NULL), crc_table
+)"""
+
+
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b::BIGINT] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b))
+)"""
+_USED = "CASE WHEN h % 2 = 1 THEN epoch_us({t}) - ((epoch_us({t}) % 3600000000) + 3600000000) % 3600000000 ELSE epoch_us({t}) END"
+
+ORACLE["op11_asof_orders"] = f"""
+WITH {_CRC_TABLE}, {_crc("ch", "click_id").format(table="clicks")}, {_crc("sh", "sale_id").format(table="sales")}, c AS (
+  SELECT click_id, client_id, {_USED.format(t="ts")} AS ts_us FROM (SELECT click_id, min(client_id) AS client_id, min(ts) AS ts FROM clicks GROUP BY 1) k LEFT JOIN ch ON ch.x = k.click_id
+), s AS (
+  SELECT client_id, sale_id, h, {_USED.format(t="sold_at")} AS at_us, floor(100 * total + 0.5)::BIGINT AS total_cents, priority::BIGINT AS priority FROM sales LEFT JOIN sh ON sh.x = sale_id WHERE client_id IS NOT NULL AND sold_at IS NOT NULL
+), o AS (
+  SELECT client_id, sale_id, at_us, total_cents, priority FROM s UNION ALL SELECT client_id, -1 - sale_id, at_us, total_cents, 6 - priority FROM s WHERE h % 3 <> 0
+), b AS (
+  SELECT *, count(*) OVER (PARTITION BY client_id, at_us) AS n_tied, row_number() OVER (PARTITION BY client_id, at_us ORDER BY priority NULLS LAST, sale_id DESC NULLS LAST, total_cents NULLS LAST) AS k FROM o
+), m AS (
+  SELECT c.click_id, c.client_id, c.ts_us, b.sale_id, b.at_us, b.total_cents, b.n_tied, coalesce(c.ts_us - b.at_us <= 864000000000, false) AS good
+  FROM c ASOF LEFT JOIN (SELECT * FROM b WHERE k = 1) b ON c.client_id = b.client_id AND c.ts_us >= b.at_us
+)
+SELECT click_id, client_id, ts_us, CASE WHEN good THEN sale_id END AS sale_id, CASE WHEN good THEN ts_us - at_us END AS lag_us, CASE WHEN good THEN total_cents END AS total_cents, CASE WHEN good THEN n_tied ELSE 0 END AS n_tied FROM m
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, sharding, tokens, warc
+from . import asof, decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, sharding, tokens, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -66,6 +66,24 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with the order before them; copies of a click that differ count as one of their least time and client."""
+    number = lambda c: F.crc32(c.cast("string").cast("binary"))
+    used = lambda t, odd: F.when(F.coalesce(odd, F.lit(False)), t - F.pmod(t, F.lit(asof.HOUR))).otherwise(t)
+    clicks = _table(spark, sf_dir, "clicks")
+    once = clicks.groupBy("click_id").agg(F.min("client_id").alias("client_id"), F.min(asof.micros(clicks, "ts")).alias("t"))
+    once = once.select("click_id", "client_id", used(F.col("t"), number(F.col("click_id")) % 2 == 1).alias("ts_us"))
+    sales = _table(spark, sf_dir, "sales")
+    h = number(F.col("sale_id"))
+    orders = sales.select(
+        "client_id", used(asof.micros(sales, "sold_at"), h % 2 == 1).alias("ts_us"), F.floor(F.col("total") * 100 + 0.5).alias("total_cents"),
+        F.explode(F.array(F.struct("sale_id", F.col("priority").cast("long").alias("priority")), F.when(h % 3 != 0, F.struct((-1 - F.col("sale_id")).alias("sale_id"), (6 - F.col("priority")).cast("long").alias("priority"))))).alias("o"),
+    ).where("o IS NOT NULL").select("client_id", "ts_us", "total_cents", "o.sale_id", "o.priority")
+    orders = asof.collapse_ties(orders, "client_id", "ts_us", ["priority"], ["sale_id"], ["sale_id", "total_cents"])
+    found = asof.asof_join(once, orders, "client_id", "ts_us", ["sale_id", "total_cents", "n_tied"], 240 * asof.HOUR)
+    return found.select("click_id", "client_id", "ts_us", "sale_id", (F.col("ts_us") - F.col("matched_at")).alias("lag_us"), "total_cents", F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
