@@ -137,3 +137,16 @@ WITH {_CRC_TABLE}, {_crc("ch", "click_id").format(table="clicks")}, {_crc("sh",
 )
 SELECT click_id, client_id, ts_us, CASE WHEN good THEN sale_id END AS sale_id, CASE WHEN good THEN ts_us - at_us END AS lag_us, CASE WHEN good THEN total_cents END AS total_cents, CASE WHEN good THEN n_tied ELSE 0 END AS n_tied FROM m
 """
+
+ORACLE["op12_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), r(h, q, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), m AS (
+  SELECT page_id, host, path, h || q AS rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(h || q) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, sharding, tokens, warc
+from . import asof, decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, sharding, tokens, url_filters, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -84,6 +84,16 @@ def op11_asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("click_id", "client_id", "ts_us", "sale_id", (F.col("ts_us") - F.col("matched_at")).alias("lag_us"), "total_cents", F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
 
 
+#: Host, path and verdict of the rules that op12 judges by.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in a list has no verdict of its own on a url that isn't there: such urls are allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.filter_urls(_table(spark, sf_dir, "pages"), rules, keep=("page_id",))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
