@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import asof, decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, sharding, tokens, url_filters, warc
+from . import asof, decontaminate, embeddings, langid, licenses, long_repeats, mixing, ngram_join, runs, sharding, tokens, url_filters, warc
 
 #: Public vocabulary files; a parameter of the operators that use one.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -94,6 +94,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), rules, keep=("page_id",))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.repeated_runs(_table(spark, sf_dir, "documents"), change=runs.planted)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
