@@ -9,6 +9,8 @@ backward within the tolerance. Nothing that grows with the input is broadcast or
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +26,8 @@ HOUR = 3_600_000_000
 NARROWER = (24 * HOUR, HOUR, 60_000_000, 1_000_000)
 #: Rows of a chunk that aren't split further, and slots for each shuffle partition.
 CHUNK_ROWS, SLOTS_EACH = 4_096, 8
+#: Bits of the map that tells rows of chunks to split from most others; its size is fixed, whatever the input.
+BITS = 1 << 16
 
 
 def micros(rows: DataFrame, name: str) -> Column:
@@ -50,18 +54,17 @@ def collapse_ties(orders: DataFrame, by: str, at: str, lower: list[str], higher:
     return best.select(by, at, *[F.col(f"best.v_{c}").alias(c) for c in values], "n_tied")
 
 
-def _joined(rows: DataFrame, hot: DataFrame, level: int, widths: tuple[int, ...], by: str, at: str) -> DataFrame:
-    """Rows of hot chunks move to the next level, others keep theirs; ``n`` is how many rows to match their chunk has."""
-    index = F.floor(F.col(at) / widths[level])
-    told = rows.join(hot.hint("merge"), (rows[by] == hot["_by"]) & (index == hot["_index"]) & (F.col("_level") == level), "left")
-    moved = F.col("_by").isNotNull() & F.lit(level + 1 < len(widths))
-    return told.select(*[c for c in rows.columns if c not in ("_level", "_n")], F.when(moved, level + 1).otherwise(F.col("_level")).alias("_level"), F.coalesce("_hot", "_n").alias("_n"))
-
-
-def _starts(widths: tuple[int, ...], at: str) -> Column:
-    """Start of a row's chunk at its level."""
-    width = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("_level") + 1)
-    return (F.col(at) - F.pmod(F.col(at), width)).cast("long")
+def _bits(hot: DataFrame) -> Column:
+    """Whether a row ``(_by, _index)`` may be among ``hot``, by a bitmap of fixed size: no hash of ``hot`` is told as absent."""
+    place = F.pmod(F.xxhash64("_by", "_index"), F.lit(BITS))
+    some = hot.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b"))
+    words = np.zeros(BITS // 64, "<i8")
+    for k, b in some.collect():  # 4,096 bytes for 32,768 bits, which count from 1
+        held = np.frombuffer(bytes(b), "<i8")
+        at = (k - 1) * (32_768 // 64)
+        words[at : at + len(held)] = held[: len(words) - at]
+    held = F.element_at(F.array(*[F.lit(int(w)) for w in words]), F.floor(place / 64).cast("int") + 1)
+    return F.call_function("shiftrightunsigned", held, (place % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
 def _matcher(by: str, at: str, tolerance: int, values: list[str]):
@@ -94,47 +97,58 @@ def asof_join(rows: DataFrame, orders: DataFrame, by: str, at: str, values: list
         raise ValueError("the tolerance must be positive")
     spark = rows.sparkSession
     ship(spark)
-    widths = (tolerance, *[w for w in narrower if w < tolerance])
+    widths = [tolerance]
+    for w in narrower:
+        if w < widths[-1] and widths[-1] % w == 0:  # narrower chunks never lie across a border of wider ones
+            widths.append(w)
     whole = F.col(by).isNotNull() & F.col(at).isNotNull()
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, orders.schema[c].dataType) for c in values], T.StructField("matched_at", T.LongType())])
-    rows = cut(rows, "asof")
-    alone = rows.where(~whole).select(*rows.columns, *[F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in values], F.lit(None).cast("long").alias("matched_at"))
-    left = rows.where(whole).select("*", F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_n"))
-    right = cut(orders.where(whole).select(by, at, *values), "asof").select("*", F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_n"))
+    columns = rows.columns
+    rows = cut(rows.withColumn("_salt", (F.rand() * (1 << 31)).cast("int")), "asof")  # drawn once, so that repeated rows part
+    alone = rows.where(~whole).select(*columns, *[F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in values], F.lit(None).cast("long").alias("matched_at"))
+    active = [rows.where(whole), cut(orders.where(whole).select(by, at, *values), "asof")]
+    order = F.struct(at, *values)
+    done: list[list[DataFrame]] = [[], []]
+    cells: list[DataFrame] = []
     total = 0
     for level, width in enumerate(widths):
-        here = [r.where(F.col("_level") == level).select(F.col(by).alias("_by"), F.floor(F.col(at) / width).alias("_index"), F.lit(k).cast("long").alias("k")) for k, r in enumerate((left, right))]
-        counts = here[0].unionByName(here[1]).groupBy("_by", "_index").agg(F.count("*").alias("n"), F.sum(1 - F.col("k")).alias("_hot"))
-        if level == 0:
-            counts = cut(counts, "asof")
-            total = counts.agg(F.sum("n")).first()[0] or 0
-        hot = cut(counts.where(F.col("n") > chunk_rows).drop("n"), "asof")
-        if hot.isEmpty():
+        # each chunk of this width: its rows to match, all rows, the latest order
+        at_level = [r.withColumn("_by", F.col(by)).withColumn("_index", F.floor(F.col(at) / width)) for r in active]
+        lefts = at_level[0].groupBy("_by", "_index").agg(F.count("*").alias("n"), F.count("*").alias("n_left"))
+        rights = at_level[1].groupBy("_by", "_index").agg(F.count("*").alias("n"), F.max(order).alias("_last"))
+        told = lefts.withColumn("_last", F.lit(None).cast(rights.schema["_last"].dataType)).unionByName(rights.withColumn("n_left", F.lit(0).cast("long")))
+        told = cut(told.groupBy("_by", "_index").agg(F.sum("n").alias("n"), F.sum("n_left").alias("n_left"), F.first("_last", True).alias("_last")), "asof")
+        last = level + 1 == len(widths)
+        hot = F.col("n_left" if last else "n") > chunk_rows
+        blocks = F.ceil(F.col("n_left") / chunk_rows).cast("int") if last else F.least(F.col("n_left"), F.lit(1)).cast("int")
+        cells.append((told if last else told.where(~hot)).select(F.col("_by").alias(by), (F.col("_index") * width).alias("_start"), blocks.alias("_blocks"), "_last"))
+        total = total or (told.agg(F.sum("n")).first()[0] or 0)
+        crowded = told.where(hot).select(F.col("_by").alias("_hot_by"), F.col("_index").alias("_hot_index"), (blocks if last else F.lit(1)).alias("_hot"))
+        more = not crowded.isEmpty()
+        maybe = _bits(crowded.select(F.col("_hot_by").alias("_by"), F.col("_hot_index").alias("_index"))) if more else F.lit(False)
+        for k, r in enumerate(at_level):
+            plain = [*r.columns[:-2], (F.col("_index") * width).alias("_start")]
+            done[k].append(r.where(~maybe).select(*plain, F.lit(1).alias("_blocks")))
+            if more:
+                joined = r.where(maybe).join(crowded.hint("merge"), (F.col("_by") == F.col("_hot_by")) & (F.col("_index") == F.col("_hot_index")), "left")
+                joined = cut(joined.select(*plain, F.coalesce("_hot", F.lit(0)).alias("_blocks")), "asof")
+                done[k].append(joined.where(F.lit(last) | (F.col("_blocks") == 0)).withColumn("_blocks", F.greatest("_blocks", F.lit(1))))
+                active[k] = joined.where("_blocks > 0").drop("_start", "_blocks")
+        if not more:
             break
-        left, right = (_joined(r, hot, level, widths, by, at) for r in (left, right))
-    last = len(widths) - 1
-    blocks = F.when(F.col("_level") == last, F.ceil(F.col("_n") / chunk_rows)).otherwise(1).cast("int")
-    blocks = F.greatest(blocks, F.lit(1))
-    start = _starts(widths, at)
-    left = left.select(*rows.columns, start.alias("_start"), blocks.alias("_blocks"))
-    right = right.select(by, at, *values, start.alias("_start"), blocks.alias("_blocks"))
-    # each chunk with rows to match, and the key's latest order before it: in the same wide chunk, or in the one before
-    order = F.struct(at, *values)
-    wide = lambda c: F.floor(F.col(c) / tolerance)
-    chunks = left.groupBy(by, "_start").agg(F.max("_blocks").alias("_blocks"))
-    latest = right.groupBy(by, "_start").agg(F.max(F.struct(F.col(at), order.alias("o")))["o"].alias("_last"))
-    both = chunks.select(by, "_start", "_blocks", F.lit(None).cast(latest.schema["_last"].dataType).alias("_last")).unionByName(latest.select(by, "_start", F.lit(None).cast("int").alias("_blocks"), "_last"))
-    both = both.groupBy(by, "_start").agg(F.max("_blocks").alias("_blocks"), F.first("_last", True).alias("_last")).withColumn("_wide", wide("_start"))
+    left, right = (reduce(DataFrame.unionByName, parts) for parts in done)
+    chunks = reduce(DataFrame.unionByName, cells).withColumn("_wide", F.floor(F.col("_start") / tolerance))
+    # each chunk's halo: the key's latest order before it, in the same wide chunk or in the one before
     past = Window.partitionBy(by, "_wide").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    seen = both.withColumn("_own", F.last("_last", True).over(past)).where("_blocks IS NOT NULL").drop("_last")
-    ends = latest.groupBy(by, (wide("_start") + 1).alias("_wide")).agg(F.max(F.struct(F.col(f"_last.{at}").alias("a"), "_last"))["_last"].alias("_before"))
+    seen = chunks.withColumn("_own", F.last("_last", True).over(past)).where("_blocks > 0").drop("_last")
+    ends = chunks.where("_last IS NOT NULL").groupBy(by, (F.col("_wide") + 1).alias("_wide")).agg(F.max("_last").alias("_before"))
     halo = seen.join(ends.hint("merge"), [by, "_wide"], "left").select(by, "_start", "_blocks", F.coalesce("_own", "_before").alias("_o")).where("_o IS NOT NULL")
     halo = halo.select(by, *[F.col(f"_o.`{c}`").alias(c) for c in (at, *values)], "_start", "_blocks")
     # rows of a narrowest chunk with too many are dealt over blocks, and its orders go to each
     n_slots = slots or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * CHUNK_ROWS))) * SLOTS_EACH
     slot = F.pmod(F.xxhash64(by, "_start", "_block"), F.lit(n_slots)).alias("_slot")
-    block = F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64(*rows.columns), F.col("_blocks")).cast("int")).otherwise(0)
-    left = left.withColumn("_block", block).select(*rows.columns, "_start", "_block", slot)
+    block = F.when(F.col("_blocks") > 1, F.col("_salt") % F.col("_blocks")).otherwise(0)
+    left = left.withColumn("_block", block).select(*columns, "_start", "_block", slot)
     right = right.unionByName(halo).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(by, at, *values, "_start", "_block", slot)
     joined = left.groupBy("_slot").cogroup(right.groupBy("_slot")).applyInArrow(_matcher(by, at, tolerance, values), schema)
     return joined.unionByName(alone)
