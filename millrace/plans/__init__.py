@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import catalogs, images, records, relational, scalars, stateful, transitions  # noqa: F401
+from . import catalogs, images, records, relational, scalars, stateful, streams, transitions  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
