@@ -121,8 +121,8 @@ def matches_bound(item: np.ndarray, window: np.ndarray, span: int, vocabulary: i
     return min(whole, int((sums[span:] - sums[:-span]).max() if len(window) > span else sums[-1]))
 
 
-def _leaks(ids: np.ndarray, items: list[np.ndarray], share: float):
-    """Aligns every passage that holds a seed of an item with it, unless its words can't reach the share."""
+def _leaks(ids: np.ndarray, items: list[np.ndarray], share: float, clean: bool = False):
+    """Aligns every passage that holds a seed of an item with it, unless its words can't reach the share; ``clean`` returns the rows that leak nothing, whole."""
 
     def run(batches):
         own = [np.unique(grams(i, SEED_WORDS)) for i in items]
@@ -139,7 +139,7 @@ def _leaks(ids: np.ndarray, items: list[np.ndarray], share: float):
         # an alignment of the share has at most so many gaps in the item, each a word of the document
         spans = lengths + np.ceil(MATCH * (1 - share) / -GAP * lengths).astype(np.int64)
         for batch in batches:
-            docs, found = batch.column("doc_id").to_pylist(), {}
+            found: dict[tuple[int, int], tuple] = {}
             waiting: list[tuple[int, int, int, np.ndarray]] = []
 
             def score(found=found, waiting=waiting):
@@ -153,7 +153,7 @@ def _leaks(ids: np.ndarray, items: list[np.ndarray], share: float):
                 waiting.clear()
 
             for row, text in enumerate(batch.column("text")):
-                w = words(text.as_py())
+                w = words(text.as_py() or "")
                 at, k = index.find(grams(w, SEED_WORDS))
                 if not len(at):
                     continue
@@ -181,7 +181,12 @@ def _leaks(ids: np.ndarray, items: list[np.ndarray], share: float):
                         p0, last = p if p0 is None else p0, p
                 present[which] = False
             score()
-            rows = sorted(found.items())
+            if clean:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[r for r, _ in found]] = False
+                yield batch.filter(pa.array(stays))
+                continue
+            rows, docs = sorted(found.items()), batch.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([docs[r] for (r, _), _ in rows], pa.int64()), pa.array([int(ids[i]) for (_, i), _ in rows], pa.int64()), pa.array([v[0] for _, v in rows], pa.float64()), pa.array([v[1] for _, v in rows], pa.int32()), pa.array([v[2] for _, v in rows], pa.int32())],
                 names=["doc_id", "item_id", "score", "word_start", "word_end"],
@@ -203,6 +208,15 @@ def _passes(benchmark: DataFrame):
         yield rows
 
 
+def _items(benchmark: DataFrame):
+    """Ids and words of the items that have seeds, a group of bounded size at a time."""
+    words = Words()
+    for rows in _passes(benchmark):
+        some = [(r.item_id, w) for r in rows if len(w := words(r.text)) >= SEED_WORDS]
+        if some:
+            yield np.array([r[0] for r in some]), [r[1] for r in some]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = LEAK) -> DataFrame:
     """``(doc_id, item_id, score, word_start, word_end)``: where a document of ``docs (doc_id, text)`` holds an item of ``benchmark (item_id, text)``.
 
@@ -221,17 +235,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = LEAK) -> Da
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     schema = "doc_id long, item_id long, score double, word_start int, word_end int"
-    out, words = None, Words()
-    for rows in _passes(benchmark):
-        rows = [(r.item_id, w) for r in rows if len(w := words(r.text)) >= SEED_WORDS]
-        if not rows:
-            continue
-        part = texts.mapInArrow(_leaks(np.array([r[0] for r in rows]), [r[1] for r in rows], share), schema)
+    out = None
+    for ids, items in _items(benchmark):
+        part = texts.mapInArrow(_leaks(ids, items, share), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, share: float = LEAK) -> DataFrame:
-    """``docs`` without the rows whose doc_id leaks an item; rows with null doc_id stay."""
-    leaks = cut(find_leaks(docs, benchmark, share).select("doc_id").distinct(), "leaks")
-    return docs.join(F.broadcast(leaks) if leaks.limit(500_001).count() <= 500_000 else leaks, "doc_id", "left_anti")
+    """The rows of ``docs`` whose text leaks no item, each judged by itself, whatever its doc_id; those without text stay."""
+    ship(docs.sparkSession)
+    for ids, items in _items(benchmark):
+        docs = docs.mapInArrow(_leaks(ids, items, share, True), docs.schema)
+    return docs

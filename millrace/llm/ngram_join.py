@@ -514,3 +514,33 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     salted = found.select("cls", "component_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
     rows = join.members.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(8)).cast("int").alias("salt"))
     return rows.join(salted, ["cls", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group that links: that of the smallest doc_id, then text digest, then of all other columns.
+
+    Rows are told apart by doc_id and a 64-bit digest of the text, so one doc_id may come with several texts. A null doc_id
+    comes last. Rows whose text is null or has no words are in no group and stay.
+    """
+    ship(docs.sparkSession)
+    join = _Join(docs, n, percent)
+    groups = join.components()
+    named = join.classes.join(groups, "cls", "left").where("copies > 1 or component is not null").select("cls", "row", F.coalesce("component", "cls").alias("component"))
+    least = named.groupBy("component").agg(F.min("row").alias("first"))
+    found = cut(named.join(least, "component").select("cls", F.col("first.doc_id").alias("first"), F.col("first.digest").alias("of")), "ngram")
+    discard(groups, join.classes)
+    salted = found.select("cls", "first", "of", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    rows = join.members.where("cls is not null").select("doc_id", "digest", "cls", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(8)).cast("int").alias("salt")).join(salted, ["cls", "salt"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of"))
+    told = cut(rows.groupBy("doc_id", "digest").agg(F.min(stays).alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "ngram")
+    discard(found, join.members)
+    # what a left join brings is null for the most rows, which are in no group
+    named = told.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "stays")
+    sent = F.broadcast(named) if rows_below(named, BROADCAST_ROWS) else named
+    digest = F.xxhash64(docs["text"])
+    met = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs["doc_id"].cast("long").alias("_id"), digest.alias("_of"))
+    met = met.join(sent, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_digest")), "left").where("stays is null or stays")
+    back = [F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    # the survivor's own copies: the least by all columns
+    again = met.where("stays").groupBy("_id", "_of").agg(F.min("row").alias("row"))
+    return met.where("stays is null").select(*back).unionByName(again.select(*back))
