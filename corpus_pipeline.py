@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, mixing, ngram_join, sharding
 from millrace.llm.queries import PIECES, vocabulary
-from millrace.llm.store import cut, discard, rows_below
+from millrace.llm.store import cut, discard
 
 #: Near-duplicates: words of a shingle and least Jaccard similarity in percent.
 SHINGLE_WORDS, SIMILAR = 5, 80
@@ -16,12 +16,6 @@ LEAST_SCORE = 0.5
 N_SHARDS = 16
 #: Words whose scores a worker keeps; other stages' memory comes on top.
 WORD_CACHE = 150_000
-#: Rows of a table of doc_ids that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 500_000
-
-
-def _sent(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if rows_below(table, BROADCAST_ROWS) else table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +27,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles of Jaccard 0.8 or more: that of the smallest doc_id.
+    """One row of each group linked by 5-word shingles of Jaccard 0.8 or more: that of the smallest doc_id.
 
-    Of rows with equal doc_id and text one stays; rows with null doc_id stay, once for each text.
+    Rows are told apart by doc_id and text; of several of the survivor's doc_id and text the least by all columns stays.
     """
-    found = cut(ngram_join.ngram_components(docs, SHINGLE_WORDS, SIMILAR).select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("goes")), "pipeline")
-    left = docs.join(_sent(cut(found.where("goes").select("doc_id").distinct(), "pipeline")), "doc_id", "left_anti").select(docs.columns)
-    again = cut(found.where("not coalesce(goes, false)").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "pipeline")
-    if again.isEmpty():
-        return left
-    same = left["doc_id"].eqNullSafe(again["doc_id"])
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return ngram_join.one_of_each(docs, SHINGLE_WORDS, SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Rows that leak no benchmark item, each judged by its own text."""
     return decontaminate.remove_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
