@@ -99,3 +99,24 @@ def test_one_of_each_group_stays(spark, sf_dir, odd_docs):
     kept = corpus_pipeline.near_duplicates(spark, odd_docs.select("doc_id", "text"), sf_dir).collect()
     ids = Counter(r.doc_id for r in kept)
     assert ids[106] == 0 and ids[2] == 1 and ids[104] == 0 and ids[1] == 1 and ids[107] == 0 and ids[103] == 1
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark, sf_dir):
+    """A doc_id with several texts, null ids and copies of different source: one row of each group stays, the same in each run."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a, "s", 1), (5, a, "s", 2), (5, b, "t", 3), (9, b, "s", 4), (9, b, "r", 5), (7, c, "s", 6), (None, b, "s", 7), (None, c + " more", "z", 8), (None, c + " more", "y", 9), (8, None, "s", 10), (8, None, "s", 10), (8, " ", "s", 11)]
+    alone = [(None, " ".join(f"n{k}" for k in range(40)), x, 12) for x in "vuu"]
+    docs = spark.createDataFrame(rows + alone, "doc_id long, text string, source string, n long")
+    want = sorted([(1, a, "s", 1), (5, b, "t", 3), (7, c, "s", 6), (8, None, "s", 10), (8, None, "s", 10), (8, " ", "s", 11), (None, alone[0][1], "u", 12)], key=repr)
+    for parts in (1, 4):
+        assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs.repartition(parts), sf_dir).collect()), key=repr) == want
+
+
+def test_leaking_rows_go_whatever_their_doc_id(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    clean = " ".join(f"clean{k}" for k in range(50))
+    rows = [(1, clean, "s"), (1, f"{clean} {item}", "s"), (None, item, "s"), (None, clean, "t"), (2, None, "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text2 string")
+    got = corpus_pipeline.decontamination(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[0], *rows[3:]], key=repr)
