@@ -1,4 +1,4 @@
-"""Stateful streams: timers, merges into tables, bounded batches, dispatch and views of slots."""
+"""Stateful streams: timers, merges into tables, bounded batches, dispatch, views of slots; and lists that change by codes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lists
 from ..operators.cutting import shared_dir
 from ..sources import load
 from ..sources.sequence import read_sequence, write_sequence
@@ -154,3 +155,26 @@ def stream_views(spark, sf_dir):
     columns = ["at", "event_id", "own_slot", "kind", "plane", "direction", "dx", "dy", "first"]
     row = "at long, seq long, slot long, kind int, plane int, direction int, dx int, dy int, first int"
     return drain(timers.folded(stream, "slot", columns, row, views.VIEW, "slot long, seq long, what string, plane int, x int, y int", views.follow_views()), "append")
+
+
+@query("""
+WITH p AS (SELECT event_type AS list, event_id // 200 AS tick, user_id, min(event_id) AS k FROM events GROUP BY 1, 2, 3), z AS (SELECT max(tick) AS z FROM p),
+c AS (SELECT a.list, a.tick, a.user_id, a.k, CASE WHEN b.user_id IS NULL OR a.tick % 10 = 0 THEN 4 ELSE a.k % 4 - 1 END AS code FROM p a LEFT JOIN p b ON b.list = a.list AND b.tick = a.tick - 1 AND b.user_id = a.user_id),
+g AS (SELECT *, sum((code = 4)::int) OVER (PARTITION BY list, user_id ORDER BY tick) AS life FROM c),
+f AS (SELECT *, min(tick) OVER w AS born, min(k) FILTER (code = 4) OVER w AS first_k, sum(CASE WHEN code IN (1, 2) THEN k % 3 - 1 ELSE 0 END) OVER (w ORDER BY tick)::BIGINT AS x, sum(CASE WHEN code = 2 THEN k % 5 - 2 ELSE 0 END) OVER (w ORDER BY tick)::BIGINT AS y FROM g WINDOW w AS (PARTITION BY list, user_id, life)),
+e AS (SELECT f.*, lead(tick) OVER (PARTITION BY list, user_id ORDER BY tick) AS next FROM f)
+SELECT list, tick, user_id, CASE code WHEN -1 THEN 'same' WHEN 0 THEN 'changed' WHEN 1 THEN 'stepped' WHEN 2 THEN 'ran' ELSE 'added' END AS what, (row_number() OVER (PARTITION BY list, tick ORDER BY born, first_k) - 1)::INT AS place, x, y FROM f
+UNION ALL SELECT list, tick + 1, user_id, CASE WHEN (tick + 1) % 10 = 0 THEN 'unsent' ELSE 'gone' END, NULL, x, y FROM e, z WHERE tick < z AND (next IS DISTINCT FROM tick + 1 OR (tick + 1) % 10 = 0)""")
+def list_codes(spark, sf_dir):
+    """Lists of users by type of event, which change by codes from tick to tick; every tenth tick sends none of a list."""
+    seen = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("list"), F.floor(F.col("event_id") / 200).alias("tick"), "user_id").agg(F.min("event_id").alias("k"))
+    ends = seen.agg(F.max("tick").alias("end"))  # one row
+    w = Window.partitionBy("list", "user_id").orderBy("tick")
+    seen = seen.withColumns({"was": F.coalesce(F.lag("tick").over(w) == F.col("tick") - 1, F.lit(False)), "stays": F.coalesce(F.lead("tick").over(w) == F.col("tick") + 1, F.lit(False))})
+    whole = F.col("tick") % 10 == 0
+    k, code = F.col("k"), F.when(~F.col("was") | whole, lists.ADDED).otherwise(F.col("k") % 4 - 1)
+    sent = seen.select("list", "tick", "user_id", "k", code.alias("code"))
+    sent = sent.withColumns({"dx": F.when(F.col("code").isin(lists.STEPPED, lists.RAN), k % 3 - 1), "dy": F.when(F.col("code") == lists.RAN, k % 5 - 2)})
+    gone = seen.join(F.broadcast(ends)).where(~F.col("stays") & ((F.col("tick") + 1) % 10 != 0) & (F.col("tick") < F.col("end")))
+    gone = gone.select("list", (F.col("tick") + 1).alias("tick"), "user_id", "k", F.lit(lists.GONE).alias("code"), F.lit(0).cast("long").alias("dx"), F.lit(0).cast("long").alias("dy"))
+    return lists.fold_lists(sent.unionByName(gone), ["list"], "tick", "user_id", "k", "code", "dx", "dy")
