@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,36 +72,60 @@ def grouped(n: Column, separator: str = ",") -> Column:
     return F.translate(F.format_number(n.cast("long"), 0), ",", separator)
 
 
-def compare_folded(a: Column, b: Column) -> Column:
-    """-1, 0 or 1 by letters without case and accents, then by length, then by code points."""
-    x, y = F.collate(a, "UNICODE_CI_AI"), F.collate(b, "UNICODE_CI_AI")
-    return (
-        F.when(x < y, -1).when(x > y, 1).when(F.length(a) < F.length(b), -1).when(F.length(a) > F.length(b), 1)
-        .when(F.collate(a, "UTF8_BINARY") < F.collate(b, "UTF8_BINARY"), -1).when(F.collate(a, "UTF8_BINARY") > F.collate(b, "UTF8_BINARY"), 1).otherwise(0)
-    )
+# Letters that count as two, and runs of letters that count as their first; others stay.
+_TWO = {"Æ": "AE", "æ": "ae", "ß": "ss", "Œ": "OE", "œ": "oe"}
+_RUNS = (("ÀÁÂÃÄÅ", "A"), ("Ç", "C"), ("ÈÉÊË", "E"), ("ÌÍÎÏ", "I"), ("ÒÓÔÕÖ", "O"), ("ÙÚÛÜ", "U"), ("ÝŸ", "Y"), ("àáâãäå", "a"), ("ç", "c"), ("èéêë", "e"), ("ìíîï", "i"), ("òóôõö", "o"), ("ùúûü", "u"), ("ýÿ", "y"))
+
+
+def _lower_char(c: Column) -> Column:
+    return F.substring(F.lower(c), 1, 1)
+
+
+def locale_key(s: Column, lang: int = 0) -> Column:
+    """A key that sorts and joins texts as the locale does: a struct, null for a null text.
+
+    First the letters without accents and case, two of them for a ligature; then all characters without case, from the end where
+    ``lang`` is 2, a text before its own continuations; then all characters, a capital behind its small letter. Equal keys are
+    equal texts. Characters go by code point; one without a single small or capital letter stays as it is.
+    """
+    folded = s
+    for letter, two in _TWO.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(two))
+    folded = F.translate(folded, "".join(r for r, _ in _RUNS), "".join(to * len(r) for r, to in _RUNS))
+    plain = lambda t: F.transform(F.split(t, ""), lambda c: _lower_char(upper_char(c)))
+    whole = plain(s)
+    small = lambda c: F.when(c.rlike(r"[\p{IsUppercase}\p{Lt}]"), F.ascii(_lower_char(c)) * 16 + 1).otherwise(F.ascii(c) * 16)
+    return F.when(s.isNotNull(), F.struct(F.array_join(plain(folded), "").alias("letters"), F.array_join(F.reverse(whole) if lang == 2 else whole, "").alias("characters"), F.transform(F.split(s, ""), small).alias("raw")))
+
+
+def compare_folded(a: Column, b: Column, lang: int = 0) -> Column:
+    """-1, 0 or 1 by the texts' locale keys; null where one is null."""
+    x, y = locale_key(a, lang), locale_key(b, lang)
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
 
 
 def wrap_lines(widths: dict[str, int], default: int):
-    """A pandas UDF (text, width) -> (lines, widest): greedy wrapping at spaces by glyph widths, new lines at <br>."""
-    @F.pandas_udf("lines int, widest int")
-    def run(text: pd.Series, limit: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, most in zip(text.fillna(""), limit, strict=True):
-            lines, widest = 0, 0
-            for part in s.split("<br>"):
-                now = 0
-                for k, word in enumerate(part.split(" ")):
-                    size = sum(widths.get(c, default) for c in word)
-                    room = now + (widths.get(" ", default) if k else 0) + size
-                    if k and room > most:
-                        lines, widest, now = lines + 1, max(widest, now), size
-                    else:
-                        now = room
-                lines, widest = lines + 1, max(widest, now)
-            rows.append((lines, widest))
-        return pd.DataFrame(rows, columns=["lines", "widest"])
-
-    return run
+    """A function (text, width) -> struct (lines, widest): greedy wrapping at spaces by glyph widths, new lines at <br>.
+
+    One fold over the words with the lines so far, the widest and the current one's width as state; a word that is wider than
+    the limit has a line for itself. A null text is empty, which is one line.
+    """
+    space = widths.get(" ", default)
+
+    def wrapped(s: Column | str, limit: Column) -> Column:
+        s = F.coalesce(F.col(s) if isinstance(s, str) else s, F.lit(""))
+        # the first word of each part begins a line
+        words = F.flatten(F.transform(F.split(s, "<br>", -1), lambda part: F.transform(F.split(part, " ", -1), lambda w, k: F.struct(text_width(w, widths, default).alias("size"), (k == 0).alias("first")))))
+        start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("widest"), F.lit(0).alias("now"))
+
+        def step(state: Column, w: Column) -> Column:
+            room = state["now"] + space + w["size"]
+            ends = w["first"] | (room > limit)
+            return F.struct((state["lines"] + ends.cast("int")).alias("lines"), F.greatest(state["widest"], state["now"]).alias("widest"), F.when(ends, w["size"]).otherwise(room).alias("now"))
+
+        return F.aggregate(words, start, step, lambda end: F.struct(end["lines"].alias("lines"), F.greatest(end["widest"], end["now"]).alias("widest")))
+
+    return wrapped
 
 
 def text_width(s: Column, widths: dict[str, int], default: int) -> Column:

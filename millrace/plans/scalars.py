@@ -154,15 +154,47 @@ def text_widths(spark, sf_dir):
 GLYPHS = {" ": 3, "i": 2, "l": 2, "m": 9}
 
 
-@query(None)
+_GLYPH_WIDTHS = "list_sum(list_transform(string_split(w, ''), lambda c: CASE c WHEN '' THEN 0 WHEN ' ' THEN 3 WHEN 'i' THEN 2 WHEN 'l' THEN 2 WHEN 'm' THEN 9 ELSE 6 END))"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, text, {{'size': 0, 'first': false, 'lines': 0, 'widest': 0, 'now': 0}} AS start, flatten(list_transform(string_split(coalesce(text, ''), '<br>'), lambda p: list_transform(string_split(p, ' '), lambda w, k:
+  {{'size': coalesce({_GLYPH_WIDTHS}, 0)::INT, 'first': k = 1, 'lines': 0, 'widest': 0, 'now': 0}}))) AS words FROM conversations),
+f AS (SELECT conv_id, turn, list_reduce([start] || words, lambda s, w: {{'size': 0, 'first': false, 'lines': (s.lines + (w.first OR s.now + 3 + w.size > 400)::INT)::INT, 'widest': greatest(s.widest, s.now)::INT,
+  'now': (CASE WHEN w.first OR s.now + 3 + w.size > 400 THEN w.size ELSE s.now + 3 + w.size END)::INT}}) AS s FROM t)
+SELECT conv_id, turn, s.lines AS lines, greatest(s.widest, s.now) AS widest FROM f""")
 def text_layout(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", text.wrap_lines(GLYPHS, 6)("text", F.lit(400)).alias("l")).select("conv_id", "turn", "l.lines", "l.widest")
 
 
-@query(None)
+_PLAIN = "list_transform(string_split({0}, ''), lambda c: CASE WHEN c = 'ß' THEN c ELSE lower(upper(c)) END)"
+_FOLDED = "translate(replace(replace(replace(replace(replace({0}, 'Æ', 'AE'), 'æ', 'ae'), 'ß', 'ss'), 'Œ', 'OE'), 'œ', 'oe'), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝŸàáâãäåçèéêëìíîïòóôõöùúûüýÿ', 'AAAAAACEEEEIIIIOOOOOUUUUYYaaaaaaceeeeiiiiooooouuuuyy')"
+
+
+def _order(n: str, lang: int) -> str:
+    """SQL of the keys of a column: letters, characters, raw ones."""
+    plain, folded = _PLAIN.format(n), f"array_to_string({_PLAIN.format(_FOLDED.format(n))}, '')"
+    whole = f"array_to_string({f'list_reverse({plain})' if lang == 2 else plain}, '')"
+    raw = f"list_transform(string_split({n}, ''), lambda c: CASE WHEN c = '' THEN 0 WHEN lower(c) <> c THEN unicode(lower(c)) * 16 + 1 ELSE unicode(c) * 16 END)"
+    return f"{folded} AS f{n}{lang}, {whole} AS w{n}{lang}, {raw} AS r{n}{lang}"
+
+
+def _compared(lang: int) -> str:
+    less = lambda k: f"WHEN {k}a{lang} < {k}b{lang} THEN -1 WHEN {k}a{lang} > {k}b{lang} THEN 1"
+    return f"CASE WHEN a IS NULL THEN NULL {less('f')} {less('w')} {less('r')} ELSE 0 END"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, text AS a, CASE doc_id % 4 WHEN 0 THEN substr(text, 3) WHEN 1 THEN translate(text, 'aeiouéèüöä', 'äéíóúeeuoa') WHEN 2 THEN translate(text, 'etaoinETAOIN', 'ETAOINetaoin') ELSE rpad(replace(replace(text, 'ss', 'ß'), 'ae', 'æ'), length(text)::INT, ' ') END AS b FROM documents),
+k AS (SELECT doc_id, a, b, {_order("a", 0)}, {_order("b", 0)}, {_order("a", 2)}, {_order("b", 2)} FROM d)
+SELECT doc_id, a, b, {_compared(0)} AS "order", {_compared(2)} AS order_from_end FROM k""")
 def collated_compare(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.upper(F.expr("substring(text, 3)")).alias("b"))
-    return d.select("*", text.compare_folded(F.col("a"), F.col("b")).alias("order"))
+    """Each text with itself moved, with other accents, other case, or ligatures."""
+    t, k = F.col("text"), F.col("doc_id") % 4
+    b = F.when(k == 0, F.expr("substring(text, 3)")).when(k == 1, F.translate(t, "aeiouéèüöä", "äéíóúeeuoa")).when(k == 2, F.translate(t, "etaoinETAOIN", "ETAOINetaoin"))
+    ligatures = F.rpad(F.replace(F.replace(t, F.lit("ss"), F.lit("ß")), F.lit("ae"), F.lit("æ")), F.length(t), F.lit(" "))
+    d = load(spark, sf_dir, "documents").select("doc_id", t.alias("a"), b.otherwise(ligatures).alias("b"))
+    return d.select("*", text.compare_folded(F.col("a"), F.col("b")).alias("order"), text.compare_folded(F.col("a"), F.col("b"), 2).alias("order_from_end"))
 
 
 @query("""

@@ -86,3 +86,60 @@ def test_checksums(spark):
         for ch in w:
             want = want * 31 + ord(ch)
         assert (c, h) == (wrap(zlib.crc32(w.encode())), wrap(want))
+
+
+def by_steps(a, b, lang=0):
+    """The order of two texts, character by character: letters, then characters, lengths and capitals."""
+    two = {"Æ": "AE", "æ": "ae", "ß": "ss", "Œ": "OE", "œ": "oe"}
+    base = {"ä": "a", "Ä": "A", "é": "e", "É": "E", "ÿ": "y", "Ÿ": "Y", "ç": "c", "ñ": "ñ"}
+    up = lambda c: c.upper() if len(c.upper()) == 1 else c
+    sign = lambda n: (n > 0) - (n < 0)
+
+    def first(pairs):
+        return next((sign(ord(x.lower()) - ord(y.lower())) for x, y in pairs if x != y and up(x) != up(y) and x.lower() != y.lower()), 0)
+
+    x, y = ([base.get(c, c) for e in t for c in two.get(e, e)] for t in (a, b))
+    if n := first(zip(x, y, strict=False)) or sign(len(x) - len(y)):
+        return n
+    if n := first(zip(a[::-1], b[::-1], strict=False) if lang == 2 else zip(a, b, strict=False)) or sign(len(a) - len(b)):
+        return n
+    weight = lambda c: ord(c.lower()) * 16 + 1 if c.isupper() else ord(c) * 16
+    return next((sign(weight(p) - weight(q)) for p, q in zip(a, b, strict=True) if p != q), 0)
+
+
+def test_locale_order_by_steps(spark):
+    import random
+
+    rnd = random.Random(8)
+    made = lambda: "".join(rnd.choice("aAäÄæÆeEéÉsSßoOœŒyÿŸçñz -") for _ in range(rnd.randrange(5)))
+    pairs = [(made(), made()) for _ in range(3_000)] + [("Æsop", "AEsop"), ("Straße", "STRASSE"), ("", "a"), ("", ""), ("a\U0001f600", "a\U0001f601")]
+    d = spark.createDataFrame(pairs + [(None, "a"), ("a", None)], "a string, b string").select("*", *[text.compare_folded(F.col("a"), F.col("b"), n).alias(f"o{n}") for n in (0, 2)], (text.locale_key(F.col("a")) == text.locale_key(F.col("b"))).alias("same"))
+    for r in d.collect():
+        if r.a is None or r.b is None:
+            assert (r.o0, r.o2, r.same) == (None, None, None)
+        else:
+            assert (r.o0, r.o2, r.same) == (by_steps(r.a, r.b), by_steps(r.a, r.b, 2), r.a == r.b), (r.a, r.b)
+
+
+def test_lines_wrap_word_by_word(spark):
+    import random
+
+    rnd, widths = random.Random(3), {" ": 3, "i": 2, "m": 9}
+    texts = ["".join(rnd.choice(["i", "m", "x", " ", " ", "<br>"]) for _ in range(rnd.randrange(40))) for _ in range(300)]
+
+    def wrapped(t, most):
+        lines, widest = 0, 0
+        for part in t.split("<br>"):
+            now = None
+            for word in part.split(" "):
+                size = sum(widths.get(c, 6) for c in word)
+                if now is None or now + 3 + size > most:
+                    lines, now = lines + 1, size
+                else:
+                    now += 3 + size
+                widest = max(widest, now)
+        return lines, widest
+
+    d = spark.createDataFrame([(t, k % 5 * 10) for k, t in enumerate(texts)] + [(None, 5)], "t string, w int")
+    got = d.select("t", "w", text.wrap_lines(widths, 6)("t", F.col("w")).alias("l")).select("t", "w", "l.lines", "l.widest").collect()
+    assert all((r.lines, r.widest) == wrapped(r.t or "", r.w) for r in got)
