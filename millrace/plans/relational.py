@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, lookups, search, sorting
+from ..operators import aggregates, lookups, search, searches, sorting
 from ..sources import load
 from .registry import query
 
@@ -198,3 +198,21 @@ def offer_status(spark, sf_dir):
     st = (F.col("o_orderkey") % 16).cast("int")
     low = st.bitwiseAND(F.lit(7))
     return load(spark, sf_dir, "orders").select("o_orderkey", low.alias("status"), (st.bitwiseAND(F.lit(8)) != 0).alias("sells"), (low == 0).alias("empty"), (low == 2).alias("pending"), (low == 5).alias("done"))
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT DISTINCT p_partkey % 128 AS x, p_partkey * p_partkey // 7 % 128 AS y FROM part WHERE p_size <= 10),
+d AS (SELECT dx, dy FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) WHERE dx <> 0 OR dy <> 0),
+c AS (SELECT x - dx AS x, y - dy AS y, dx, dy FROM b, d UNION SELECT x - dx, y, dx, dy FROM b, d WHERE dx <> 0 AND dy <> 0 UNION SELECT x, y - dy, dx, dy FROM b, d WHERE dx <> 0 AND dy <> 0),
+q AS (SELECT c_custkey AS request, c_custkey * 31 % 128 AS sx, c_custkey * 17 % 128 AS sy, c_custkey * 31 % 128 + c_custkey % 7 - 3 AS tx, c_custkey * 17 % 128 + c_custkey % 11 - 5 AS ty FROM customer),
+w AS (SELECT request, sx AS x, sy AS y, 0 AS cost FROM q
+  UNION SELECT w.request, w.x + d.dx, w.y + d.dy, w.cost + 1 FROM w JOIN d ON w.cost < 6 LEFT JOIN c ON c.x = w.x AND c.y = w.y AND c.dx = d.dx AND c.dy = d.dy WHERE c.x IS NULL),
+r AS (SELECT request, x, y, cost, row_number() OVER (PARTITION BY request ORDER BY (x - tx) * (x - tx) + (y - ty) * (y - ty), cost, x, y) AS k, x = tx AND y = ty AS found FROM w JOIN q USING (request) WHERE x = tx AND y = ty OR abs(x - tx) <= 10 AND abs(y - ty) <= 10 AND cost < 100)
+SELECT q.request, r.x, r.y, r.cost, coalesce(r.found, false) AS found FROM q LEFT JOIN r ON r.request = q.request AND r.k = 1""")
+def grid_searches(spark, sf_dir):
+    """A path of at most six steps for each customer, around cells that parts block."""
+    p, c = F.col("p_partkey"), F.col("c_custkey")
+    blocked = load(spark, sf_dir, "part").where("p_size <= 10").select((p % 128).alias("x"), (F.floor(p * p / 7) % 128).alias("y"))
+    sx, sy = c * 31 % 128, c * 17 % 128
+    requests = load(spark, sf_dir, "customer").select(c.alias("request"), sx.alias("sx"), sy.alias("sy"), (sx + c % 7 - 3).alias("tx"), (sy + c % 11 - 5).alias("ty"))
+    return searches.grid_searches(requests, blocked, 6)
