@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import checksums, dates, int32, text
+from ..functions import checksums, dates, digests, int32, text
 from ..sources import load
 from .registry import query
 
@@ -215,3 +215,8 @@ SELECT page_id, list_aggregate(list_transform(regexp_extract_all(url || '?a=%41%
 def url_parts(spark, sf_dir):
     """Urls with escapes of every kind behind them."""
     return load(spark, sf_dir, "pages").select("page_id", text.decode_url(F.concat("url", F.lit("?a=%41%zz+%e9%80%81%00%2B%4"))).alias("decoded"))
+
+
+@query(None)
+def digests_512(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", digests.digest_512(F.col("text")).alias("digest"))
