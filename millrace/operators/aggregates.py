@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.int32 import wrap32
+
 
 def container_counts(slots: DataFrame, wanted: Column, empty: Column, capacity: int) -> DataFrame:
     """By container of ``slots (container, item, qty)``: the wanted items' quantity, and the free slots."""
@@ -13,6 +15,16 @@ def container_counts(slots: DataFrame, wanted: Column, empty: Column, capacity:
     )
 
 
+def wrapped_sums(slots: DataFrame, wanted: Column) -> DataFrame:
+    """By container of ``slots (container, item, qty)``: the wanted items' quantity in 32 bits, which wraps; 0 where there is none.
+
+    Addition modulo 2**32 doesn't mind the order, so each quantity is cut to 32 bits, sums are kept as wide decimals, which no number of rows
+    overflows, and are cut in the end.
+    """
+    low = F.col("qty").cast("long").bitwiseAND(F.lit((1 << 32) - 1)).cast("decimal(18,0)")
+    return slots.groupBy("container").agg(wrap32(F.coalesce(F.sum(F.when(wanted, low)) % (1 << 32), F.lit(0))).alias("qty"))
+
+
 def container_params(slots: DataFrame, params: DataFrame, default: int) -> DataFrame:
     """By container: the sum of a parameter ``(item, value)`` over its slots, plain and times the quantity."""
     value = F.coalesce("value", F.lit(default)).cast("long")

@@ -216,3 +216,33 @@ def grid_searches(spark, sf_dir):
     sx, sy = c * 31 % 128, c * 17 % 128
     requests = load(spark, sf_dir, "customer").select(c.alias("request"), sx.alias("sx"), sy.alias("sy"), (sx + c % 7 - 3).alias("tx"), (sy + c % 11 - 5).alias("ty"))
     return searches.grid_searches(requests, blocked, 6)
+
+
+@query("""
+SELECT item_id AS container, ((coalesce(sum((quantity::BIGINT * 100000007) % 4294967296) FILTER (flag = 'kept'), 0) + 2147483648) % 4294967296 - 2147483648)::INT AS qty FROM sale_lines GROUP BY 1""")
+def wrapped_sums(spark, sf_dir):
+    """Sums by item that wrap at 32 bits; a null item is a container like any other."""
+    slots = load(spark, sf_dir, "sale_lines").select(F.col("item_id").alias("container"), F.col("flag").alias("item"), (F.col("quantity").cast("long") * 100_000_007).alias("qty"))
+    return aggregates.wrapped_sums(slots, F.col("item") == "kept")
+
+
+@query("""
+SELECT s.sale_id, s.client_id, coalesce(c.city, '-') AS city, coalesce(c.seq, -1) AS seq FROM sales s LEFT JOIN client_changes c ON c.client_id = s.client_id""")
+def lookup_with_duplicates(spark, sf_dir):
+    """Each sale with every change of its client: keys that come several times are all found, those that don't are defaulted."""
+    changes = load(spark, sf_dir, "client_changes").select("client_id", "city", "seq")
+    return lookups.enum_lookup(load(spark, sf_dir, "sales").select("sale_id", "client_id"), changes, "client_id", {"city": "-", "seq": -1})
+
+
+@query("""
+WITH w AS (SELECT DISTINCT source, city FROM clients), e AS (SELECT source, city, count(*) AS n FROM client_changes GROUP BY 1, 2)
+SELECT w.source, w.city, coalesce(e.n, 0) AS n FROM w LEFT JOIN e ON e.source = w.source AND e.city = w.city""")
+def enum_contains_any(spark, sf_dir):
+    """How often the changes of each source have each city that its clients have."""
+    return lookups.enum_contains_any(load(spark, sf_dir, "client_changes"), "source", "city", load(spark, sf_dir, "clients"))
+
+
+@query(f"""
+SELECT id, flags, (row_number() OVER (ORDER BY flags & 4 <> 0 DESC, flags & 2 <> 0, id))::int AS place FROM ({_WORLDS})""")
+def world_sort_more_flags(spark, sf_dir):
+    return sorting.world_sort(_worlds(spark, sf_dir), [("flag4", False), ("flag2", True)]).select("id", "flags", F.col("place").cast("int").alias("place"))

@@ -220,3 +220,16 @@ def url_parts(spark, sf_dir):
 @query(None)
 def digests_512(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", digests.digest_512(F.col("text")).alias("digest"))
+
+
+@query("""
+SELECT client_id, coalesce(name, 'null') || '/' || coalesce(city, 'null') || '/' || coalesce(segment, 'null') AS joined, coalesce(email, 'null') || CASE WHEN nation_id >= 0 THEN '+' ELSE '' END || nation_id::VARCHAR AS signed, coalesce(length(city), 0)::INT AS size,
+  replace(format('{:,}', updated), ',', chr(160)) AS grouped, replace(format('{:,}', -updated), ',', '.') AS dotted FROM (SELECT *, epoch_us(updated_at) // 1000 AS updated FROM clients)""")
+def null_strings(spark, sf_dir):
+    """Clients' texts, which may be null, joined; and large numbers in groups, also parted by no-break spaces."""
+    c = load(spark, sf_dir, "clients")
+    updated = F.unix_millis(F.col("updated_at").cast("timestamp"))
+    return c.select(
+        "client_id", text.join_strings(F.col("name"), F.lit("/"), F.col("city"), F.lit("/"), F.col("segment")).alias("joined"), text.append_signed(F.col("email"), F.col("nation_id")).alias("signed"), text.length0(F.col("city")).alias("size"),
+        text.grouped(updated, "\u00a0").alias("grouped"), text.grouped(-updated, ".").alias("dotted"),
+    )

@@ -47,7 +47,16 @@ def message_log(spark, sf_dir):
     return state.recent(load(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], 100).select("event_type", "event_id", "place")
 
 
-@query(None)
+#: The ring of the last hundred accepted ids, folded over each key's rows in order.
+_RING = """
+WITH l AS (SELECT event_type, list({'e': event_id, 'u': user_id, 'ring': []::BIGINT[], 'kept': []::BIGINT[]} ORDER BY ts, event_id) AS held FROM events GROUP BY 1),
+f AS (SELECT event_type, list_reduce([{'e': 0::BIGINT, 'u': 0::BIGINT, 'ring': []::BIGINT[], 'kept': []::BIGINT[]}] || held,
+  lambda s, r: CASE WHEN list_contains(s.ring, r.u) THEN s ELSE {'e': r.e, 'u': r.u, 'ring': list_slice(s.ring || [r.u], -100, -1), 'kept': s.kept || [r.e]} END) AS s FROM l),
+k AS (SELECT event_type, unnest(s.kept) AS event_id FROM f)
+SELECT event_type, ts, event_id, user_id FROM events SEMI JOIN k USING (event_type, event_id)"""
+
+
+@query(_RING)
 def dedupe_last_100(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
     return state.dedupe_recent(e, "event_type", ["ts", "event_id"], "user_id", 100)
@@ -88,7 +97,7 @@ def stream_latest(spark, sf_dir):
     return streaming.drain(streaming.latest_values(load_stream(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type", "value"]), "complete")
 
 
-@query(None)
+@query(_RING)
 def stream_dedupe(spark, sf_dir):
     e = load_stream(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
     return streaming.drain(streaming.dedupe_recent(e, "event_type", ["ts", "event_id"], "user_id"), "append")

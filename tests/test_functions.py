@@ -143,3 +143,23 @@ def test_lines_wrap_word_by_word(spark):
     d = spark.createDataFrame([(t, k % 5 * 10) for k, t in enumerate(texts)] + [(None, 5)], "t string, w int")
     got = d.select("t", "w", text.wrap_lines(widths, 6)("t", F.col("w")).alias("l")).select("t", "w", "l.lines", "l.widest").collect()
     assert all((r.lines, r.widest) == wrapped(r.t or "", r.w) for r in got)
+
+
+def test_sums_wrap_at_32_bits(spark):
+    from millrace.operators import aggregates
+
+    rows = [(k % 5, k % 3, q) for k, q in enumerate([2**31 - 1, -(2**31), 2**40 + 5, -7, None, 1, 2**62, -(2**62)] * 9)] + [(9, 2, 1), (None, 0, 2**31)]
+    want = {}
+    for container, item, q in rows:
+        want[container] = wrap(want.get(container, 0) + (q or 0) * (item == 0))
+    got = aggregates.wrapped_sums(spark.createDataFrame(rows, "container int, item int, qty long").repartition(4), F.col("item") == 0)
+    assert {r.container: r.qty for r in got.collect()} == want
+
+
+def test_any_number_of_wanted_values(spark):
+    from millrace.operators import lookups
+
+    entries = spark.createDataFrame([("a", 1)] * 50 + [("a", 2), ("b", None), (None, 1)], "e string, v int")
+    wanted = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", None), (None, 1), ("c", 2)], "e string, v int")
+    got = sorted(map(tuple, lookups.enum_contains_any(entries, "e", "v", wanted).collect()), key=repr)
+    assert got == sorted([("a", 1, 50), ("a", 3, 0), ("b", None, 0), (None, 1, 0), ("c", 2, 0)], key=repr)
