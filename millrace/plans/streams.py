@@ -18,6 +18,8 @@ from .registry import query
 _HOUR = 3_600_000
 #: Rows of a file, and so of a batch, where a query's batches aren't bounded by its own rule.
 _EACH = 2_500
+#: Partitions of a state with few keys at most.
+_FEW = 4
 
 
 def _new(spark, name: str) -> str:
@@ -89,7 +91,14 @@ def stream_bounded(spark, sf_dir):
     def put(batch, number):
         batch.select(F.lit(number).cast("long").alias("batch"), "op", "n", "last_seq").write.mode("overwrite").parquet(f"{folder}/rows/{number:09d}")
 
-    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    # the state has a row for each kind, of which there are few
+    key = "spark.sql.shuffle.partitions"
+    parts = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(parts), _FEW)))
+    try:
+        counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, parts)
     return spark.read.schema("batch long, op string, n long, last_seq long").option("recursiveFileLookup", True).parquet(f"{folder}/rows")
 
 
