@@ -19,18 +19,20 @@ from pyspark.sql import types as T
 
 from ..sources.shipping import ship
 from .caches import held
-from .store import rows_below
+from .store import cut, discard
 
-#: The learner's bounds: documents of each language, characters of each document, distinct words of each language.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WORDS = 300, 20_000, 30_000
+#: The learner's bound: documents of each language, taken whole.
+SAMPLE_DOCS = 300
 EM_ROUNDS = 4
 #: So many times the sample's documents, about, are ranked; a bound of their hashes keeps the others out.
 RANKED = 4
-#: Rows of the table of languages that may be broadcast.
-MOST_LABELS = 100_000
+#: Languages that a model may have; more are an error, as each has a probability for every piece in every worker.
+MOST_LANGS = 256
+#: Expected uses of pieces are whole multiples of 1 / UNIT, so that their sums don't depend on the order.
+UNIT = 1 << 20
 #: A worker keeps the scores of so many words at most.
 CACHE = 500_000
-#: Words of up to this many characters are scored together with others of their length, longer ones one by one; the learner cuts these.
+#: Words of up to this many characters are taken together with others of their length, longer ones one by one.
 WORD_MAX = 48
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
@@ -103,20 +105,71 @@ def log_forward_long(lattice: Lattice, word: str, table: np.ndarray) -> np.ndarr
     return logs + np.log(ahead[0])
 
 
-def _expected(edges: np.ndarray, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in words that occur ``counts`` times."""
+def expected(edges: np.ndarray, prob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Expected uses, in 1 / UNIT, of each piece in words of equal length that occur ``counts`` times: forward and backward, scaled from place to place."""
     n, longest, words = edges.shape
-    alpha, beta = forward(edges, prob), np.zeros((n + 1, words))
-    beta[n] = 1
-    for start in range(n - 1, -1, -1):
-        for size in range(1, min(longest, n - start) + 1):
-            beta[start] += beta[start + size] * prob[edges[start, size - 1]]
-    scale = counts / np.maximum(alpha[n], 1e-300)
+    alpha, beta = np.zeros((n + 1, words)), np.zeros((n + 1, words))
+    # logarithms of what alpha and beta are divided by at each place
+    ahead, behind = np.zeros((n + 1, words)), np.zeros((n + 1, words))
+    alpha[0] = beta[n] = 1
+    for start in range(n):
+        reach = min(longest, n - start)
+        for size in range(1, reach + 1):
+            alpha[start + size] += alpha[start] * prob[edges[start, size - 1]]
+        top = alpha[start + 1 : start + reach + 1].max(axis=0)
+        alpha[start + 1 : start + reach + 1] /= top
+        ahead[start + 1 :] += np.log(top)
     out = np.zeros(len(prob))
+    for start in range(n - 1, -1, -1):
+        reach = min(longest, n - start)
+        for size in range(1, reach + 1):
+            beta[start] += beta[start + size] * prob[edges[start, size - 1]] * np.exp(behind[start + size] - behind[start + 1])
+        behind[start] = behind[start + 1] + np.log(beta[start])
+        beta[start] = 1
+    total = np.log(alpha[n]) + ahead[n]
     for start in range(n):
         for size in range(1, min(longest, n - start) + 1):
             e = edges[start, size - 1]
-            out += np.bincount(e, alpha[start] * prob[e] * beta[start + size] * scale, len(prob))
+            use = alpha[start] * prob[e] * beta[start + size] * np.exp(ahead[start] + behind[start + size] - total)
+            out += np.bincount(e, np.rint(use * counts * UNIT), len(prob))
+    return out
+
+
+def expected_long(lattice: Lattice, word: str, prob: np.ndarray, count: int) -> np.ndarray:
+    """The same for one word of any length: three numbers are held for each place."""
+    ids, longest, n, none = lattice.ids, lattice.longest, len(word), len(lattice.ids)
+
+    def pieces(start: int) -> np.ndarray:
+        e = np.array([ids.get(word[start : start + size], none) for size in range(1, min(longest, n - start) + 1)])
+        if e[0] == none:
+            e[0] = none + 1
+        return e
+
+    alpha, logs = np.zeros(n + 1), np.zeros(n + 1)
+    window, log = np.zeros(longest + 1), 0.0
+    window[0] = 1
+    for start in range(n):
+        alpha[start], logs[start] = window[0], log
+        e = pieces(start)
+        window[1 : len(e) + 1] += window[0] * prob[e]
+        window[:-1] = window[1:]
+        window[-1] = 0
+        top = window.max()
+        window /= top
+        log += np.log(top)
+    total = log + np.log(window[0])
+    out = np.zeros(len(prob))
+    window, log = np.zeros(longest), 0.0  # beta of the places behind, the nearest first
+    window[0] = 1
+    for start in range(n - 1, -1, -1):
+        e = pieces(start)
+        paths = window[: len(e)] * prob[e]
+        np.add.at(out, e, np.rint(paths * alpha[start] * np.exp(logs[start] + log - total) * count * UNIT))
+        window[1:] = window[:-1].copy()
+        window[0] = paths.sum()
+        top = window.max()
+        window /= top
+        log += np.log(top)
     return out
 
 
@@ -131,25 +184,50 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _blocks(word: str) -> list[str]:
-    """A word with its start marked, in blocks for the learner."""
-    word = "▁" + word
-    return [word[k : k + WORD_MAX] for k in range(0, len(word), WORD_MAX)]
-
+def _uses(pieces: list[str], langs: list[str], table: np.ndarray):
+    """Expected uses of pieces in rows ``(lang, word, n)`` under a model, summed by language for a task's rows."""
 
-def learn(counts: dict[str, Counter], pieces: list[str], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and by language the probabilities of all pieces, of none (0) and of an unknown character."""
-    lattice, langs, table = Lattice(pieces), sorted(counts), []
-    for lang in langs:
-        groups = [(lattice.edges(ws), np.array([counts[lang][w] for w in ws], float)) for ws in _by_length(counts[lang]).values()]
-        prob = np.array([0.1 ** len(p) for p in pieces] + [0, 1e-6])
-        for _ in range(rounds):
-            seen = sum((_expected(e, prob, n) for e, n in groups), np.zeros(len(prob)))
-            seen[:-2] += 0.01
-            prob = seen / seen.sum()
-            prob[-2], prob[-1] = 0, UNKNOWN
-        table.append(prob)
-    return langs, np.array(table)
+    def run(batches):
+        lattice, place, sums = Lattice(pieces), {lang: k for k, lang in enumerate(langs)}, {}
+        for batch in batches:
+            counts: dict[str, dict[str, int]] = defaultdict(dict)
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+                counts[lang]["▁" + word] = n
+            for lang, own in counts.items():
+                k = place[lang]
+                total = sums.setdefault(k, np.zeros(table.shape[1]))
+                for size, ws in _by_length(own).items():
+                    if size > WORD_MAX:
+                        for w in ws:
+                            total += expected_long(lattice, w, table[k], own[w])
+                        continue
+                    for at in range(0, len(ws), 4096):
+                        some = ws[at : at + 4096]
+                        total += expected(lattice.edges(some), table[k], np.array([own[w] for w in some], float))
+        for k, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at].astype(np.int64))], names=["k", "piece", "uses"])
+
+    return run
+
+
+def learn(words: DataFrame, pieces: list[str], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
+    """Languages of ``words (lang, word, n)`` in order, and by language the probabilities of all pieces, of none (0) and of an unknown character.
+
+    Each round of expectation maximisation is a job over all words; what comes back is a number for each language and piece.
+    """
+    langs = sorted(r.lang for r in words.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    table = np.tile(np.array([0.1 ** len(p) for p in pieces] + [0, 1e-6]), (len(langs), 1))
+    for _ in range(rounds if langs else 0):
+        uses = words.mapInArrow(_uses(pieces, langs, table), "k int, piece int, uses long").groupBy("k", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        seen = np.zeros(table.shape)
+        seen[uses["k"].to_numpy(), uses["piece"].to_numpy()] = uses["uses"].to_numpy() / UNIT
+        seen[:, :-2] += 0.01
+        table = seen / seen.sum(axis=1, keepdims=True)
+        table[:, -2], table[:, -1] = 0, UNKNOWN
+    return langs, table
 
 
 class Scorer:
@@ -218,35 +296,42 @@ def _counter(batches):
     counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts[lang].update(w for word in words_of(text[:SAMPLE_CHARS]) for w in _blocks(word))
+            counts[lang].update(words_of(text))
     rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Learn from a bounded sample of the labelled rows that aren't held out.
+def sampled_words(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``(lang, word, n)``: all words of a bounded sample of the labelled rows that aren't held out.
 
     The sample: of each language, the ``sample_docs`` doc_ids of smallest hash (those above a bound
     that leaves ``RANKED`` times as many, of the approximate number of distinct doc_ids, aren't
-    ranked), ``SAMPLE_CHARS`` characters of each for learning only, and of their words the
-    ``SAMPLE_WORDS`` most frequent. Words of over ``WORD_MAX`` characters are learned from in blocks.
+    ranked); of rows that share such a doc_id and language the least text. Texts are taken whole, and all their words.
     """
+    spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
-    # one row for each language; more labels than that aren't sent
     rates = labelled.groupBy("lang").agg((F.lit(RANKED * sample_docs) / F.approx_count_distinct("doc_id", 0.02)).alias("rate"))
-    rates = F.broadcast(rates) if rows_below(rates, MOST_LABELS) else rates
+    known = rates.limit(MOST_LANGS + 1).collect()  # one row for each language
+    if len(known) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    rates = F.broadcast(spark.createDataFrame(known, "lang string, rate double"))
     hashed = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).join(rates, "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("rate") * (1 << 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "doc_id"))
     chosen = hashed.distinct().withColumn("k", rank).where(F.col("k") <= sample_docs).select("doc_id", "lang")
-    # at most sample_docs rows for each language
+    # at most sample_docs rows for each of MOST_LANGS languages
     texts = labelled.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    words = texts.select("lang", "text").mapInArrow(_counter, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = words.withColumn("k", F.row_number().over(top)).where(F.col("k") <= SAMPLE_WORDS).select("lang", "word", "n").collect()
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for r in rows:
-        counts[r.lang][r.word] = r.n
-    return learn(counts, pieces)
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    words = texts.select("lang", "text").mapInArrow(_counter, "lang string, word string, n long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(parts, "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+    """Learns from the whole texts of a bounded sample (``sampled_words``); its words are written once, for all rounds."""
+    words = cut(sampled_words(docs, sample_docs), "words")
+    model = learn(words, pieces)
+    discard(words)
+    return model
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -267,7 +352,7 @@ def identify_language(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] =
     being as likely before (ties: the first by name); score is its share of the likelihoods' sum.
     Null texts and those without a letter are ``und`` with score 0, as is everything when no row is
     labelled outside the held-out quarter. A null doc_id isn't held out, nor learned from. Repeated
-    rows are rows like any other; an empty table gives none. lang, source and doc_id never reach
+    rows are rows like any other; an empty table gives none. More than ``MOST_LANGS`` labels are an error. lang, source and doc_id never reach
     the scorer. A word's likelihood sums all its segmentations, whatever its length.
     """
     ship(docs.sparkSession)
