@@ -45,16 +45,44 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.ids = {p: k for k, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        # a tree of all beginnings of pieces: sorted steps (node, character), where each leads, and the piece that ends there
+        nodes = {"": 0}
+        steps = []
+        for p in self.ids:
+            for size in range(1, len(p) + 1):
+                if p[:size] not in nodes:
+                    nodes[p[:size]] = len(nodes)
+                    steps.append((nodes[p[: size - 1]] << 21 | ord(p[size - 1]), nodes[p[:size]]))
+        steps.append((np.iinfo(np.int64).max, 0))  # beyond every other
+        self.steps, self.ahead = np.array(sorted(steps), np.int64).T.copy()
+        self.piece = np.fromiter((self.ids.get(p, len(self.ids)) for p in nodes), np.int32, len(nodes))
 
     def edges(self, words: list[str]) -> np.ndarray:
-        """Piece ids by (start, length - 1, word); len(ids) where there is none, and one more for unknown characters."""
-        n, none, ids = len(words[0]), len(self.ids), self.ids
-        out = np.full((n, min(n, self.longest), len(words)), none, np.int32)
+        """Piece ids by (start, length - 1, word); len(ids) where there is none, and one more for unknown characters.
+
+        Lengths end with that of the longest piece found. All words walk the tree together, each as far as it leads.
+        """
+        n, none = len(words[0]), len(self.ids)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).T.astype(np.int64)
+        out, found = np.full((n, min(n, self.longest), len(words)), none, np.int32), 1
         for start in range(n):
+            at, node = np.arange(len(words)), np.zeros(len(words), np.int64)
             for size in range(1, min(self.longest, n - start) + 1):
-                out[start, size - 1] = [ids.get(w[start : start + size], none) for w in words]
+                step = node << 21 | codes[start + size - 1][at]
+                k = np.searchsorted(self.steps, step)
+                good = self.steps[k] == step
+                at, node = at[good], self.ahead[k[good]]
+                if not len(at):
+                    break
+                out[start, size - 1, at] = self.piece[node]
+                found = max(found, size)
             out[start, 0][out[start, 0] == none] = none + 1
-        return out
+        return out[:, :found]
+
+
+def lattice_for(pieces: list[str]) -> Lattice:
+    """A worker's lattice of a vocabulary, kept from round to round."""
+    return held("lattice", hashlib.blake2b("\0".join(pieces).encode()).digest(), lambda: Lattice(pieces))
 
 
 def forward(edges: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -188,7 +216,7 @@ def _uses(pieces: list[str], langs: list[str], table: np.ndarray):
     """Expected uses of pieces in rows ``(lang, word, n)`` under a model, summed by language for a task's rows."""
 
     def run(batches):
-        lattice, place, sums = Lattice(pieces), {lang: k for k, lang in enumerate(langs)}, {}
+        lattice, place, sums = lattice_for(pieces), {lang: k for k, lang in enumerate(langs)}, {}
         for batch in batches:
             counts: dict[str, dict[str, int]] = defaultdict(dict)
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
