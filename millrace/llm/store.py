@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,3 +78,15 @@ def map_file(fs: pafs.FileSystem, path: str):
             return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if f.tell() else b""
     with fs.open_input_file(path) as f:
         return f.read()
+
+
+@contextmanager
+def open_array(fs: pafs.FileSystem, path: str, kind: str):
+    """A function that returns a file's numbers from one place to another: of a memory map where the folder is mounted, else fetched by each call."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        whole = np.frombuffer(map_file(fs, path), kind)
+        yield lambda start, stop: whole[start:stop]
+        return
+    size = np.dtype(kind).itemsize
+    with fs.open_input_file(path) as f:
+        yield lambda start, stop: np.frombuffer(f.read_at((stop - start) * size, start * size), kind)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 from .caches import held
-from .store import cut, map_file, open_fs, work_dir
+from .store import cut, open_array, open_fs, work_dir
 
 #: Texts of these characters only, with single spaces and line ends, fall into pieces that byte-level BPE never joins.
 _PLAIN = bytes([10, *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
@@ -24,8 +24,8 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _UNITS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Pieces whose ids are kept in a worker at most, and texts encoded together.
 CACHE, TOGETHER = 900_000, 512
-#: Rows of a batch that a reader returns.
-READ_ROWS = 50_000
+#: Rows of a batch that a reader returns, and ids that it holds at once.
+READ_ROWS, READ_IDS = 50_000, 1 << 22
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -155,27 +155,39 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> tuple
     return folder, files
 
 
+def _crcs(ids, ends: np.ndarray) -> list[int]:
+    """CRC of each document's ids; ``READ_IDS`` are held at once, however long a document is."""
+    first, last, some, out = int(ends[0]), int(ends[-1]), ids(0, 0), []
+    for place, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        crc = 0
+        while place < end:
+            if place >= first + len(some):
+                first, some = place, ids(place, min(last, place + READ_IDS))
+            part = some[place - first : end - first]
+            crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
+            place += len(part)
+        out.append(crc)
+    return out
+
+
 def read_token_files(spark, folder: str, files: list[tuple]) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document in token files, from the files alone.
 
     start counts the ids of all documents before; the CRC is of the ids as 32-bit little-endian
-    integers, the end id included.
+    integers, the end id included. A task holds ``READ_ROWS`` documents' offsets and ``READ_IDS`` ids
+    at once, of a memory map or fetched by ranges.
     """
     ship(spark)
 
     def read(batches):
         fs, where = open_fs(folder)
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                name, _, _, width, base, nulls = files[k]
-                tokens = np.frombuffer(map_file(fs, f"{where}/{name}.bin"), f"<u{width}")
-                at = np.frombuffer(map_file(fs, f"{where}/{name}.idx"), "<u8").astype("int64")
-                doc = np.frombuffer(map_file(fs, f"{where}/{name}.doc"), "<i8")
-                for k in range(0, len(doc), READ_ROWS):
-                    ends = at[k : k + READ_ROWS + 1]
-                    crc = [zlib.crc32(tokens[i:j].astype("<u4").tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                    some = doc[k : k + READ_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, mask=np.arange(k, k + len(some)) < nulls), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            for name, docs, _, width, base, nulls in (files[k] for k in batch.column("id").to_pylist()):
+                with open_array(fs, f"{where}/{name}.bin", f"<u{width}") as ids, open_array(fs, f"{where}/{name}.idx", "<u8") as offsets, open_array(fs, f"{where}/{name}.doc", "<i8") as names:
+                    for k in range(0, docs, READ_ROWS):
+                        some = names(k, min(docs, k + READ_ROWS))
+                        ends = offsets(k, k + len(some) + 1).astype("int64")
+                        yield pa.RecordBatch.from_arrays([pa.array(some, mask=np.arange(k, k + len(some)) < nulls), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(_crcs(ids, ends), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = list(files)
     return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, _READ)

@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyarrow import fs as pafs
 
-from millrace.llm import decontaminate, langid, licenses, long_repeats, mixing, ngram_join, queries, sharding, tokens
+from millrace.llm import decontaminate, langid, licenses, long_repeats, mixing, ngram_join, queries, sharding, store, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -280,6 +281,23 @@ def test_token_files_keep_every_id(spark, monkeypatch):
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x))
 
 
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_token_files_are_read_by_ranges(tmp_path, monkeypatch, held):
+    """The same from a memory map and from a store that isn't mounted; documents longer than what is held, and empty files."""
+    monkeypatch.setattr(tokens, "READ_IDS", held)
+    ids, ends = np.random.default_rng(4).integers(0, 60_000, 50).astype("<u2"), np.array([0, 1, 2, 20, 21, 50])
+    ids.tofile(tmp_path / "a.bin")
+    (tmp_path / "empty.bin").touch()
+    want = [zlib.crc32(ids[i:j].astype("<u4").tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    for fs, where in ((pafs.LocalFileSystem(), f"{tmp_path}/"), (pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), "")):
+        asked = []
+        with store.open_array(fs, f"{where}a.bin", "<u2") as read, store.open_array(fs, f"{where}empty.bin", "<u2") as nothing:
+            assert tokens._crcs(lambda i, j, read=read, asked=asked: asked.append(j - i) or read(i, j), ends) == want
+            assert tokens._crcs(lambda i, j, read=read: read(i, j), ends[3:]) == want[3:]
+            assert len(nothing(0, 0)) == 0
+        assert max(asked) <= held
+
+
 @pytest.mark.parametrize("text", ["", "  a  b", " x", "x\n\n y", "é—ü 12,000.5, don't. it's, a.b,c", "a\tb", "<|endoftext|> hi", "Ünï, x.", "ab1, 1,", " \n", "a,.", "x.\nY, z.", "漢字 かな"])
 def test_encoder_equals_the_library(text):
     encoder = tokens.Encoder(queries.vocabulary(queries.BYTE_BPE))
