@@ -16,3 +16,19 @@ def test_a_heavy_key_is_dealt_to_shares(spark, monkeypatch):
     assert got.columns == ["id", "k", "v"] and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select("id", "k", "v").collect()), key=repr)
     heavy = got.where("k = 7").groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in heavy) == 10_000 and "__share" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("listed", [10_000, 0])
+def test_elements_at_one_point_are_one(spark, monkeypatch, listed):
+    from millrace.operators import lookups
+
+    monkeypatch.setattr(lookups, "LISTED", listed)
+    met, rings = [], lookups._nearest_in_rings
+    monkeypatch.setattr(lookups, "_nearest_in_rings", lambda p, k, e, n: met.append((p.count(), e.count())) or rings(p, k, e, n))
+    elements = spark.range(5_000).select((5_000 - F.col("id")).alias("e"), (F.col("id") % 5 * 30).alias("x"), F.when(F.col("id") % 7 > 0, F.lit(3)).cast("long").alias("y"))
+    places = spark.range(2_000).select(F.col("id").alias("p"), F.when(F.col("id") != 9, F.col("id") % 4 * 40).alias("x"), F.lit(0).cast("long").alias("y"))
+    got = {r.p: (r.e, r.d2) for r in lookups.nearest(places, "p", elements, "e").collect()}
+    all_e = [(5_000 - i, i % 5 * 30) for i in range(5_000) if i % 7]
+    best = {k: min(((x - 40 * k) ** 2 + 9, e) for e, x in all_e) for k in range(4)}
+    assert got == {p: (1, None) if p == 9 else best[p % 4][::-1] for p in range(2_000)}
+    assert met == ([] if listed else [(4, 5)])
