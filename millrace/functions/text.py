@@ -81,6 +81,12 @@ def _lower_char(c: Column) -> Column:
     return F.substring(F.lower(c), 1, 1)
 
 
+def _unaccented(s: Column) -> Column:
+    for letter, two in _TWO.items():
+        s = F.replace(s, F.lit(letter), F.lit(two))
+    return F.translate(s, "".join(r for r, _ in _RUNS), "".join(to * len(r) for r, to in _RUNS))
+
+
 def locale_key(s: Column, lang: int = 0) -> Column:
     """A key that sorts and joins texts as the locale does: a struct, null for a null text.
 
@@ -88,20 +94,41 @@ def locale_key(s: Column, lang: int = 0) -> Column:
     ``lang`` is 2, a text before its own continuations; then all characters, a capital behind its small letter. Equal keys are
     equal texts. Characters go by code point; one without a single small or capital letter stays as it is.
     """
-    folded = s
-    for letter, two in _TWO.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(two))
-    folded = F.translate(folded, "".join(r for r, _ in _RUNS), "".join(to * len(r) for r, to in _RUNS))
+    folded = _unaccented(s)
     plain = lambda t: F.transform(F.split(t, ""), lambda c: _lower_char(upper_char(c)))
     whole = plain(s)
     small = lambda c: F.when(c.rlike(r"[\p{IsUppercase}\p{Lt}]"), F.ascii(_lower_char(c)) * 16 + 1).otherwise(F.ascii(c) * 16)
     return F.when(s.isNotNull(), F.struct(F.array_join(plain(folded), "").alias("letters"), F.array_join(F.reverse(whole) if lang == 2 else whole, "").alias("characters"), F.transform(F.split(s, ""), small).alias("raw")))
 
 
+#: Texts of characters whose case goes one to one, capitals before their small letters by code point, or that have none.
+_PLAIN = r"\A[\x00-\xff\u2000-\u2070\u20a0-\u20cf\u2190-\u23ff\u2500-\u27bf\u3000-\u312f\u3400-\u9fff\uac00-\ud7a3]*\z"
+
+
+def _bound(a: Column, b: Column, then) -> Column:
+    """``then(a, b)`` with each of both made once, however often it is used."""
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: then(p["a"], p["b"])), F.lit(0))
+
+
 def compare_folded(a: Column, b: Column, lang: int = 0) -> Column:
-    """-1, 0 or 1 by the texts' locale keys; null where one is null."""
-    x, y = locale_key(a, lang), locale_key(b, lang)
-    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+    """-1, 0 or 1 by the texts' locale keys; null where one is null.
+
+    Texts of plain characters are compared as whole strings: without accents and case, then without case, and then, as they differ in case
+    only and a capital is both less by code point and behind its small letter, by code point the other way. Others have their keys built.
+    """
+    lower = lambda s: F.replace(F.lower(s), F.lit("µ"), F.lit("μ"))  # noqa: E731  the one whose capital has another small letter
+    letters = lambda s: F.when(s.rlike(r"\A[\x00-\x7f]*\z"), F.lower(s)).otherwise(lower(_unaccented(s)))
+    characters = lambda s: F.reverse(lower(s)) if lang == 2 else lower(s)
+    order = lambda x, y, equal: F.when(x < y, -1).when(x > y, 1).otherwise(equal)
+
+    def compared(a: Column, b: Column) -> Column:
+        by_case = F.when(a > b, -1).otherwise(1)
+        by_characters = _bound(characters(a), characters(b), lambda x, y: order(x, y, by_case))
+        whole = _bound(letters(a), letters(b), lambda x, y: order(x, y, by_characters))
+        keys = _bound(locale_key(a, lang), locale_key(b, lang), lambda x, y: order(x, y, F.lit(0)))
+        return F.when(a == b, 0).when(a.rlike(_PLAIN) & b.rlike(_PLAIN), whole).when(a.isNotNull() & b.isNotNull(), keys)
+
+    return _bound(a, b, compared)
 
 
 def wrap_lines(widths: dict[str, int], default: int):

@@ -32,3 +32,21 @@ def test_elements_at_one_point_are_one(spark, monkeypatch, listed):
     best = {k: min(((x - 40 * k) ** 2 + 9, e) for e, x in all_e) for k in range(4)}
     assert got == {p: (1, None) if p == 9 else best[p % 4][::-1] for p in range(2_000)}
     assert met == ([] if listed else [(4, 5)])
+
+
+def test_plain_texts_compare_as_their_keys_do(spark):
+    import itertools
+    import time
+
+    from millrace.functions import text
+
+    few = ["", "a", "A", "aa", "aA", "Aa", "b", "ß", "ss", "SS", "é", "É", "e", "E", "æ", "Æ", "ae", "µ", "μ", "ÿ", "Ÿ", "y", "Þ", "þ", "×", "÷", "a\n", "a–b", "A–b", "İ", "ı", "ſ", "Σ", "ς", "K", "日本", "😀a", "😀A"]
+    pairs = spark.createDataFrame([*itertools.product([*few, None], repeat=2)], "a string, b string")
+    for lang in (0, 2):
+        x, y = text.locale_key(F.col("a"), lang), text.locale_key(F.col("b"), lang)
+        by_key = F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+        assert pairs.select("a", "b", text.compare_folded(F.col("a"), F.col("b"), lang).alias("got"), by_key.alias("want")).where("NOT got <=> want").collect() == []
+    long = spark.range(200).select(F.repeat(F.lit("Größe und Ähre "), 3_000).alias("a")).select("a", F.translate("a", "GÄ", "gä").alias("b"))
+    start = time.time()
+    assert [tuple(r) for r in long.select(text.compare_folded(F.col("a"), F.col("b")).alias("c")).groupBy("c").count().collect()] == [(1, 200)]
+    assert time.time() - start < 15
