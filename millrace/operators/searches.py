@@ -35,12 +35,13 @@ def grid_searches(requests: DataFrame, blocked: DataFrame, steps: int) -> DataFr
     to it counts (then that of least cost, x and y), if it lies within ``FALLBACK_REACH`` both ways and costs less than
     ``FALLBACK_COST``; else x, y and cost are null. A start is reached at cost 0, blocked or not. ``request`` is unique; requests with nulls find nothing.
 
-    All requests go a step in one job; those at their target go no further. A frontier's rows are spread by request and place,
-    so no request's search is one task. Each step is checkpointed, so its plan doesn't grow.
+    Requests of one start and target are one search. All searches go a step in one job; those at their target go no further. A
+    frontier's rows are spread by search and place, so no search is one task. Each step is checkpointed, so its plan doesn't grow.
     """
     closed = cut(closed_directions(blocked))
     asked = cut(requests.select("request", *[F.col(c).cast("long").alias(c) for c in ("sx", "sy", "tx", "ty")]))
-    whole = asked.dropna()
+    ends = ["sx", "sy", "tx", "ty"]
+    whole = cut(asked.dropna().groupBy(*ends).agg(F.min("request").alias("request")))  # one request stands for its likes
     front = cut(whole.select("request", F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0).alias("cost"), "tx", "ty"))
     rings, hit = [front], (F.col("x") == F.col("tx")) & (F.col("y") == F.col("ty"))
     done = front.where(hit).select("request")
@@ -62,4 +63,6 @@ def grid_searches(requests: DataFrame, blocked: DataFrame, steps: int) -> DataFr
     close = hit | ((F.abs(dx) <= FALLBACK_REACH) & (F.abs(dy) <= FALLBACK_REACH) & (F.col("cost") < FALLBACK_COST))
     best = reached.where(close).groupBy("request").agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), "cost", "x", "y")).alias("e"))
     found = best.select("request", F.col("e.x").alias("x"), F.col("e.y").alias("y"), F.col("e.cost").alias("cost"), (F.col("e.d2") == 0).alias("found"))
-    return asked.select("request").join(found, "request", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    found = whole.join(found, "request").drop("request")
+    told = asked.join(found, ends, "left").select("request", *[F.when(F.col("request").isNotNull(), F.col(c)).alias(c) for c in ("x", "y", "cost", "found")])
+    return told.withColumn("found", F.coalesce("found", F.lit(False)))

@@ -50,3 +50,14 @@ def test_plain_texts_compare_as_their_keys_do(spark):
     start = time.time()
     assert [tuple(r) for r in long.select(text.compare_folded(F.col("a"), F.col("b")).alias("c")).groupBy("c").count().collect()] == [(1, 200)]
     assert time.time() - start < 15
+
+
+def test_requests_of_one_start_and_target_are_one_search(spark, monkeypatch):
+    from millrace.operators import searches
+
+    sizes, cut = [], searches.cut
+    monkeypatch.setattr(searches, "cut", lambda df: sizes.append(cut(df)) or sizes[-1])
+    requests = spark.createDataFrame([(i if i else None, 0, 0, 3, i % 2) for i in range(200)], "request long, sx long, sy long, tx long, ty long")
+    got = {r.request: (r.x, r.y, r.cost, r.found) for r in searches.grid_searches(requests, spark.createDataFrame([], "x long, y long"), 4).collect()}
+    assert got == {i if i else None: (3, i % 2, 3, True) if i else (None, None, None, False) for i in range(200)}
+    assert max(f.count() for f in sizes if "cost" in f.columns) <= 2 * 81
