@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..operators import graph, raster, state
 from ..sources import load, load_stream
 from ..sources.archive import container, pack_group, split_groups
+from ..sources.sequence import batch_size, read_sequence, write_sequence
 from ..streaming import state as streaming
 from .registry import query
 
+#: Rows of a batch that may all be of one key and be held by one worker.
+_HELD = 500_000
+
 
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def latest_event(spark, sf_dir):
@@ -99,8 +103,11 @@ def stream_latest(spark, sf_dir):
 
 @query(_RING)
 def stream_dedupe(spark, sf_dir):
-    e = load_stream(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
-    return streaming.drain(streaming.dedupe_recent(e, "event_type", ["ts", "event_id"], "user_id"), "append")
+    """A worker holds a type's rows of a batch, so batches have ``_HELD`` rows at most."""
+    e = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
+    order = [F.col(c).asc_nulls_last() for c in ("ts", "event_id")]
+    stream = read_sequence(spark, write_sequence(e, order, batch_size(e.count(), 2_500, _HELD, 2)), e.schema)
+    return streaming.drain(streaming.dedupe_recent(stream, "event_type", ["ts", "event_id"], "user_id"), "append", partitions=4)
 
 
 @query("SELECT (p_partkey // 5)::int AS grp, (row_number() OVER (PARTITION BY p_partkey // 5 ORDER BY p_partkey) - 1)::int AS file, p_name AS name FROM part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cutting import shared_dir
@@ -13,7 +13,7 @@ from .files import Files
 STEP_MS = 1_000
 
 
-def write_sequence(rows: DataFrame, order: list[str], size: int = 100, folder: str | None = None, rank: str | None = None) -> str:
+def write_sequence(rows: DataFrame, order: list[str | Column], size: int = 100, folder: str | None = None, rank: str | None = None) -> str:
     """Writes ``rows`` in order, ``size`` to a file (the last may have fewer), and returns the folder.
 
     Ranks come from ranges of the order, so no task sorts all rows; each file is written by the one task

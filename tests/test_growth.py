@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans import QUERIES
+from millrace.sources.sequence import batch_size
+
 
 def test_a_heavy_key_is_dealt_to_shares(spark, monkeypatch):
     from millrace.operators import lookups
@@ -61,3 +64,18 @@ def test_requests_of_one_start_and_target_are_one_search(spark, monkeypatch):
     got = {r.request: (r.x, r.y, r.cost, r.found) for r in searches.grid_searches(requests, spark.createDataFrame([], "x long, y long"), 4).collect()}
     assert got == {i if i else None: (3, i % 2, 3, True) if i else (None, None, None, False) for i in range(200)}
     assert max(f.count() for f in sizes if "cost" in f.columns) <= 2 * 81
+
+
+def test_a_ring_goes_on_over_bounded_batches(spark, sf_dir, monkeypatch):
+    from compare import agree
+
+    from millrace.plans import ORACLES, stateful
+    from millrace.streaming import state
+
+    sizes, run = [], state.dedupe_recent
+    monkeypatch.setattr(stateful, "_HELD", 150)
+    monkeypatch.setattr(stateful, "batch_size", lambda n, least, most, batches: batch_size(n, 1, most, batches))
+    read = stateful.read_sequence
+    monkeypatch.setattr(stateful, "read_sequence", lambda s, folder, schema: sizes.extend(r["count"] for r in s.read.parquet(folder).groupBy(F.input_file_name()).count().collect()) or read(s, folder, schema))
+    agree(spark, sf_dir, QUERIES["stream_dedupe"], ORACLES["stream_dedupe"])
+    assert len(sizes) > 3 and max(sizes) <= 150
