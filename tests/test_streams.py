@@ -176,6 +176,49 @@ def test_wide_numbers_and_nulls_pass_a_stream_unchanged(spark, tmp_path):
     assert sorted(map(tuple, drain(out, "append").collect())) == [(1, 1_000, big, "own"), (1, 2_000, None, "own")]
 
 
+def test_rows_without_a_number_come_last():
+    import pyarrow as pa
+
+    for by_event_time, times in ((True, [5, 5, 5, 4]), (False, [9] * 4)):
+        processor = timers.Folded(None, ["k", "at", "seq", "v"], [], [], "", [], by_event_time)
+        table = pa.table({"k": [1, 1, None, 1], "at": [5, 5, 5, 4], "seq": [None, (1 << 60) + 1, 1 << 60, 3], "v": [1, 2, 3, 4]})
+        assert processor._by_key(table, 9) == {1: [(times[3], 3, 4), (times[1], (1 << 60) + 1, 2), (times[0], None, 1)], None: [(times[2], 1 << 60, 3)]}
+
+
+def test_keys_share_buckets(spark, tmp_path):
+    """A state store holds few rows and timers, however many keys there are."""
+    rows = spark.range(1, 12_001).select((F.col("id") % 3_000).alias("k"), (F.col("id") * 1_000).alias("at"), F.col("id").alias("seq"), F.col("id").alias("value"), F.lit(True).alias("own")).withColumn("ts", F.timestamp_millis("at"))
+    stream = read_sequence(spark, write_sequence(rows, ["at"], 4_000), rows.schema).withWatermark("ts", "1 second")
+    out = timers.folded(stream, "k", ["at", "seq", "value", "own"], "at long, seq long, value long, own boolean", timers.HOLD, "k long, at long, value long, how string", timers.hold_writes(50_000_000))
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r["at"], r.k, r.value, r.how) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1_000 * i, i % 3_000, i, "own") for i in range(1, 12_000)]  # the last is not behind the watermark
+    states = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert states and 0 < max(states) <= 4 * timers.BUCKETS < 3_000
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_keys_of_one_bucket_stay_apart(spark, tmp_path, kind):
+    from millrace.streaming.state import drain
+
+    keys = [None, 5, (1 << 60) + 1, 1 << 60, -7]
+    given = [(keys[i % 5], 700 * i + i // 40 * 20_000, i, i % 7 == 0, None if i % 4 == 1 else (1 << 60) + i) for i in range(1, 201)]
+    rows = spark.createDataFrame(given, "k long, at long, seq long, own boolean, value long").withColumns({"k": F.col("k").cast(kind), "ts": F.timestamp_millis("at")})
+    schema, out = "at long, seq long, value long, own boolean", f"k {kind}, at long, value long, how string"
+    want, until = [], given[-1][1] - 1_000
+    for k in keys:
+        mine = [(at, seq, value, own) for key, at, seq, own, value in given if key == k and at <= until]
+        want += [(k if k is None or kind == "long" else str(k), *o) for o in timers.hold_writes(5_000)({"hold": None}, mine, until)[0]]
+    assert {w[3] for w in want} == {"own", "other", "released"}
+    for buckets in (1, 3):
+        stream = read_sequence(spark, write_sequence(rows, ["at"], 60), rows.schema).withWatermark("ts", "1 second")
+        got = drain(timers.folded(stream, "k", ["at", "seq", "value", "own"], schema, timers.HOLD, out, timers.hold_writes(5_000), buckets=buckets), "append")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="no key"):
+        timers.folded(rows.withColumn("k", F.lit(0.5)), "k", ["at", "seq", "value", "own"], schema, timers.HOLD, out, timers.hold_writes(5_000))
+
+
 def test_a_timer_fires_by_processing_time(spark, tmp_path):
     """Without any row after it."""
     schema = "k long, at long, seq long, value long, own boolean"
