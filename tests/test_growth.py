@@ -21,6 +21,38 @@ def test_a_heavy_key_is_dealt_to_shares(spark, monkeypatch):
     assert sum(r["count"] for r in heavy) == 10_000 and "__share" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_entries_of_a_heavy_key_are_repeated_in_proportion(spark, monkeypatch):
+    from millrace.operators import lookups
+
+    for name, value in (("PAIRS", 100), ("SHARE", 1), ("REPEATS", 4)):
+        monkeypatch.setattr(lookups, name, value, raising=False)
+    for n in (200, 800):
+        rows, entries = spark.range(n).select("id", F.lit(7).alias("k")), spark.range(n).select(F.lit(7).alias("k"), F.col("id").alias("v"))
+        before = shuffled(spark)
+        got = lookups.enum_lookup_spread(rows, entries, "k", {"v": -1}).agg(F.count("*"), F.countDistinct(F.struct("id", "v"))).first()
+        assert tuple(got) == (n * n, n * n)
+        assert shuffled(spark) - before - n * n <= 10 * 2 * n  # n * n of them are those of countDistinct
+
+
+def test_pairs_of_a_heavy_key_are_written_packed(spark, monkeypatch, tmp_path):
+    from millrace.operators import lookups
+
+    monkeypatch.setattr(lookups, "PAIRS", 400_000)
+    monkeypatch.setattr(lookups, "SHARE", 100)
+    rows = spark.range(200).select("id", F.lit(7).alias("k"))
+    entries = spark.range(20_000).select(F.lit(7).alias("k"), (F.col("id") * 7_919 % 1_000_003).alias("v"))
+    lookups.enum_lookup_spread(rows, entries, "k", {"v": -1}).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 4_000_000
+
+
 @pytest.mark.parametrize("listed", [10_000, 0])
 def test_elements_at_one_point_are_one(spark, monkeypatch, listed):
     from millrace.operators import lookups
